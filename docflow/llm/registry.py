@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from docflow.llm import q_quality_rules
+from docflow.llm import q_decontamination, q_quality_rules, q_simhash
 
 
 def queries():
-    return {"op1_quality_rules": q_quality_rules.op1_quality_rules}
+    return {
+        "op1_quality_rules": q_quality_rules.op1_quality_rules,
+        "op9_simhash_near_dedup": q_simhash.op9_simhash_near_dedup,
+        "op10_benchmark_decontamination": q_decontamination.op10_benchmark_decontamination,
+    }
 
 
 def oracle_sql():

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docflow.llm import q_decontamination, q_quality_rules, q_secret_scan, q_simhash
+from docflow.llm import q_decontamination, q_packing, q_quality_rules, q_secret_scan, q_simhash
 
 
 def queries():
     return {
         "op1_quality_rules": q_quality_rules.op1_quality_rules,
+        "op3_best_fit_packing": q_packing.op3_best_fit_packing,
         "op5_secret_scan": q_secret_scan.op5_secret_scan,
         "op9_simhash_near_dedup": q_simhash.op9_simhash_near_dedup,
         "op10_benchmark_decontamination": q_decontamination.op10_benchmark_decontamination,

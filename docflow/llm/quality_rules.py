@@ -9,8 +9,8 @@ Copies of one document must not make its own lines look like boilerplate, so a
 document counts for a line by the longest *other* line it holds: documents that
 agree on it count once.
 
-Scale: one pass over the texts for the counts, one for the lines. What is
-shuffled is one small row a line. The count is pre-aggregated twice (by line and
+Scale: one pass over the texts for the counts, one for the lines, whose small
+rows are written once to the shared folder and read twice. The count is pre-aggregated twice (by line and
 sketch, then by line), so a line in a third of all documents never meets in one
 task; the lookup of flagged lines is a semi join that AQE may split or, once it
 has measured the flagged side, broadcast.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docflow.llm.storage import stored
 from docflow.llm.text import WS, pick, words
 
 #: Symbols counted by ``n_symbols`` (fixed by the contract).
@@ -106,7 +107,8 @@ def frequent_lines(lines: DataFrame, max_line_docs: int = 5) -> DataFrame:
 
 def removed_lines(docs: DataFrame, max_line_docs: int = 5) -> DataFrame:
     """Occurrences of lines above the limit, each place of a document once."""
-    lines, often = host_lines(docs), frequent_lines(host_lines(docs), max_line_docs).alias("o")
+    lines = stored(host_lines(docs), "lines")
+    often = frequent_lines(lines, max_line_docs).alias("o")
     hits = lines.alias("l").join(often, F.col("l._host").eqNullSafe(F.col("o._host")) & (F.col("l._h") == F.col("o._h")), "left_semi")
     return hits.groupBy("_id", "_host", "_th", "_pos").agg(F.max("_n").alias("_n"))
 

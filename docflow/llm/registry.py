@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docflow.llm import q_decontamination, q_packing, q_quality_rules, q_secret_scan, q_simhash
+from docflow.llm import q_decontamination, q_packing, q_quality_rules, q_secret_scan, q_simhash, q_url_rules
 
 
 def queries():
@@ -10,10 +10,11 @@ def queries():
         "op1_quality_rules": q_quality_rules.op1_quality_rules,
         "op3_best_fit_packing": q_packing.op3_best_fit_packing,
         "op5_secret_scan": q_secret_scan.op5_secret_scan,
+        "op6_url_filter": q_url_rules.op6_url_filter,
         "op9_simhash_near_dedup": q_simhash.op9_simhash_near_dedup,
         "op10_benchmark_decontamination": q_decontamination.op10_benchmark_decontamination,
     }
 
 
 def oracle_sql():
-    return {"op1_quality_rules": q_quality_rules.ORACLE}
+    return {"op1_quality_rules": q_quality_rules.ORACLE, "op6_url_filter": q_url_rules.ORACLE}

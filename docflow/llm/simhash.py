@@ -86,7 +86,7 @@ def block_masks(bits: int) -> list[int]:
 
 
 #: Fingerprints under a leaf node, node pairs compared at a time, and the group size up to which pairs are compared by lag.
-LEAF, NODE_PAIRS, SMALL = 32, 1 << 12, 32
+LEAF, NODE_PAIRS, SMALL = 32, 1 << 8, 32
 
 
 def index_links(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

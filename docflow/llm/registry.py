@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docflow.llm import q_decontamination, q_packing, q_quality_rules, q_secret_scan, q_simhash, q_url_rules
+from docflow.llm import q_decontamination, q_html_text, q_packing, q_quality_rules, q_secret_scan, q_simhash, q_url_rules
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_best_fit_packing": q_packing.op3_best_fit_packing,
         "op5_secret_scan": q_secret_scan.op5_secret_scan,
         "op6_url_filter": q_url_rules.op6_url_filter,
+        "op8_html_extraction": q_html_text.op8_html_extraction,
         "op9_simhash_near_dedup": q_simhash.op9_simhash_near_dedup,
         "op10_benchmark_decontamination": q_decontamination.op10_benchmark_decontamination,
     }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docflow.llm import q_decontamination, q_html_text, q_packing, q_quality_rules, q_secret_scan, q_simhash, q_url_rules
+from docflow.llm import q_decontamination, q_html_text, q_packing, q_quality_classifier, q_quality_rules, q_secret_scan, q_simhash, q_url_rules
 
 
 def queries():
     return {
         "op1_quality_rules": q_quality_rules.op1_quality_rules,
         "op3_best_fit_packing": q_packing.op3_best_fit_packing,
+        "op4_quality_classifier": q_quality_classifier.op4_quality_classifier,
         "op5_secret_scan": q_secret_scan.op5_secret_scan,
         "op6_url_filter": q_url_rules.op6_url_filter,
         "op8_html_extraction": q_html_text.op8_html_extraction,

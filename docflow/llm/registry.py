@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docflow.llm import q_decontamination, q_html_text, q_packing, q_quality_classifier, q_quality_rules, q_secret_scan, q_simhash, q_url_rules
+from docflow.llm import q_decontamination, q_html_text, q_packing, q_quality_classifier, q_quality_rules, q_secret_scan, q_simhash, q_substring_dedup, q_url_rules
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_quality_classifier": q_quality_classifier.op4_quality_classifier,
         "op5_secret_scan": q_secret_scan.op5_secret_scan,
         "op6_url_filter": q_url_rules.op6_url_filter,
+        "op7_substring_dedup": q_substring_dedup.op7_substring_dedup,
         "op8_html_extraction": q_html_text.op8_html_extraction,
         "op9_simhash_near_dedup": q_simhash.op9_simhash_near_dedup,
         "op10_benchmark_decontamination": q_decontamination.op10_benchmark_decontamination,

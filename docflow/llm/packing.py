@@ -31,22 +31,26 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from docflow.llm.arrow import slices
 from docflow.llm.storage import stored
 from docflow.llm.text import pick
 
 CAPACITY, END, SALTS = 4096, 1, 64
 #: Coarse bins of the fit and the documents of a pattern at most.
 FIT_BINS, PATTERN_DOCS = 32, 4
-#: Characters tokenised at a time, words kept by a worker, and the length up to which a word is kept.
-CHUNK, KEPT_WORDS, KEPT_CHARS = 1 << 22, 1 << 19, 48
+#: Bytes tokenised at a time, words kept by a worker, the longest that are encoded many at a time, and how many.
+CHUNK, KEPT_WORDS, KEPT_CHARS, JOINED = 1 << 22, 1 << 19, 64, 1000
+#: Lower-case letters that the tokenizer's rules keep together and leave as they are.
+LETTER = "[a-z\u00df-\u00f6\u00f8-\u00ff]"
 
 
 class WordTokens:
     """Token ids of texts, word by word.
 
     The tokenizer drops white space and its rules never look across it, so the ids
-    of a text are those of its words; distinct words are encoded once a batch, and
-    a bounded number of them is kept between batches.
+    of a text are those of its words. Nor do its rules look across the border between
+    a letter and a closing stop or comma, so that is taken off first. Distinct words
+    are encoded once a batch, and a bounded number of them is kept between batches.
     """
 
     def __init__(self, path: str):
@@ -55,32 +59,78 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, list[int]] = {}
-
-    def words(self, words: list[str]) -> list[list[int]]:
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        out = list(map(self.kept.get, words))
-        new = [k for k, ids in enumerate(out) if ids is None]
-        for k, coded in zip(new, self.tokenizer.encode_batch_fast([words[k] for k in new], add_special_tokens=False), strict=True):
-            out[k] = coded.ids
-            if len(words[k]) <= KEPT_CHARS:
-                self.kept[words[k]] = coded.ids
-        return out
+        vocabulary = self.tokenizer.get_vocab()
+        #: Tokens that end a word, and the ids of a closing stop and comma.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
+        self.stop, self.comma = (self.encode([x])[0] for x in (".", ","))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.ids, self.starts = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words on end, and how many each has. Plain words are encoded many at a time: their last token says where they end."""
+        plain = pc.match_substring_regex(words, f"^{LETTER}+$").to_numpy(zero_copy_only=False) & (pc.binary_length(words).to_numpy() <= KEPT_CHARS)
+        counts, parts = np.zeros(len(words), np.int64), np.empty(len(words), object)
+        at = np.flatnonzero(plain)
+        listed = words.take(pa.array(at)).to_pylist()
+        flat = np.fromiter(chain.from_iterable(self.encode([" ".join(listed[k : k + JOINED]) for k in range(0, len(listed), JOINED)])), np.uint32)
+        last = np.flatnonzero(self.ends[flat])
+        if len(last) != len(at) or (len(at) and last[-1] != len(flat) - 1):
+            raise ValueError("the tokenizer does not mark the end of each word")
+        counts[at] = np.diff(last, prepend=-1)
+        for k, ids in zip(np.flatnonzero(~plain).tolist(), self.encode(words.filter(pa.array(~plain)).to_pylist()), strict=True):
+            counts[k], parts[k] = len(ids), ids
+        out = np.empty(int(counts.sum()), np.uint32)
+        owned = np.repeat(plain, counts)
+        out[owned] = flat
+        out[~owned] = np.fromiter(chain.from_iterable(parts[~plain]), np.uint32)
+        return out, counts
+
+    def words(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words in ``starts``; words that aren't known yet are added."""
+        if len(self.known) > KEPT_WORDS or len(self.ids) > 16 * KEPT_WORDS:
+            self.forget()
+        place = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(place))
+        ids, counts = self.new_words(new)
+        self.known = pa.concat_arrays([self.known, new])
+        self.ids = np.concatenate((self.ids, ids))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(counts)))
+        found = place.fill_null(0).to_numpy().astype(np.int64)
+        missing = place.is_null().to_numpy(zero_copy_only=False)
+        found[missing] = len(self.known) - len(new) + np.arange(len(new))
+        return found
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and how many each has."""
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         coded = lists.flatten().dictionary_encode()
-        ids = self.words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        starts, codes = np.cumsum(sizes) - sizes, coded.indices.to_numpy().astype(np.int64)
+        closed = pc.match_substring_regex(coded.dictionary, f"{LETTER}[.,]$")
+        comma = pc.ends_with(coded.dictionary, ",").to_numpy(zero_copy_only=False)
+        cores = pc.if_else(closed, pc.binary_slice(coded.dictionary.cast(pa.binary()), 0, -1), coded.dictionary.cast(pa.binary())).cast(pa.string()).dictionary_encode()
+        found = self.words(cores.dictionary)[cores.indices.to_numpy()] if len(cores) else np.zeros(0, np.int64)
+        closed = closed.to_numpy(zero_copy_only=False)
+        # The ids of the batch's distinct words, then those of all words by repeating them.
+        sizes = self.starts[found + 1] - self.starts[found] + closed
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.minimum(_ranges(self.starts[found], sizes), max(len(self.ids) - 1, 0))] if len(found) else np.zeros(0, np.uint32)
+        flat[ends[closed] - 1] = np.where(comma[closed], self.comma[0], self.stop[0])
+        codes = coded.indices.to_numpy()
         of_word = sizes[codes]
-        total = int(of_word.sum())
-        place = np.repeat(starts[codes] - (np.cumsum(of_word) - of_word), of_word) + np.arange(total)
         owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-        return flat[place], np.bincount(owner, weights=of_word, minlength=len(texts)).astype(np.int64)
+        return flat[_ranges((ends - sizes)[codes], of_word)], np.bincount(owner, weights=of_word, minlength=len(texts)).astype(np.int64)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``starts[k], starts[k] + 1, ...`` with ``sizes[k]`` numbers for each k, on end."""
+    total = int(sizes.sum())
+    kind = np.int32 if total < 1 << 31 and (not len(starts) or int(starts.max()) < (1 << 31) - total) else np.int64
+    return np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(kind), sizes) + np.arange(total, dtype=kind)
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -93,13 +143,6 @@ def tokens_of(path: str) -> WordTokens:
     return _TOKENS[path]
 
 
-def _slices(texts: pa.Array):
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes) // CHUNK
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(texts)])).tolist() if len(texts) else [0]
-    return zip(edges[:-1], edges[1:], strict=True)
-
-
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``_id, piece, start, length, ids_crc32`` (and ``ids``) of every piece."""
     own = pick(docs, _id=id_col, _text=text_col)
@@ -107,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         tokens = tokens_of(tokenizer)
         for batch in batches:
-            for lo, hi in _slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), CHUNK):
                 flat, counts = tokens.texts(batch.column(1).slice(lo, hi - lo))
                 ends = np.cumsum(counts)
                 row, piece, start, crc, ids = [], [], [], [], []

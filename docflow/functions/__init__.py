@@ -1 +1 @@
-"""."""
+"""Column functions: text cleaning, counts, identifiers."""

@@ -1 +1 @@
-"""."""
+"""DataFrame operators: pages, chunks, ingest rules, retrieval, catalog."""

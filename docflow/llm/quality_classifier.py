@@ -38,8 +38,8 @@ from docflow.llm.text import pick
 
 #: Size of word vectors, non-zero places of an index vector, size of the sums for repetition, and their number.
 SIZE, PLACES, SKETCH, EXTRA = 128, 4, 512, 5
-#: Bytes of text at a time, and words whose vectors are pooled at a time.
-CHUNK, POOLED = 1 << 22, 1 << 16
+#: Bytes of text at a time, distinct words, and words whose vectors are pooled at a time.
+CHUNK, WORDS, POOLED = 1 << 21, 1 << 13, 1 << 15
 TRIGRAMS = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,7 +64,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_vectors(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors (of length one) and hashes of distinct words."""
+    """Vectors (of length one) and hashes of distinct words, a bounded number of words at a time."""
+    parts = [_some_word_vectors(words.slice(k, WORDS)) for k in range(0, len(words), WORDS)]
+    if not parts:
+        return np.zeros((0, SIZE), np.float32), np.zeros(0, np.uint64)
+    return np.concatenate([v for v, _ in parts]), np.concatenate([h for _, h in parts])
+
+
+def _some_word_vectors(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     joined = np.frombuffer(("\n" + "\n".join(words.to_pylist()) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
     border = joined == 10
@@ -74,14 +81,14 @@ def word_vectors(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     # A trigram belongs to the word of its middle byte; borders stand in for a blank.
     middle = ~border[1:-1]
     slot, word = (trigram[middle] >> np.uint64(48)).astype(np.int64), owner[1:-1][middle]
-    out = np.bincount((word[:, None] * SIZE + _PLACE[slot]).ravel(), weights=_SIGN[slot].ravel(), minlength=n * SIZE).astype(float).reshape(n, SIZE)
-    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    out = np.bincount((word[:, None] * SIZE + _PLACE[slot]).ravel(), weights=_SIGN[slot].ravel(), minlength=n * SIZE).astype(np.float32).reshape(n, SIZE)
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), np.float32(1e-9))
     place = np.arange(len(word)) - np.searchsorted(word, word)
     with np.errstate(over="ignore"):
         terms = _mixed(b[1:-1][middle] + np.uint64(257) * place.astype(np.uint64))
         # The closing zero is there for words without a byte, which no text uses.
-        hashes = _mixed(np.add.reduceat(np.append(terms, np.uint64(0)), np.searchsorted(word, np.arange(n)))) if n else np.zeros(0, np.uint64)
-    return out.astype(np.float32), hashes
+        hashes = _mixed(np.add.reduceat(np.append(terms, np.uint64(0)), np.searchsorted(word, np.arange(n))))
+    return out, hashes
 
 
 def _repeats(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:

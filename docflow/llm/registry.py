@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docflow.llm import q_decontamination, q_html_text, q_packing, q_quality_classifier, q_quality_rules, q_secret_scan, q_simhash, q_substring_dedup, q_url_rules
+from docflow.llm import q_decontamination, q_html_text, q_license_scan, q_packing, q_quality_classifier, q_quality_rules, q_secret_scan, q_simhash, q_substring_dedup, q_url_rules
 
 
 def queries():
     return {
         "op1_quality_rules": q_quality_rules.op1_quality_rules,
+        "op2_license_scan": q_license_scan.op2_license_scan,
         "op3_best_fit_packing": q_packing.op3_best_fit_packing,
         "op4_quality_classifier": q_quality_classifier.op4_quality_classifier,
         "op5_secret_scan": q_secret_scan.op5_secret_scan,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,3 +22,13 @@ def slices(texts: pa.Array, chars: int) -> Iterator[tuple[int, int]]:
 def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
     """A list array with ``counts`` values a row."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), values)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that hands unused memory back at the end of a partition: workers live on between stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped

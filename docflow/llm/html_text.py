@@ -30,6 +30,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docflow.llm.arrow import lean
 from docflow.llm.text import pick
 
 #: Elements by role (fixed values from the HTML standard).
@@ -270,4 +271,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["_id", "_url", "text", "n_chars"])
 
     kind = own.schema["_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"_id {kind}, _url string, text string, n_chars bigint").withColumnsRenamed({"_id": id_col, "_url": url_col})
+    return own.mapInArrow(lean(run), f"_id {kind}, _url string, text string, n_chars bigint").withColumnsRenamed({"_id": id_col, "_url": url_col})

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docflow.llm.arrow import slices
+from docflow.llm.arrow import lean, slices
 from docflow.llm.storage import stored
 from docflow.llm.text import pick
 
@@ -170,7 +170,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     kind = own.schema["_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+    return own.mapInArrow(lean(run), f"_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -343,7 +343,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, bins: int = FIT_BINS) -> Da
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence[at] + rank - ranks[at]), pa.array(offset[at])], [*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    return ranked.mapInArrow(run, f"{fields}, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(lean(run), f"{fields}, sequence_id bigint, offset bigint")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from docflow.llm.arrow import slices
+from docflow.llm.arrow import lean, slices
 from docflow.llm.storage import stored
 from docflow.llm.text import pick
 
@@ -145,7 +145,7 @@ def document_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), SIZE + EXTRA).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), flat], ["_id", "x"])
 
-    return own.mapInArrow(run, f"_id {own.schema['_id'].dataType.simpleString()}, x array<float>")
+    return own.mapInArrow(lean(run), f"_id {own.schema['_id'].dataType.simpleString()}, x array<float>")
 
 
 @dataclass
@@ -244,5 +244,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             values = net.scores(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["_id", "score"])
 
-    scored = vectors.mapInArrow(run, f"_id {vectors.schema['_id'].dataType.simpleString()}, score double")
+    scored = vectors.mapInArrow(lean(run), f"_id {vectors.schema['_id'].dataType.simpleString()}, score double")
     return scored.select(F.col("_id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from docflow.llm.arrow import lean
 from docflow.llm.components import components
 from docflow.llm.storage import stored
 from docflow.llm.text import pick
@@ -67,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = [simhash(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["_id", "_fp"])
 
-    return own.mapInArrow(run, T.StructType([own.schema["_id"], T.StructField("_fp", T.LongType())]))
+    return own.mapInArrow(lean(run), T.StructType([own.schema["_id"], T.StructField("_fp", T.LongType())]))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -169,7 +170,7 @@ def grouped_links(keyed: DataFrame, bits: int) -> DataFrame:
             if left and sum(map(len, left)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)], ["a", "b"])
 
-    return keyed.select("_g", "_fp").mapInArrow(run, "a bigint, b bigint")
+    return keyed.select("_g", "_fp").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def links(distinct: DataFrame, bits: int = 4, block: int = 8192) -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from docflow.llm.arrow import lean, lists, slices
 from docflow.llm.storage import stored
 from docflow.llm.text import pick
 
@@ -42,13 +43,13 @@ _ODD = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) * np.
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and the number of words of each."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
-    coded = lists.flatten().dictionary_encode()
+    found = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    coded = found.flatten().dictionary_encode()
     bare = pc.utf8_trim(coded.dictionary, characters=PUNCTUATION).to_pylist()
     table = np.array([xxhash.xxh64_intdigest(x) for x in bare], np.uint64)
     has_word = np.array([bool(x) for x in bare], bool)
     codes = coded.indices.to_numpy()
-    owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    owner = np.repeat(np.arange(len(texts)), np.diff(found.offsets.to_numpy()))
     kept = has_word[codes] if len(codes) else np.zeros(0, bool)
     return (table[codes[kept]] if len(codes) else np.zeros(0, np.uint64)), np.bincount(owner[kept], minlength=len(texts))
 
@@ -73,18 +74,6 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h >> np.uint64(64 - BITMAP_BITS), (h >> np.uint64(8)) & np.uint64((1 << BITMAP_BITS) - 1)
 
 
-def _chunks(texts: pa.Array):
-    """Slices of a batch by size of text."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    group = (np.cumsum(sizes) // CHUNK).astype(np.int64)
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(texts)])) if len(texts) else np.zeros(1, int)
-    return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
-
-
-def _list(values: pa.Array, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), values)
-
-
 def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_row, _item, _iw`` (word hashes) of the items that are long enough."""
     own = pick(items, _item=id_col, _text=text_col).select(F.monotonically_increasing_id().alias("_row"), F.col("_item"), F.col("_text"))
@@ -92,9 +81,9 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             words, counts = word_hashes(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _list(pa.array(words.view(np.int64)), counts)], ["_row", "_item", "_iw"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(pa.array(words.view(np.int64)), counts)], ["_row", "_item", "_iw"])
 
-    return own.mapInArrow(run, f"_row bigint, _item {own.schema['_item'].dataType.simpleString()}, _iw array<bigint>").where(F.size("_iw") >= SHORT)
+    return own.mapInArrow(lean(run), f"_row bigint, _item {own.schema['_item'].dataType.simpleString()}, _iw array<bigint>").where(F.size("_iw") >= SHORT)
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
@@ -102,9 +91,9 @@ def item_seeds(items: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
-            counts = np.diff(lists.offsets.to_numpy())
-            words, owner = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(counts)), counts)
+            found = batch.column(1)
+            counts = np.diff(found.offsets.to_numpy())
+            words, owner = found.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(counts)), counts)
             starts, rows = np.cumsum(counts) - counts, batch.column(0).to_numpy()
             for mask in range(len(MASKS)):
                 at, h = seeds(words, owner, mask)
@@ -112,7 +101,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
                 at, h = at[use], h[use]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rows[owner[at]]), pa.array((at - starts[owner[at]]).astype(np.int32)), pa.array(np.full(len(at), mask, np.int32))], ["_h", "_row", "_ip", "_mask"])
 
-    return items.select("_row", "_iw").mapInArrow(run, "_h bigint, _row bigint, _ip int, _mask int")
+    return items.select("_row", "_iw").mapInArrow(lean(run), "_h bigint, _row bigint, _ip int, _mask int")
 
 
 def seed_bitmap(found: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -134,19 +123,18 @@ def document_hits(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarra
         bits = sent.value
         for batch in batches:
             texts = batch.column(2)
-            for lo, hi in _chunks(texts):
+            for lo, hi in slices(texts, CHUNK):
                 words, counts = word_hashes(texts.slice(lo, hi - lo))
                 owner, starts = np.repeat(np.arange(hi - lo), counts), np.cumsum(counts) - counts
                 at, hashes = [], []
                 for mask in masks:
                     a, h = seeds(words, owner, mask)
-                    for slot in _slots(h)[:1]:
+                    for which in (0, 1):
+                        slot = _slots(h)[which]
                         on = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
                         a, h = a[on], h[on]
-                    slot = _slots(h)[1]
-                    on = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    at.append(a[on])
-                    hashes.append(h[on])
+                    at.append(a)
+                    hashes.append(h)
                 at, hashes = np.concatenate(at), np.concatenate(hashes)
                 if not len(at):
                     continue
@@ -156,11 +144,11 @@ def document_hits(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarra
                 kept = np.isin(owner, hit)
                 took = pa.array(hit + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(took), batch.column(1).take(took), _list(pa.array(words[kept].view(np.int64)), counts[hit]), _list(pa.array(hashes.view(np.int64)), sizes), _list(pa.array((at - starts[owner[at]]).astype(np.int32)), sizes)],
+                    [batch.column(0).take(took), batch.column(1).take(took), lists(pa.array(words[kept].view(np.int64)), counts[hit]), lists(pa.array(hashes.view(np.int64)), sizes), lists(pa.array((at - starts[owner[at]]).astype(np.int32)), sizes)],
                     ["_doc", "_id", "_w", "_h", "_p"],
                 )
 
-    return own.mapInArrow(run, f"_doc bigint, _id {own.schema['_id'].dataType.simpleString()}, _w array<bigint>, _h array<bigint>, _p array<int>")
+    return own.mapInArrow(lean(run), f"_doc bigint, _id {own.schema['_id'].dataType.simpleString()}, _w array<bigint>, _h array<bigint>, _p array<int>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_coverage: float = 0.8) -> DataFrame:

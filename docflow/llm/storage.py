@@ -7,34 +7,24 @@ temporary folder of its own.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from docflow.sources.workspace import new_path, shared_dir
 
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; on a cluster the session must name it."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="docflow-"))
-    return f"file://{_OWN[0]}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docflow/{name}-{uuid.uuid4().hex}"
+#: Rows that go to Python at a time: whole texts are among them, on both sides of the socket.
+BATCH_ROWS = 1024
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,8 @@ ends a line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: Words and patterns that decide results.
@@ -16,6 +18,11 @@ LABEL_AND_NUMBER = r"(?mdiU)^([^\n:]{2,}?:)\s*\n\s*(\d{3,})\s*$"
 HEADING = r"(?sU)^\s{0,3}#{1,6}\s*([^\n#].*?)\s*\z"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is referred to, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
@@ -81,7 +88,7 @@ def highlights(content: Column, question: Column) -> Column:
     """Words of the question that occur in the content as whole words, in any case; order and repeats kept."""
     # \E inside a word would end the quotation.
     quoted = lambda w: F.concat(F.lit(r"(?iU)\b\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
-    return F.filter(words(question), lambda w: F.regexp_like(F.coalesce(content, F.lit("")), quoted(w)))
+    return bound(F.coalesce(content, F.lit("")), lambda c: F.filter(words(question), lambda w: F.regexp_like(c, quoted(w))))
 
 
 def model_directory(model: Column) -> Column:

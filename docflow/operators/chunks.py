@@ -32,17 +32,21 @@ def heading_sections(text: Column) -> Column:
     Headings without a line below are dropped. Positions of headings cut the lines,
     so the cost is linear in the lines.
     """
-    lines = F.split(text, "\n")
-    starts = F.concat(F.array(F.lit(0)), F.filter(F.transform(lines, lambda x, i: F.when(X.is_heading(x), i + 1)), lambda i: i.isNotNull()))
-    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines) + 1))
-    section = F.transform(
-        F.arrays_zip(starts.alias("a"), ends.alias("b")),
-        lambda s: F.struct(
-            F.when(s["a"] == 0, F.lit("Introduction")).otherwise(X.heading_text(F.get(lines, s["a"] - 1))).alias("heading"),
-            F.slice(lines, s["a"] + 1, s["b"] - s["a"] - 1).alias("lines"),
-        ),
-    )
-    kept = F.filter(section, lambda s: F.size(s["lines"]) > 0)
+
+    def cut(lines: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.filter(F.transform(lines, lambda x, i: F.when(X.is_heading(x), i + 1)), lambda i: i.isNotNull()))
+        return X.bound(starts, lambda a: between(lines, a, F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(lines) + 1))))
+
+    def between(lines: Column, starts: Column, ends: Column) -> Column:
+        return F.transform(
+            F.arrays_zip(starts.alias("a"), ends.alias("b")),
+            lambda s: F.struct(
+                F.when(s["a"] == 0, F.lit("Introduction")).otherwise(X.heading_text(F.get(lines, s["a"] - 1))).alias("heading"),
+                F.slice(lines, s["a"] + 1, s["b"] - s["a"] - 1).alias("lines"),
+            ),
+        )
+
+    kept = F.filter(X.bound(F.split(text, "\n"), cut), lambda s: F.size(s["lines"]) > 0)
     return F.transform(kept, lambda s: F.struct(s["heading"].alias("heading"), F.array_join(s["lines"], "\n").alias("content")))
 
 
@@ -56,12 +60,14 @@ def node_sections(text: Column, cfg: NodeSplitConfig = NodeSplitConfig()) -> Col
 def sections(text: Column, legal: bool) -> Column:
     """Sections of a cleaned text with their chunk type: legal, hierarchical or generic."""
     typed = lambda found, kind: F.transform(found, lambda s: F.struct(s["heading"].alias("heading"), F.lit(kind).alias("chunk_type"), s["content"].alias("content")))
-    by_heading = heading_sections(text)
-    trimmed = F.transform(by_heading, lambda s: F.struct(s["heading"].alias("heading"), X.strip(s["content"]).alias("content")))
-    out = F.when(F.size(by_heading) > 1, typed(F.filter(trimmed, lambda s: s["content"] != ""), "hierarchical")).otherwise(
-        F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.lit("generic").alias("chunk_type"), text.alias("content")))
-    )
-    return F.when(text.contains("§"), typed(legal_sections(text), "legal")).otherwise(out) if legal else out
+    none = F.lit(None).cast("string")
+    generic = lambda t: F.array(F.struct(none.alias("heading"), F.lit("generic").alias("chunk_type"), t.alias("content")))
+
+    def by_heading(t: Column) -> Column:
+        trimmed = lambda found: F.transform(found, lambda s: F.struct(s["heading"].alias("heading"), X.strip(s["content"]).alias("content")))
+        return X.bound(heading_sections(t), lambda found: F.when(F.size(found) > 1, typed(F.filter(trimmed(found), lambda s: s["content"] != ""), "hierarchical")).otherwise(generic(t)))
+
+    return X.bound(text, lambda t: F.when(t.contains("§"), typed(legal_sections(t), "legal")).otherwise(by_heading(t)) if legal else by_heading(t))
 
 
 def apply_split(df: DataFrame, column: str, split: Callable[[str], list[str]]) -> DataFrame:

@@ -42,7 +42,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int | None = 10, within: tup
     these remain. Null or 0 for k means 10. Rows and queries without a vector are left out.
     """
     k = int(k or 10)
-    keyed = lambda df, name, key: df.where("id is not null and vector is not null").select(F.col("id").alias(name), F.col("vector").alias("_v"), (F.col(key) if key else F.lit(0)).alias("_w"))
+    keyed = lambda df, name, key: df.where("id is not null and vector is not null").select(F.col("id").alias(name), F.col("vector").alias("_v"), (F.col(key).cast("string") if key else F.lit("")).alias("_w"))
     left, right = keyed(queries, "_q", within and within[0]), keyed(rows, "_r", within and within[1])
     blocks = lambda df, out: df.groupBy("_w").agg(F.ceil(F.count("*") / block).cast("int").alias(out))
     sizes = blocks(left, "_nq").join(blocks(right, "_nr"), "_w")
@@ -81,8 +81,7 @@ def sources(rows: DataFrame, content: str, page: str, question: str) -> DataFram
 
 def parse_answer(raw: Column) -> Column:
     """The generator's JSON as a struct; anything else fails."""
-    parsed = F.from_json(raw, ANSWER, {"mode": "FAILFAST"})
-    return parsed
+    return F.from_json(raw, ANSWER, {"mode": "FAILFAST"})
 
 
 def stored_answer(answer: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.functions import ids, text as X
-from docflow.operators import chunks, ingest, pages as P, span_chunks
+from docflow.operators import chunks, flow, ingest, pages as P, span_chunks
 from docflow.schema import IngestConfig, SplitConfig
 from docflow.sources.files import document_pages, lines_of
 
@@ -366,3 +366,24 @@ def split_text(spark, sf_dir):
 def chunk_cap(spark, sf_dir):
     """At most seven chunks of each document: the cap is the feature."""
     return chunks.capped(documents(spark, sf_dir).select("source", "doc_id"), "source", ["doc_id"], 7)
+
+
+@query(
+    "ingest_report",
+    f"""WITH {SINGLE}, p AS (SELECT source, count(*) AS n FROM documents WHERE {PAGE_CLEAN.format('text')} <> '' GROUP BY source),
+    u AS (SELECT source, count(DISTINCT {NORM.format('content')})::BIGINT AS k FROM s WHERE tokens <= 512 AND length({LSTRIP.format('content')}) >= 5 GROUP BY source)
+    SELECT source, CASE WHEN coalesce(k, 0) > 0 THEN 'success' ELSE 'error' END AS status, n AS pages_processed, false AS ocr_used, coalesce(k, 0) AS chunk_count, coalesce(k, 0) AS stored, CASE WHEN coalesce(k, 0) = 0 THEN 'no_usable_chunks_after_split' END AS reason FROM p LEFT JOIN u USING (source)""",
+)
+def ingest_report(spark, sf_dir):
+    """The report over pages short enough for one chunk, so that SQL can follow."""
+    docs = documents(spark, sf_dir).select("source", (D("doc_id") + 1).cast("int").alias("n"), "text")
+    records = P.page_records(docs, "source", "n", "text")
+    short = docs.withColumn("c", X.boilerplate_clean(D("text"))).where((X.strip(D("c")) != "") & (X.token_count(D("c")) <= SplitConfig().max_tokens_single))
+    unique = ingest.first_of_equal(short.where(ingest.long_enough(D("c"), 5)).select("source", "n", "c"), "source", "c", ["n"])
+    return flow.ingest_report(records, unique, "source")
+
+
+@query("page_chunks")
+def page_chunks(spark, sf_dir):
+    """Pages through splitting, filters and deduplication."""
+    return flow.page_chunks(document_pages(documents(spark, sf_dir)), "document_id", "page", "text")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docflow.operators.catalog import MIME_TYPES
+from docflow.operators.catalog import MAX_UPLOADS, MIME_TYPES
 
 #: Suffixes of the accepted types.
 SUFFIXES = {"pdf": MIME_TYPES[0], "docx": MIME_TYPES[1], "txt": MIME_TYPES[2]}
@@ -28,6 +30,51 @@ def text_pages(files: DataFrame) -> DataFrame:
     return rows.select("document_id", (F.col("_p") + 1).alias("page"), "text", F.when(~F.col("_plain"), F.lit("PDF processing failed")).alias("error"))
 
 
+def decoded_pages(files: DataFrame, decode: Callable[[bytes], list[str]]) -> DataFrame:
+    """Pages of uploads through a decoder: ``document_id, page, total, text, error``.
+
+    A file the decoder fails on is one row with an error and no page; the others go on.
+    """
+
+    def read(content: bytes) -> tuple[list[str], str | None]:
+        try:
+            return decode(content), None
+        except Exception:  # noqa: BLE001 - a broken file must not stop the others
+            return [], "PDF processing failed"
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pages, error = read(content)
+                rows += [(name, k + 1, len(pages), t, None) for k, t in enumerate(pages)]
+                if error:
+                    rows.append((name, None, None, None, error))
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["document_id", "page", "total", "text", "error"])
+
+    return files.select("filename", "content").mapInArrow(run, "document_id string, page int, total int, text string, error string")
+
+
+def accepted(names: list[str]) -> list[str]:
+    """Names of one upload; more than the limit, or one of another type, fails."""
+    if len(names) > MAX_UPLOADS:
+        raise ValueError(f"at most {MAX_UPLOADS} files")
+    if wrong := [n for n in names if n.rpartition(".")[2].lower() not in SUFFIXES]:
+        raise ValueError(f"only PDF, DOCX and TXT files: {wrong}")
+    return names
+
+
+def items_text(items: Column) -> Column:
+    """Items of a page joined by a blank, as they are."""
+    return F.array_join(items, " ")
+
+
+def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    """A table of a relational store; give ``partitionColumn``, bounds and ``numPartitions`` for a large one."""
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
 def safe_path(path: str, root: str) -> Path:
     """The path below the upload root; one outside fails, and so does one that isn't there."""
     found = (Path(root) / path).resolve()

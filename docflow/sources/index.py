@@ -18,14 +18,18 @@ def save(chunks: DataFrame, path: str, model: str) -> None:
     """
     known = F.when(F.col("document_id").isNull(), F.raise_error(F.lit("a chunk has no document id")).cast("string")).otherwise(F.col("document_id").cast("string"))
     rows = chunks.withColumns({"embedding_model": model_directory(F.lit(model)), "document_id": known})
-    rows = rows.repartition("document_id", F.pmod(F.xxhash64(*[c for c in chunks.columns if c != "document_id"]), F.lit(8)))
+    # Maps have no hash.
+    spread = [f.name for f in chunks.schema if f.name != "document_id" and "map<" not in f.dataType.simpleString()]
+    rows = rows.repartition("document_id", *([F.pmod(F.xxhash64(*spread), F.lit(8))] if spread else []))
     rows.write.partitionBy(*KEYS).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def load(spark: SparkSession, path: str, model: str, document: str | None = None) -> DataFrame:
     """The index of a model, or of one of its documents: other partitions are not read."""
     rows = spark.read.option("basePath", path).parquet(path).where(F.col("embedding_model") == model_directory(F.lit(model)))
-    return rows if document is None else rows.where(F.col("document_id").cast("string") == document)
+    # Partition values come back as the type they look like; ids are strings.
+    rows = rows.withColumn("document_id", F.col("document_id").cast("string"))
+    return rows if document is None else rows.where(F.col("document_id") == document)
 
 
 def load_or_none(spark: SparkSession, path: str, model: str, document: str | None = None) -> DataFrame | None:

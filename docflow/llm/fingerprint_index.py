@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docflow.llm.arrow import lists, slices
+from docflow.llm.arrow import lean, lists, slices
 from docflow.llm.storage import discard, new_path, stored
 from docflow.llm.text import pick
 
@@ -109,7 +109,7 @@ def summaries(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 found = lists(pa.array(hashes[place].view(np.int64)), np.bincount(owner[place], minlength=hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array([_digest(t) for t in texts.to_pylist()]), found], ["_id", "_th", "n_words", "_sha", "_anchors"])
 
-    return own.mapInArrow(run, f"_id {own.schema['_id'].dataType.simpleString()}, _th bigint, n_words bigint, _sha string, _anchors array<bigint>")
+    return own.mapInArrow(lean(run), f"_id {own.schema['_id'].dataType.simpleString()}, _th bigint, n_words bigint, _sha string, _anchors array<bigint>")
 
 
 class FingerprintIndex:
@@ -167,7 +167,7 @@ class FingerprintIndex:
 
 
 def live_windows(live: DataFrame, width: int, gram: int) -> DataFrame:
-    """``h, _id, _th, start, w``: for each shared anchor of a text the hashes of its windows, from ``start`` on."""
+    """``h, _id, _th, w, start, more``: for each shared anchor hash of a text its distinct windows, their first places, and all places of those that recur."""
 
     def run(batches):
         for batch in batches:
@@ -178,21 +178,31 @@ def live_windows(live: DataFrame, width: int, gram: int) -> DataFrame:
                 start, place, hashes = anchors(words, owner, width, gram)
                 asked = shared.slice(lo, hi - lo)
                 known = np.unique(asked.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-                use = np.isin(hashes[place], known)
-                start, place = start[use], place[use]
+                anchor = hashes[place]
+                use = np.isin(anchor, known)
+                start, anchor = start[use], anchor[use]
                 if not len(start):
                     continue
-                full = _grams(words, width)[start]
-                # Windows of one anchor stand next to each other.
-                cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-                row = owner[start[cut]]
-                took = pa.array(row + lo)
+                full, text = _grams(words, width)[start], owner[start]
+                order = np.lexsort((start, full, anchor, text))
+                start, anchor, full, text = (x[order] for x in (start, anchor, full, text))
+                new_row = np.concatenate(([True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])))
+                new_window = new_row | np.concatenate(([True], full[1:] != full[:-1]))
+                row, window = np.flatnonzero(new_row), np.flatnonzero(new_window)
+                at = (start - first[text]).astype(np.int32)
+                times = np.diff(np.append(window, len(start)))
+                # Places of windows that stand once are not listed again.
+                listed = np.repeat(times > 1, times)
+                offsets = np.concatenate(([0], np.cumsum(np.where(times > 1, times, 0)))).astype(np.int32)
+                more = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[listed]), mask=pa.array(times == 1))
+                per_row = np.diff(np.append(np.flatnonzero(new_row[window]), len(window)))
+                took = pa.array(text[row] + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[place[cut]].view(np.int64)), batch.column(0).take(took), batch.column(1).take(took), pa.array((start[cut] - first[row]).astype(np.int32)), lists(pa.array(full.view(np.int64)), np.diff(np.append(cut, len(start))))],
-                    ["h", "_id", "_th", "start", "w"],
+                    [pa.array(anchor[row].view(np.int64)), batch.column(0).take(took), batch.column(1).take(took), lists(pa.array(full[window].view(np.int64)), per_row), lists(pa.array(at[window]), per_row), lists(more, per_row)],
+                    ["h", "_id", "_th", "w", "start", "more"],
                 )
 
-    return live.select("_id", "_th", "_text", "_hs").mapInArrow(run, f"h bigint, _id {live.schema['_id'].dataType.simpleString()}, _th bigint, start int, w array<bigint>")
+    return live.select("_id", "_th", "_text", "_hs").mapInArrow(lean(run), f"h bigint, _id {live.schema['_id'].dataType.simpleString()}, _th bigint, w array<bigint>, start array<int>, more array<array<int>>")
 
 
 def kept_words(rows: DataFrame, width: int) -> DataFrame:
@@ -212,7 +222,7 @@ def kept_words(rows: DataFrame, width: int) -> DataFrame:
                 digests.append(hashlib.sha256(b" ".join([words[k] for k in np.flatnonzero(~gone).tolist()])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["_id", "_th", "n_removed", "_kept"])
 
-    return rows.select("_id", "_th", "_text", "_at").mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _th bigint, n_removed bigint, _kept string")
+    return rows.select("_id", "_th", "_text", "_at").mapInArrow(lean(run), f"_id {rows.schema['_id'].dataType.simpleString()}, _th bigint, n_removed bigint, _kept string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = 4, max_runs: int = 2) -> DataFrame:
@@ -246,10 +256,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = own.where("_id is not null").select("_id", F.xxhash64("_text").alias("_th"), "_text")
     live = stored(texts.join(asked, ["_id", "_th"]), "live")
     windows = stored(live_windows(live, width, gram), "windows")
-    each = windows.select("h", "_id", "_th", F.posexplode("w").alias("k", "w"), "start")
+    # A window that recurs in one text is one row, so a repetitive text is no hot key.
+    each = windows.select("h", "_id", "_th", F.explode(F.arrays_zip("w", "start", "more")).alias("x")).select("h", "_id", "_th", "x.*")
     earliest = each.groupBy("h", "w").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).where("a != b").select("h", "w", "a")
     later = each.join(earliest, ["h", "w"]).where("_id > a")
-    starts = later.groupBy("_id", "_th").agg(F.collect_set(F.col("start") + F.col("k")).alias("_at"))
+    starts = later.groupBy("_id", "_th").agg(F.flatten(F.collect_list(F.coalesce("more", F.array("start")))).alias("_at"))
     removed = kept_words(live.drop("_hs").join(starts, ["_id", "_th"]), width).dropDuplicates(["_id", "_th"])
 
     out = classed.join(removed, ["_id", "_th"], "left")

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docflow.functions import ids, text as X
+from docflow.operators.joins import to_totals
 from docflow.schema import PageConfig
 
 
@@ -65,7 +66,7 @@ def page_records(pages: DataFrame, document: str, number: str, embedded: str, re
     rows = read.select(document, "pageNumber", F.col("_p.source").alias("textSource"), (X.page_clean(F.col("_p.text")) if cfg.trim else F.col("_p.text")).alias("content"))
     if cfg.skip_empty:
         rows = rows.where(X.strip(F.col("content")) != "")
-    out = rows.join(totals, document).withColumns(
+    out = to_totals(rows, totals, document).withColumns(
         {
             "pageId": ids.page_id(F.col(document), F.col("pageNumber")), "headings": X.headings(F.col("content")), "wordCount": X.word_count(F.col("content")),
             "charCount": F.length("content"), "pageIndicator": X.page_indicator(F.col("pageNumber"), F.col("_total")),
@@ -84,7 +85,7 @@ def extraction_summary(pages: DataFrame, records: DataFrame, document: str) -> D
 def view_pages(pages: DataFrame, document: str, number: str, items: str) -> DataFrame:
     """Viewer rows: items joined, empty pages kept, with the number of pages and ``Page i``."""
     totals = pages.groupBy(document).agg(F.count("*").alias("totalPages"))
-    return pages.join(totals, document).select(document, F.col(number).alias("pageNumber"), X.view_text(F.col(items)).alias("text"), "totalPages", X.page_indicator(F.col(number)).alias("pageIndicator"))
+    return to_totals(pages, totals, document).select(document, F.col(number).alias("pageNumber"), X.view_text(F.col(items)).alias("text"), "totalPages", X.page_indicator(F.col(number)).alias("pageIndicator"))
 
 
 def numbered(pages: DataFrame, number: str) -> DataFrame:

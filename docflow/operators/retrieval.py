@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docflow.functions import text as X
+from docflow.operators.joins import to_totals
 from docflow.schema import ANSWER, AnswerConfig
 
 #: Rows of one block of queries and of vectors.
@@ -48,8 +49,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int | None = 10, within: tup
     sizes = blocks(left, "_nq").join(blocks(right, "_nr"), "_w")
     part = lambda name, n: F.pmod(F.xxhash64(name), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = left.join(sizes, "_w").select("_w", "_q", "_v", part("_q", "_nq").alias("_a"), every("_nr").alias("_b"))
-    right = right.join(sizes, "_w").select("_w", "_r", "_v", part("_r", "_nr").alias("_b"), every("_nq").alias("_a"))
+    left = to_totals(left, sizes, "_w").select("_w", "_q", "_v", part("_q", "_nq").alias("_a"), every("_nr").alias("_b"))
+    right = to_totals(right, sizes, "_w").select("_w", "_r", "_v", part("_r", "_nr").alias("_b"), every("_nq").alias("_a"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):

@@ -5,7 +5,8 @@ substituted word leaves most seeds around it whole. Seeds of the benchmark items
 and of the documents are joined on their hash; each hit fixes a diagonal (document
 place less item place), and on that diagonal the item is compared word by word.
 A document holds an item when at least ``min_coverage`` of the item's words
-stand in their places on the hit diagonals (several, where words were inserted).
+stand in their places on the hit diagonals (several, where words were inserted), or
+``min_run`` of them in a row.
 
 Before the join, documents test their seeds against a bitmap of all benchmark
 seeds. Its size is fixed (``BITMAP_BITS``) however large the benchmark is, and it
@@ -151,8 +152,8 @@ def document_hits(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarra
     return own.mapInArrow(lean(run), f"_doc bigint, _id {own.schema['_id'].dataType.simpleString()}, _w array<bigint>, _h array<bigint>, _p array<int>")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_coverage: float = 0.8) -> DataFrame:
-    """``id_col, item_col, item_words, matched_words, coverage`` for every document and item it holds."""
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_coverage: float = 0.8, min_run: int = 13) -> DataFrame:
+    """``id_col, item_col, item_words, matched_words, longest_run, coverage`` for every document and item it holds."""
     own = stored(item_words(items, item_col, item_text_col), "items")
     found = stored(item_seeds(own), "seeds")
     bitmap, masks = seed_bitmap(found)
@@ -161,6 +162,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     diagonals = each.join(found.select("_h", "_row", "_ip"), "_h").select("_doc", "_row", (F.col("_p") - F.col("_ip")).alias("_off")).distinct()
     pairs = diagonals.join(hits.select("_doc", "_id", "_w"), "_doc").join(own, "_row")
     place = F.filter(F.sequence(F.lit(0), F.size("_iw") - 1), lambda p: F.get("_w", p + F.col("_off")) == F.get("_iw", p))
-    matched = pairs.select("_doc", "_id", "_row", "_item", F.size("_iw").alias("_n"), place.alias("_m")).groupBy("_doc", "_row").agg(F.first("_id").alias("_id"), F.first("_item").alias("_item"), F.first("_n").alias("_n"), F.size(F.array_distinct(F.flatten(F.collect_list("_m")))).alias("_k"))
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_m"))))
+    matched = pairs.select("_doc", "_id", "_row", "_item", F.size("_iw").alias("_n"), place.alias("_m")).groupBy("_doc", "_row").agg(F.first("_id").alias("_id"), F.first("_item").alias("_item"), F.first("_n").alias("_n"), every.alias("_at"))
+    run = F.aggregate(
+        "_at", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best")),
+        lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1).alias("now"), F.greatest(a["best"], F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1)).alias("best")),
+        lambda a: a["best"],
+    )
+    matched = matched.withColumns({"_k": F.size("_at"), "_run": run})
     share = F.col("_k") / F.col("_n")
-    return matched.where(share >= min_coverage).select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), F.col("_n").cast("long").alias("item_words"), F.col("_k").cast("long").alias("matched_words"), share.alias("coverage"))
+    return matched.where((share >= min_coverage) | (F.col("_run") >= min_run)).select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), F.col("_n").cast("long").alias("item_words"), F.col("_k").cast("long").alias("matched_words"), F.col("_run").cast("long").alias("longest_run"), share.alias("coverage"))

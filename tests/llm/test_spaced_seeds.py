@@ -8,7 +8,15 @@ def tokens(text):
     return [t for t in (w.strip(S.PUNCTUATION) for w in (text or "").lower().split()) if t]
 
 
-def plain(docs, items, least=0.8):
+def longest(dw, iw, offset):
+    best = now = 0
+    for i, w in enumerate(iw):
+        now = now + 1 if 0 <= i + offset < len(dw) and dw[i + offset] == w else 0
+        best = max(best, now)
+    return best
+
+
+def plain(docs, items, least=0.8, run=13):
     found = set()
     for item, text in items:
         iw = tokens(text)
@@ -22,7 +30,8 @@ def plain(docs, items, least=0.8):
             for i, w in enumerate(iw):
                 for p in places.get(w, ()):
                     diagonals[p - i] = diagonals.get(p - i, 0) + 1
-            if diagonals and max(diagonals.values()) / len(iw) >= least:
+            runs = [longest(dw, iw, o) for o, n in diagonals.items() if n >= run]
+            if diagonals and (max(diagonals.values()) / len(iw) >= least or max(runs, default=0) >= run):
                 found.add((doc, item))
     return found
 
@@ -43,13 +52,13 @@ def test_substitutions_insertions_and_clean_documents(spark):
     fill = lambda n: [word() for _ in range(n)]
     changed = [w if k % 9 else word() for k, w in enumerate(item)]
     inserted = item[:20] + ["extra"] + item[20:]
-    half = item[:20]
-    docs = [(1, fill(30) + item + fill(5)), (2, fill(3) + [w.upper() + "," for w in changed]), (3, inserted + fill(9)), (4, fill(80)), (5, half + fill(50)), (6, item * 50)]
+    half, bit = item[:20], item[5:16]
+    docs = [(1, fill(30) + item + fill(5)), (2, fill(3) + [w.upper() + "," for w in changed]), (3, inserted + fill(9)), (4, fill(80)), (5, half + fill(50)), (6, item * 50), (9, fill(9) + bit + fill(40))]
     rows = [(d, " ".join(w), "x") for d, w in docs] + [(7, None, "x"), (8, "", "x"), (None, " ".join(item), None), (1, " ".join(fill(3) + item), "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, _w string")
     bench = spark.createDataFrame([(1, " ".join(item), 0), (2, "too short", 0), (3, None, 0), (4, " ".join(item[:6]), 0), (None, " ".join(item), 0)], "item_id bigint, text string, _iw int")
     got = S.contaminated(df, bench).collect()
-    assert sorted(str(r.doc_id) for r in got if r.item_id == 1) == sorted(["1", "1", "2", "3", "6", "None"])
-    assert sum(r.item_id is None for r in got) == 6
+    assert sorted(str(r.doc_id) for r in got if r.item_id == 1) == sorted(["1", "1", "2", "3", "5", "6", "None"])
+    assert sum(r.item_id is None for r in got) == 7
     assert {r.doc_id for r in got if r.item_id == 4} >= {1, 3, 5, 6}
     assert S.contaminated(df.limit(0), bench).collect() == [] and S.contaminated(df, bench.limit(0)).collect() == []

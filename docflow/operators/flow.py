@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.functions import text as X
 from docflow.operators import chunks, ingest, pages as P, retrieval as R
 from docflow.plugins import extractive_answer, hash_embedding
 from docflow.schema import AnswerConfig, IngestConfig, PageConfig, SplitConfig
-from docflow.sources import index
+from docflow.sources import index, sinks
+
+log = logging.getLogger(__name__)
 
 
 def page_chunks(pages: DataFrame, document: str, page: str, text: str, cfg: SplitConfig = SplitConfig(), rules: IngestConfig = IngestConfig()) -> DataFrame:  # noqa: B008
@@ -51,7 +54,7 @@ def ingest_texts(texts: DataFrame, document: str, place: str, text: str, path: s
     return ingest.counters(texts, made, document, text, "content", rules)
 
 
-def unsupported(spark, document: str) -> DataFrame:
+def unsupported(spark: SparkSession, document: str) -> DataFrame:
     """The report on a source of no known kind."""
     return spark.createDataFrame([(document, "error", "unsupported_source_type")], "document_id string, status string, reason string")
 
@@ -84,3 +87,26 @@ def chat_messages(answers: DataFrame, document: str) -> DataFrame:
         F.struct(F.lit(1).alias("place"), F.lit("assistant").alias("role"), F.col("answer").alias("content")),
     )
     return answers.select(document, F.explode(said).alias("m")).select(document, "m.*").where("content is not null")
+
+
+def upload(rows: DataFrame, path: str, ingest_new: Callable[[DataFrame], object]) -> bool:
+    """Append document rows, then ingest them; a failed ingest is logged and leaves the rows. Returns whether it went through."""
+    sinks.append(rows, path)
+    try:
+        ingest_new(rows)
+    except Exception:  # noqa: BLE001 - the rows stay, as the upload did happen
+        log.exception("ingest failed")
+        return False
+    return True
+
+
+def converse(questions: DataFrame, path: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Append the users' messages, then the assistant's; if answering fails only the first remain, and the failure is raised.
+
+    ``questions`` has ``id, document_id, question``; ``answer`` gives ``id, answer`` for them.
+    """
+    message = lambda role, content: (F.col("id"), F.col("document_id"), F.lit(role).alias("role"), F.col(content).alias("content"))
+    sinks.append(questions.select(*message("user", "question")), path)
+    answers = questions.select("id", "document_id").join(answer(questions).select("id", R.stored_answer(F.col("answer")).alias("answer")), "id")
+    sinks.append(answers.select(*message("assistant", "answer")), path)
+    return answers

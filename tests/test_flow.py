@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docflow.functions import images as I
+from docflow.functions.sql import register
 from docflow.operators import flow
 from docflow.schema import IngestConfig
 from docflow.sources import files, index
@@ -86,3 +87,25 @@ def test_recognition_falls_back_and_never_raises():
     assert I.recognised(lambda dpi: 1 / 0, engine) == ""
     assert I.recognised(lambda dpi: page(), lambda *_: 1 / 0) == ""
     assert I.recognised(lambda dpi: page(), lambda i, c: None, cfg=I.OcrConfig(binary=False)) == ""
+
+
+def test_upload_and_conversation(spark, tmp_path):
+    docs, chat = str(tmp_path / "docs"), str(tmp_path / "chat")
+    rows = spark.createDataFrame([(1, "a.pdf")], "id int, filename string")
+    assert flow.upload(rows, docs, lambda r: r.count()) and not flow.upload(rows, docs, lambda r: 1 / 0)
+    assert spark.read.parquet(docs).count() == 2
+    questions = spark.createDataFrame([(1, 7, "Hi?")], "id int, document_id int, question string")
+    flow.converse(questions, chat, lambda q: q.select("id", F.lit("").alias("answer")))
+    with pytest.raises(ZeroDivisionError):
+        flow.converse(questions, chat, lambda q: 1 / 0)
+    assert sorted((r.role, r.content) for r in spark.read.parquet(chat).collect()) == [("assistant", "No answer"), ("user", "Hi?"), ("user", "Hi?")]
+
+
+def test_sql_functions(spark):
+    register(spark)
+    spark.createDataFrame([(1, "one two. three four. five six"), (2, None)], "id int, t string").createOrReplaceTempView("sql_texts")
+    got = spark.sql("SELECT id, part, content FROM sql_texts, LATERAL split_recursive(t, 12, 0) ORDER BY id, part").collect()
+    assert [r.content for r in got] == ["one two", ". three four", ". five six"]
+    assert spark.sql("SELECT count(*) AS n FROM sql_texts, LATERAL split_semantic(t, 95)").first().n >= 1
+    vectors = spark.sql("SELECT id, embed(t) AS v FROM sql_texts ORDER BY id").collect()
+    assert len(vectors[0].v) == 64 and vectors[1].v is None

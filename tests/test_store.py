@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docflow import plugins
 from docflow.operators import catalog as C, ingest, retrieval as R
 from docflow.schema import IngestConfig
-from docflow.sources import files, index, sinks
+from docflow.sources import files, index, sinks, workspace
 from docflow.streaming.ingest import into_index, prepared
 
 
@@ -140,3 +140,15 @@ def test_stream_into_index(spark, tmp_path):
 def test_default_plugins():
     assert np.allclose(plugins.hash_embedding("a b"), plugins.hash_embedding("b a")) and not plugins.hash_embedding("").any()
     assert plugins.no_ocr(b"") == "" and json.loads(plugins.extractive_answer("c", "q"))["contextAnswer"] == "c"
+
+
+def test_work_tables_are_the_applications_own(spark, tmp_path):
+    path = workspace.new_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and spark.sparkContext.applicationId in path
+    workspace.delete(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    with pytest.raises(ValueError, match="not this application's"):
+        workspace.delete(spark, str(tmp_path))
+    workspace.clear(spark)

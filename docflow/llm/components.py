@@ -17,6 +17,11 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _keyed(least: DataFrame) -> DataFrame:
+    """An aggregate under the complement of its key: it is dealt out anew for the join, which AQE can then split at a hot node."""
+    return least.select(F.bitwise_not("u").alias("k"), "m")
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node, root`` for every node with a link to another; root is the smallest node of its component.
 
@@ -28,9 +33,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").withColumn("k", F.bitwise_not("u")).join(_keyed(least), "k").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        small = large.withColumn("k", F.bitwise_not("u")).join(_keyed(lower), "k").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         after = stored(small.where("u != v").distinct(), "links")
         now = _signature(after)
         discard(edges)

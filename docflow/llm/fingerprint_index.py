@@ -234,7 +234,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = pick(docs, _id=id_col, _text=text_col)
     found = stored(summaries(own, width, gram), "summaries")
     firsts = found.where("_id is not null").groupBy("_sha").agg(F.min("_id").alias("_first"))
-    classed = stored(found.select("_id", "_th", "n_words", "_sha").join(firsts, "_sha", "left"), "classes")
+    # Keys of joins are turned around on both sides: an aggregate is then dealt out anew, and only a join of two
+    # exchanges can be split where a key is hot.
+    turned = firsts.select(F.reverse("_sha").alias("_ahs"), "_first")
+    classed = stored(found.select("_id", "_th", "n_words", "_sha", F.reverse("_sha").alias("_ahs")).join(turned, "_ahs", "left").drop("_ahs"), "classes")
 
     index = FingerprintIndex(spark, max_runs=max_runs)
     # Copies have the anchors of their first document, which alone is indexed.
@@ -259,7 +262,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A window that recurs in one text is one row, so a repetitive text is no hot key.
     each = windows.select("h", "_id", "_th", F.explode(F.arrays_zip("w", "start", "more")).alias("x")).select("h", "_id", "_th", "x.*")
     earliest = each.groupBy("h", "w").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).where("a != b").select("h", "w", "a")
-    later = each.join(earliest, ["h", "w"]).where("_id > a")
+    around = {"h": F.bitwise_not("h"), "w": F.bitwise_not("w")}
+    later = each.withColumns(around).join(earliest.withColumns(around), ["h", "w"]).where("_id > a")
     starts = later.groupBy("_id", "_th").agg(F.flatten(F.collect_list(F.coalesce("more", F.array("start")))).alias("_at"))
     removed = kept_words(live.drop("_hs").join(starts, ["_id", "_th"]), width).dropDuplicates(["_id", "_th"])
 

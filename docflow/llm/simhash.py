@@ -200,5 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(distinct, bits, block), "a", "b")
     classes = distinct.join(roots, distinct["_fp"] == roots["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     names = classes.groupBy("_root").agg(F.min("_least").alias("_component"))
-    named = classes.join(names, "_root").select("_fp", "_component")
+    # Under the complement the names are dealt out anew, so AQE can split the join at a large component.
+    around = names.select(F.bitwise_not("_root").alias("_k"), "_component")
+    named = classes.withColumn("_k", F.bitwise_not("_root")).join(around, "_k").select("_fp", "_component")
     return prints.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))

@@ -108,8 +108,9 @@ def frequent_lines(lines: DataFrame, max_line_docs: int = 5) -> DataFrame:
 def removed_lines(docs: DataFrame, max_line_docs: int = 5) -> DataFrame:
     """Occurrences of lines above the limit, each place of a document once."""
     lines = stored(host_lines(docs), "lines")
-    often = frequent_lines(lines, max_line_docs).alias("o")
-    hits = lines.alias("l").join(often, F.col("l._host").eqNullSafe(F.col("o._host")) & (F.col("l._h") == F.col("o._h")), "left_semi")
+    # Under the complement of the hash the counted side is dealt out anew, so AQE can split the join at a hot line.
+    often = frequent_lines(lines, max_line_docs).select("_host", F.bitwise_not("_h").alias("_k")).alias("o")
+    hits = lines.withColumn("_k", F.bitwise_not("_h")).alias("l").join(often, F.col("l._host").eqNullSafe(F.col("o._host")) & (F.col("l._k") == F.col("o._k")), "left_semi")
     return hits.groupBy("_id", "_host", "_th", "_pos").agg(F.max("_n").alias("_n"))
 
 

@@ -110,6 +110,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     longest = sweep(_path_events(rules), paths).where(F.size("state") > 0).select("rule_host", "path", F.get("state", F.lit(0)).alias("rule_path"))
     fits = under.join(longest, ["rule_host", "path"]).join(rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict"), ["rule_host", "rule_path"])
     best = fits.groupBy("host", "path").agg(F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), "rule_host", "rule_path", "verdict")).alias("b"))
-    return own.join(best, ["host", "path"], "left").select(
+    # Under the turned host the verdicts are dealt out anew, so AQE can split the join at a hot url.
+    turned = best.select(F.reverse("host").alias("_tsoh"), "path", "b")
+    return own.withColumn("_tsoh", F.reverse("host")).join(turned, ["_tsoh", "path"], "left").select(
         F.col("_id").alias(id_col), "host", "path", F.when(F.col("b").isNotNull(), F.concat("b.rule_host", "b.rule_path")).alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"),
     )

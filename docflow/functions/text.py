@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 #: Words and patterns that decide results.
+WHITE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 BOILERPLATE_WORD = r"(?iU)\b(?:Confidential|Draft)\b"
 BOILERPLATE_LINE = r"(?mdiU)^(?:\s*(?:Confidential|Draft|\d+)\s*)$"
 LABEL_AND_NUMBER = r"(?mdiU)^([^\n:]{2,}?:)\s*\n\s*(\d{3,})\s*$"
@@ -25,7 +26,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(WHITE))
 
 
 def normalize(text: Column) -> Column:
@@ -60,7 +65,7 @@ def page_clean(text: Column) -> Column:
 def boilerplate_clean(text: Column) -> Column:
     """Chunk input: numbers joined to their label, boilerplate and blank lines removed, line ends trimmed."""
     joined = F.regexp_replace(F.coalesce(text, F.lit("")), LABEL_AND_NUMBER, "$1 $2")
-    lines = F.transform(F.split(_squeezed(F.regexp_replace(joined, BOILERPLATE_LINE, "")), "\n"), lambda x: F.regexp_replace(x, r"(?U)\s+\z", ""))
+    lines = F.transform(F.split(_squeezed(F.regexp_replace(joined, BOILERPLATE_LINE, "")), "\n"), rstrip)
     return F.array_join(F.array_remove(lines, ""), "\n")
 
 

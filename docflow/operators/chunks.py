@@ -1,7 +1,7 @@
 """Chunkers: a row for each text becomes rows of chunks.
 
-Splitting by section or heading is native. Only texts over the single-chunk limit
-reach Python, in Arrow batches; the others never leave the JVM.
+Splitting by section or heading is native. Sections then pass through Python once,
+in Arrow batches, where those over the single-chunk limit are split further.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docflow.functions import ids, text as X
 from docflow.operators import splitting
+from docflow.operators.rows import passing, unnest
 from docflow.plugins import hash_embedding
 from docflow.schema import NodeSplitConfig, SplitConfig
 
@@ -70,15 +71,16 @@ def sections(text: Column, legal: bool) -> Column:
     return X.bound(text, lambda t: F.when(t.contains("§"), typed(legal_sections(t), "legal")).otherwise(by_heading(t)) if legal else by_heading(t))
 
 
-def apply_split(df: DataFrame, column: str, split: Callable[[str], list[str]]) -> DataFrame:
-    """``df`` with a row for each part of ``column``, and its place ``part``."""
-
+def apply_split(df: DataFrame, column: str, split: Callable[[str], list[str]], flag: str | None = None) -> DataFrame:
+    """``df`` with a row for each part of ``column``, and its place ``part``; rows without the ``flag`` stay whole."""
     names = df.columns
-    at = names.index(column)
+    at, marked = names.index(column), names.index(flag) if flag else None
 
     def run(batches):
         for batch in batches:
-            parts = [split(x) if x is not None else [] for x in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            wanted = batch.column(marked).to_pylist() if flag else [True] * len(texts)
+            parts = [[] if x is None else split(x) if w else [x] for x, w in zip(texts, wanted, strict=True)]
             rows = pa.array([k for k, p in enumerate(parts) for _ in p], pa.int64())
             columns = [batch.column(k).take(rows) for k in range(batch.num_columns)]
             columns[at] = pa.array([x for p in parts for x in p], pa.string())
@@ -88,14 +90,14 @@ def apply_split(df: DataFrame, column: str, split: Callable[[str], list[str]]) -
     return df.mapInArrow(run, f"{fields}, part int")
 
 
-def recursive(df: DataFrame, column: str, cfg: SplitConfig | NodeSplitConfig) -> DataFrame:
+def recursive(df: DataFrame, column: str, cfg: SplitConfig | NodeSplitConfig, flag: str | None = None) -> DataFrame:
     size, overlap, separators = cfg.chunk_size, cfg.overlap, cfg.separators
-    return apply_split(df, column, lambda x: splitting.recursive_split(x, size, overlap, separators))
+    return apply_split(df, column, lambda x: splitting.recursive_split(x, size, overlap, separators), flag)
 
 
-def semantic(df: DataFrame, column: str, cfg: SplitConfig, embed=hash_embedding) -> DataFrame:
+def semantic(df: DataFrame, column: str, cfg: SplitConfig, embed=hash_embedding, flag: str | None = None) -> DataFrame:
     percentile = cfg.semantic_percentile
-    return apply_split(df, column, lambda x: splitting.semantic_split(x, embed, percentile))
+    return apply_split(df, column, lambda x: splitting.semantic_split(x, embed, percentile), flag)
 
 
 def with_identity(df: DataFrame, document: str, page: str) -> DataFrame:
@@ -109,24 +111,25 @@ def split_texts(df: DataFrame, document: str, page: str, text: str, mode: str =
     ``mode``: legal splits at paragraph signs first; semantic splits long sections by
     sentence distance, anything else by separators.
     """
-    cleaned = df.select(document, page, X.boilerplate_clean(F.col(text)).alias("_t")).where(X.strip(F.col("_t")) != "")
-    rows = cleaned.select(document, page, F.posexplode(sections(F.col("_t"), mode == "legal")).alias("section", "s")).select(document, page, "section", "s.*")
-    tokens = X.token_count(F.col("content"))
-    short = rows.where(tokens <= cfg.max_tokens_single).withColumn("part", F.lit(0))
-    long = rows.where(tokens > cfg.max_tokens_single)
+    cleaned = passing(df, [document, page], X.boilerplate_clean(F.col(text)), "_t", lambda t: X.strip(t) != "")
+    rows = unnest(cleaned, [document, page], sections(F.col("_t"), mode == "legal"), "section", "s").select(document, page, "section", "s.*")
+    # Short sections go along whole: a branch for each kind would read and clean everything twice.
+    rows = rows.withColumn("_long", X.token_count(F.col("content")) > cfg.max_tokens_single)
     kind = "semantic" if mode == "semantic" and embed else "recursive"
-    parts = semantic(long, "content", cfg, embed) if kind == "semantic" else recursive(long, "content", cfg)
-    parts = parts.withColumn("chunk_type", F.lit(kind)).where(X.token_count(F.col("content")) >= cfg.min_part_tokens)
-    return with_identity(short.unionByName(parts), document, page)
+    parts = semantic(rows, "content", cfg, embed, "_long") if kind == "semantic" else recursive(rows, "content", cfg, "_long")
+    made = with_identity(parts.withColumn("chunk_type", F.when(F.col("_long"), kind).otherwise(F.col("chunk_type"))), document, page)
+    return made.where(~F.col("_long") | (F.col("token_count") >= cfg.min_part_tokens)).drop("_long")
 
 
 def node_split(df: DataFrame, document: str, text: str, cfg: NodeSplitConfig = NodeSplitConfig()) -> DataFrame:  # noqa: B008
     """``document, section, chunk_type, content``: by numbered sections where there is a paragraph sign, else by size."""
-    rows = df.select(document, X.strip(F.col(text)).alias("content")).where("content != ''")
-    signed = F.col("content").contains("§")
-    by_sign = rows.where(signed).select(document, F.explode(node_sections(F.col("content"), cfg)).alias("s")).select(document, "s.section", F.lit("section").alias("chunk_type"), "s.content")
-    by_size = recursive(rows.where(~signed), "content", cfg).select(document, F.concat(F.lit("chunk-"), (F.col("part") + 1).cast("string")).alias("section"), F.lit("recursive").alias("chunk_type"), "content")
-    return by_sign.unionByName(by_size)
+    rows = passing(df, [document], X.strip(F.col(text)), "content", lambda t: t != "")
+    whole = lambda t: F.array(F.struct(F.lit(None).cast("string").alias("section"), t.alias("content")))
+    parts = unnest(rows, [document], F.when(F.col("content").contains("§"), node_sections(F.col("content"), cfg)).otherwise(whole(F.col("content"))), "_at", "s")
+    parts = parts.select(document, "s.section", "s.content").withColumn("_whole", F.col("section").isNull())
+    split = recursive(parts, "content", cfg, "_whole")
+    section = F.when(F.col("_whole"), F.concat(F.lit("chunk-"), (F.col("part") + 1).cast("string"))).otherwise(F.col("section"))
+    return split.select(document, section.alias("section"), F.when(F.col("_whole"), "recursive").otherwise("section").alias("chunk_type"), "content")
 
 
 def full_text_fallback(parts: Column, text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docflow.functions import ids, text as X
 from docflow.operators.joins import to_totals
+from docflow.operators.rows import passing
 from docflow.schema import PageConfig
 
 
@@ -63,9 +64,9 @@ def page_records(pages: DataFrame, document: str, number: str, embedded: str, re
     """
     totals = pages.groupBy(document).agg(F.count("*").alias("_total"))
     read = pages.select(document, F.col(number).alias("pageNumber"), page_text(F.col(embedded), F.col(recognised) if recognised and cfg.use_ocr else None).alias("_p"))
-    rows = read.select(document, "pageNumber", F.col("_p.source").alias("textSource"), (X.page_clean(F.col("_p.text")) if cfg.trim else F.col("_p.text")).alias("content"))
-    if cfg.skip_empty:
-        rows = rows.where(X.strip(F.col("content")) != "")
+    read = read.select(document, "pageNumber", F.col("_p.source").alias("textSource"), F.col("_p.text").alias("_own"))
+    content = X.page_clean(F.col("_own")) if cfg.trim else F.col("_own")
+    rows = passing(read, [document, "pageNumber", "textSource"], content, "content", lambda t: X.strip(t) != "" if cfg.skip_empty else F.lit(True))
     out = to_totals(rows, totals, document).withColumns(
         {
             "pageId": ids.page_id(F.col(document), F.col("pageNumber")), "headings": X.headings(F.col("content")), "wordCount": X.word_count(F.col("content")),

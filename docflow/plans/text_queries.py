@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.functions import ids, text as X
 from docflow.operators import chunks, flow, ingest, pages as P, span_chunks
+from docflow.operators.rows import passing, unnest
 from docflow.schema import IngestConfig, SplitConfig
 from docflow.sources.files import document_pages, lines_of
 
@@ -111,7 +112,7 @@ def _marked() -> F.Column:
     FROM (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1)::INT AS pos FROM (SELECT doc_id, list_filter(string_split({MARKED}, chr(10)), lambda x: regexp_matches(x, {HEADING})) AS ls FROM documents))""",
 )
 def page_headings(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(X.headings(_marked())).alias("pos", "h")).select("doc_id", "pos", D("h.text").alias("heading"), "h.level")
+    return unnest(documents(spark, sf_dir), ["doc_id"], X.headings(_marked()), "pos", "h").select("doc_id", "pos", D("h.text").alias("heading"), "h.level")
 
 
 @query(
@@ -169,7 +170,7 @@ LEGAL = "'Preamble ' || lang || ' §1 ' || text || ' § ' || doc_id || ' end'"
 )
 def legal_split(spark, sf_dir):
     t = _text("Preamble ", D("lang"), " §1 ", D("text"), " § ", D("doc_id"), " end")
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(chunks.legal_sections(t)).alias("pos", "s")).select("doc_id", "pos", "s.heading", "s.content")
+    return unnest(documents(spark, sf_dir), ["doc_id"], chunks.legal_sections(t), "pos", "s").select("doc_id", "pos", "s.heading", "s.content")
 
 
 @query(
@@ -180,7 +181,7 @@ def legal_split(spark, sf_dir):
     SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS pos, heading, content FROM s WHERE n > 0""",
 )
 def heading_split(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(chunks.heading_sections(_marked())).alias("pos", "s")).select("doc_id", "pos", "s.heading", "s.content")
+    return unnest(documents(spark, sf_dir), ["doc_id"], chunks.heading_sections(_marked()), "pos", "s").select("doc_id", "pos", "s.heading", "s.content")
 
 
 @query(
@@ -216,9 +217,9 @@ SINGLE = f"""c AS (SELECT source, doc_id + 1 AS page, {BOILERPLATE.format('text'
 def single_chunk(spark, sf_dir):
     """The flagship: pages cleaned, short ones chunked with ids, filtered, deduplicated per document, counted."""
     pages = document_pages(documents(spark, sf_dir))
-    cleaned = pages.select("document_id", "page", X.boilerplate_clean(D("text")).alias("content")).where(X.strip(D("content")) != "")
-    short = cleaned.where(X.token_count(D("content")) <= SplitConfig().max_tokens_single).withColumns({"heading": F.lit(None).cast("string"), "chunk_type": F.lit("generic")})
-    made = chunks.with_identity(short, "document_id", "page").where(ingest.long_enough(D("content"), IngestConfig().min_chars))
+    usable = lambda t: (X.strip(t) != "") & (X.token_count(t) <= SplitConfig().max_tokens_single) & ingest.long_enough(t, IngestConfig().min_chars)
+    short = passing(pages, ["document_id", "page"], X.boilerplate_clean(D("text")), "content", usable).withColumns({"heading": F.lit(None).cast("string"), "chunk_type": F.lit("generic")})
+    made = chunks.with_identity(short, "document_id", "page")
     unique = ingest.first_of_equal(made, "document_id", "content", ["page"])
     return unique.groupBy(D("document_id").alias("source")).agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.min("chunk_id").alias("first_id"))
 
@@ -274,7 +275,7 @@ SPANS = """l AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1
 
 @query("span_geometry", f"WITH {SPANS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, t AS text, x, y, w AS width, h AS height FROM k")
 def span_geometry(spark, sf_dir):
-    found = documents(spark, sf_dir).select("doc_id", F.posexplode(P.spans(lines_of(D("text")), F.lit(1000.0))).alias("pos", "s"))
+    found = unnest(documents(spark, sf_dir), ["doc_id"], P.spans(lines_of(D("text")), F.lit(1000.0)), "pos", "s")
     return found.select("doc_id", "pos", "s.text", "s.bbox.*")
 
 

@@ -2,8 +2,8 @@
 
 A page becomes a tree (optional end tags closed as browsers do). Parts that are
 never main text go first: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments, by element, role, or class and id words.
-For every node that is left, characters and tags below it give its density,
+forms, scripts, styles and reader comments, by element, role, or class and id words
+(which don't count against a wrapper of the article or, where none is marked, of most text). For every node that is left, characters and tags below it give its density,
 adjusted by how much of both is links. The density sum of a node adds up its
 children's densities (loose text counts as a child). The node with the largest
 sum leads to the threshold, the smallest density on its path from the body; the
@@ -60,24 +60,31 @@ COMMENT_NAME = re.compile(r"(?:^|[^a-z])(?:comments?|reply|replies)(?:$|[^a-z])"
 MARKUP = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?P<shut>>)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
 )
-ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Share of the page's text above which a class or id word doesn't condemn an element (a wrapper named for its sidebar).
+MOST = 0.5
 
 
-def _unwanted(tag: str, rest: str) -> bool:
+def _unwanted(tag: str, rest: str) -> str:
+    """Why an element is left out: ``always``, ``comments``, ``name`` (if it isn't most of the page), or empty."""
     if tag in DROPPED:
-        return True
-    if tag in KEPT or not rest:
-        return False
+        return "always"
+    if tag in KEPT or not rest or rest == "/":
+        return ""
+    found = ""
     for name, a, b, c in ATTRIBUTE.findall(rest):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "role":
-            if value in ROLES:
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        elif (COMMENT_NAME if tag == "article" else NAMES).search(value.replace("_", "-")):
-            return True
-    return False
+        name = name.lower()
+        if name not in ("class", "id", "role", "hidden", "aria-hidden"):
+            continue
+        value = (a or b or c).lower().replace("_", "-")
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
+            return "always"
+        if name in ("class", "id"):
+            if COMMENT_NAME.search(value):
+                found = "comments"
+            elif tag != "article" and not found and NAMES.search(value):
+                found = "name"
+    return found
 
 
 class Page:
@@ -87,14 +94,33 @@ class Page:
         self.tag, self.parent, self.tags, self.chars, self.link_tags, self.link_chars = ["html"], [-1], [0], [0], [0], [0]
         #: (element, text) in page order; a null text is a block border.
         self.texts: list[tuple[int, str | None]] = []
+        #: Elements that their names speak against.
+        self.named: list[int] = []
         self._read(html)
+        self.left_out = [False] * len(self.tag)
+        self._leave_out()
         for k in range(len(self.tag) - 1, 0, -1):
             p = self.parent[k]
+            if self.left_out[k]:
+                continue
             for sums in (self.chars, self.link_chars, self.link_tags):
                 sums[p] += sums[k]
             self.tags[p] += self.tags[k] + 1
             self.link_tags[p] += self.tag[k] == "a"
 
+    def _leave_out(self) -> None:
+        """Mark elements by name, with all below, unless one holds the article or, on a page that marks none, most of the text."""
+        if not self.named:
+            return
+        below, marked = self.chars[:], [t in ("article", "main") for t in self.tag]
+        for k in range(len(self.tag) - 1, 0, -1):
+            below[self.parent[k]] += below[k]
+            marked[self.parent[k]] = marked[self.parent[k]] or marked[k]
+        for k in self.named:
+            self.left_out[k] = not (marked[k] if marked[0] else below[k] > MOST * below[0])
+        for k in range(1, len(self.tag)):
+            self.left_out[k] = self.left_out[k] or self.left_out[self.parent[k]]
+
     def _read(self, html: str) -> None:
         stack, dropped_at, linked, at = [0], 0, 0, 0
         tag_of, texts = self.tag, self.texts
@@ -168,7 +194,10 @@ class Page:
                     self.tags[stack[-1]] += 1
                 continue
             shut = rest.endswith("/") and tag in ("svg", "math", "path")
-            if not dropped_at and not _unwanted(tag, rest):
+            why = "" if dropped_at else _unwanted(tag, rest)
+            if not dropped_at and why in ("", "name"):
+                if why:
+                    self.named.append(len(tag_of))
                 tag_of.append(tag)
                 self.parent.append(stack[-1])
                 for sums in (self.tags, self.chars, self.link_tags, self.link_chars):
@@ -209,12 +238,13 @@ class Page:
         sums = [0.0] * n
         own = self.chars[:]
         for k in range(n - 1, 0, -1):
-            sums[self.parent[k]] += density[k]
-            own[self.parent[k]] -= self.chars[k]
+            if not self.left_out[k]:
+                sums[self.parent[k]] += density[k]
+                own[self.parent[k]] -= self.chars[k]
         for k in range(n):
             sums[k] += max(own[k], 0)
         body = next((k for k, t in enumerate(self.tag) if t == "body"), 0)
-        best = max(range(body, n), key=lambda k: (sums[k], -k))
+        best = max((k for k in range(body, n) if not self.left_out[k]), key=lambda k: (sums[k], -k))
         threshold, k, region = density[best], best, None
         while k > 0:
             threshold = min(threshold, density[k])
@@ -226,7 +256,7 @@ class Page:
         inside, dense = [False] * n, [False] * n
         for k in range(n):
             p = self.parent[k]
-            inside[k] = k == region or (p >= 0 and inside[p])
+            inside[k] = not self.left_out[k] and (k == region or (p >= 0 and inside[p]))
             if not inside[k]:
                 continue
             links = self.tag[k] in ("ul", "ol", "div", "section", "table", "p") and self.link_tags[k] >= 3 and self.link_chars[k] > 0.8 * self.chars[k]

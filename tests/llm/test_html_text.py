@@ -38,6 +38,11 @@ def test_query_equals_the_articles(spark):
         (f"<article><ul><li>One<li>Two <b>bold</b>ly</ul><table><tr><td>a<td>b<tr><td>c</table><p>{P}</article>", f"One Two boldly a b c {P}"),
         (f"<article><p>{P}<script>if (a < b) '</p>'</script> more<style>p>a{{}}</style><br>next <!-- <p>no</p> -->line</p></article>", f"{P} more next line"),
         (f"<article><p>{P} <a href='/x?a>b'>a link</a>, and <img alt='>'>more</p><p>{P} cut <a hre", f"{P} a link, and more {P} cut"),
+        (f'<div class="layout with-sidebar"><div class=sidebar><p>{P} aside</p></div><div data-note="a hidden b" class=post><p>{P}</p><p>{P}</p></div></div>', f"{P} {P}"),
+        (f'<article><p>{P}</p></article><div class="comments"><p>{P} one</p><p>{P} two</p><p>{P} three</p></div>', P),
+        (f'<body><div hidden><p>{P}</p></div><div role="dialog"><p>{P}</p></div><section><p>{P} x</p><p>{P} y</p></section></body>', f"{P} x {P} y"),
+        (f'<div class="page has-sidebar"><div class=sidebar><p>{P} {P} {P}</p></div><main><p>{P}</p></main></div>', P),
+        (f'<div class="ad"><p>{P}</p></div><article><p>Short.</p></article>', "Short."),
         ("<p>only text", "only text"), ("just text &lt; here", "just text < here"), ("", ""), ("<html><body></body></html>", ""), ("<nav>menu</nav>", ""), ("<!-- never closed <p>x</p>", ""), ("<p>a < b and 1<2</p>", "a < b and 1<2"), ("<P CLASS='x'>Upper</P>", "Upper"),
     ],
 )

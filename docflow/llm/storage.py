@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from docflow.sources.workspace import new_path, shared_dir
+from docflow.sources.workspace import delete, new_path
 
 #: Rows that go to Python at a time: whole texts are among them, on both sides of the socket.
 BATCH_ROWS = 1024
@@ -30,11 +30,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-    base = shared_dir(spark)
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/docflow/" not in parent or base.rpartition("://")[2].lstrip("/") not in parent:
-            raise ValueError(f"{parent} is not a table of this package")
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(hadoop).delete(path, True)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, folder)

@@ -95,7 +95,8 @@ def host_lines(docs: DataFrame) -> DataFrame:
     with_word = F.filter(F.split(F.coalesce(F.col("_text"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.select("_id", "_host", F.xxhash64("_text").alias("_th"), F.transform(with_word, lambda x: F.struct(F.size(words(x)).alias("n"), normalised(x).alias("s"))).alias("_l"))
     df = df.withColumn("_top", F.transform(F.slice(F.sort_array(F.array_distinct("_l"), asc=False), 1, 2), lambda x: F.xxhash64(x["s"])))
-    df = df.select("_id", "_host", "_th", "_top", F.posexplode("_l").alias("_pos", "_line"))
+    # Outer: for an inner one the optimizer infers a filter that works all lines out a second time.
+    df = df.select("_id", "_host", "_th", "_top", F.posexplode_outer("_l").alias("_pos", "_line")).where(F.col("_pos").isNotNull())
     h = F.xxhash64(F.col("_line.s"))
     return df.select("_id", "_host", "_th", "_pos", h.alias("_h"), F.col("_line.n").cast("long").alias("_n"), F.coalesce(F.when(F.get("_top", F.lit(0)) == h, F.get("_top", F.lit(1))).otherwise(F.get("_top", F.lit(0))), F.lit(0)).alias("_rest"))
 

@@ -52,8 +52,20 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.lit(1), n.cast("int"))
 
 
+def _replaced(text: Column, pattern: str, by: str, *signs: str) -> Column:
+    """``regexp_replace`` for texts that hold one of the signs without which the pattern can't match."""
+
+    def use(t: Column) -> Column:
+        some = t.contains(signs[0])
+        for sign in signs[1:]:
+            some = some | t.contains(sign)
+        return F.when(some, F.regexp_replace(t, pattern, by)).otherwise(t)
+
+    return bound(text, use)
+
+
 def _squeezed(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), "\n{3,}", "\n\n")
+    return _replaced(_replaced(text, "[ \t]+", " ", "  ", "\t"), "\n{3,}", "\n\n", "\n\n\n")
 
 
 def page_clean(text: Column) -> Column:
@@ -64,7 +76,7 @@ def page_clean(text: Column) -> Column:
 
 def boilerplate_clean(text: Column) -> Column:
     """Chunk input: numbers joined to their label, boilerplate and blank lines removed, line ends trimmed."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), LABEL_AND_NUMBER, "$1 $2")
+    joined = _replaced(F.coalesce(text, F.lit("")), LABEL_AND_NUMBER, "$1 $2", ":")
     lines = F.transform(F.split(_squeezed(F.regexp_replace(joined, BOILERPLATE_LINE, "")), "\n"), rstrip)
     return F.array_join(F.array_remove(lines, ""), "\n")
 

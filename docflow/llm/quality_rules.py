@@ -5,13 +5,13 @@ counts. Across documents: every line is normalised and hashed, distinct
 documents are counted per (host, line), lines above the limit are removed and a
 document that loses more than a share of its words is rejected as depleted.
 
-Copies of one document must not make its own lines look like boilerplate, so a
-document counts for a line by the longest *other* line it holds: documents that
-agree on it count once.
+Copies of one document must not make its own lines look like boilerplate, so
+documents of the same whole text (by its hash) count once; all others count each,
+whatever lines they share.
 
 Scale: one pass over the texts for the counts, one for the lines, whose small
 rows are written once to the shared folder and read twice. The count is pre-aggregated twice (by line and
-sketch, then by line), so a line in a third of all documents never meets in one
+text, then by line), so a line in a third of all documents never meets in one
 task; the lookup of flagged lines is a semi join that AQE may split or, once it
 has measured the flagged side, broadcast.
 
@@ -91,19 +91,17 @@ def base_rules(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50) -
 
 
 def host_lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: document, place, line hash, words, and the sketch of the rest of its document."""
+    """A row for each line with a word: document, place, line hash and words."""
     with_word = F.filter(F.split(F.coalesce(F.col("_text"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.select("_id", "_host", F.xxhash64("_text").alias("_th"), F.transform(with_word, lambda x: F.struct(F.size(words(x)).alias("n"), normalised(x).alias("s"))).alias("_l"))
-    df = df.withColumn("_top", F.transform(F.slice(F.sort_array(F.array_distinct("_l"), asc=False), 1, 2), lambda x: F.xxhash64(x["s"])))
     # Outer: for an inner one the optimizer infers a filter that works all lines out a second time.
-    df = df.select("_id", "_host", "_th", "_top", F.posexplode_outer("_l").alias("_pos", "_line")).where(F.col("_pos").isNotNull())
-    h = F.xxhash64(F.col("_line.s"))
-    return df.select("_id", "_host", "_th", "_pos", h.alias("_h"), F.col("_line.n").cast("long").alias("_n"), F.coalesce(F.when(F.get("_top", F.lit(0)) == h, F.get("_top", F.lit(1))).otherwise(F.get("_top", F.lit(0))), F.lit(0)).alias("_rest"))
+    df = df.select("_id", "_host", "_th", F.posexplode_outer("_l").alias("_pos", "_line")).where(F.col("_pos").isNotNull())
+    return df.select("_id", "_host", "_th", "_pos", F.xxhash64(F.col("_line.s")).alias("_h"), F.col("_line.n").cast("long").alias("_n"))
 
 
 def frequent_lines(lines: DataFrame, max_line_docs: int = 5) -> DataFrame:
     """``_host, _h`` of the lines that more than ``max_line_docs`` different documents of a host hold."""
-    return lines.select("_host", "_h", "_rest").distinct().groupBy("_host", "_h").agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_line_docs)
+    return lines.select("_host", "_h", "_th").distinct().groupBy("_host", "_h").agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_line_docs)
 
 
 def removed_lines(docs: DataFrame, max_line_docs: int = 5) -> DataFrame:

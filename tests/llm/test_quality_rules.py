@@ -48,5 +48,16 @@ def test_depleted_documents_go_and_copies_stay(spark):
     assert cleaned[0] == own(0, 60) + "\n" and cleaned[300] == own(300, 100) and cleaned[200] == rows[11][1]
 
 
+def test_two_long_lines_shared_by_a_host_are_both_removed(spark):
+    """The two longest lines and a short one stand on every page, so no page's longest other line is its own."""
+    letters = lambda x: "".join(chr(97 + int(c)) for c in str(x))
+    long = lambda name, n: " ".join(name + letters(k) for k in range(n))
+    page = lambda i: f"home about contact\n{long('cookie', 80)}\n{long(f'own{letters(i)}x', 50)}\n{long('disclaimer', 60)}"
+    rows = [(i, page(i), "a") for i in range(6)] + [(100 + i, page(i), "b") for i in range(5)] + [(200 + i, page(7), "c") for i in range(20)]
+    got = {r.doc_id: (r.kept, r.removed_words) for r in quality_rules(frame(spark, rows)).collect()}
+    assert got == {i: (False, 143) if i < 100 else (True, 0) for i, _, _ in rows}
+    assert {r.text for r in clean_texts(frame(spark, rows[:6])).collect()} == {long(f"own{letters(i)}x", 50) for i in range(6)}
+
+
 def test_empty(spark):
     assert quality_rules(frame(spark, []).limit(0)).collect() == []

@@ -6,9 +6,12 @@ forms, scripts, styles and reader comments, by element, role, or class and id wo
 (which don't count against a wrapper of the article or, where none is marked, of most text). For every node that is left, characters and tags below it give its density,
 adjusted by how much of both is links. The density sum of a node adds up its
 children's densities (loose text counts as a child). The node with the largest
-sum leads to the threshold, the smallest density on its path from the body; the
-nodes at or above the threshold are the text, together with the short
-blocks between them. Lists and boxes made of links are dropped.
+sum leads to the threshold, the smallest density on its path from the body. If it
+stands in an article or main element, that is the text as a whole. Otherwise every
+block below the body is tested against the threshold itself: only what stands below
+the node with the largest sum (if that is a part of the page, not its wrapper) goes
+with it. Short blocks between dense ones, headings before and paragraphs after them
+belong to them; boxes made of links are dropped.
 
 Text is built per block: character references decoded, white space collapsed,
 trimmed, blocks joined by one blank.
@@ -56,6 +59,7 @@ NAMES = re.compile(
 )
 #: Never dropped by class or id.
 KEPT = frozenset("html body main".split())
+LISTS, BOXES, HEADINGS = frozenset("ul ol dl".split()), frozenset("div section table tr td".split()), frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 COMMENT_NAME = re.compile(r"(?:^|[^a-z])(?:comments?|reply|replies)(?:$|[^a-z])")
 MARKUP = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?P<shut>>)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
@@ -251,27 +255,73 @@ class Page:
             if self.tag[k] in ("article", "main"):
                 region = k
             k = self.parent[k] if k != body else 0
-        region = body if region is None else region
-        # Below a dense element everything belongs, but for boxes of links.
-        inside, dense = [False] * n, [False] * n
+        if body == 0:
+            threshold = min(threshold, density[0])
+        inside, dense, whole = [False] * n, [False] * n, [False] * n
+        children: list[list[int]] = [[] for _ in range(n)]
+        loose_links = [0] * n
+        top = body if region is None else region
+        for k in range(n):
+            p = self.parent[k]
+            inside[k] = not self.left_out[k] and (k == top or (p >= 0 and inside[p]))
+            if inside[k] and k != top:
+                if self.tag[k] in BLOCK:
+                    children[p].append(k)
+                elif self.tag[k] == "a":
+                    loose_links[p] += self.chars[k]
+        if region is not None:
+            # A marked article is text as a whole.
+            return inside
+        part = best != body and self.chars[best] < self.chars[body]
         for k in range(n):
             p = self.parent[k]
-            inside[k] = not self.left_out[k] and (k == region or (p >= 0 and inside[p]))
             if not inside[k]:
                 continue
-            links = self.tag[k] in ("ul", "ol", "div", "section", "table", "p") and self.link_tags[k] >= 3 and self.link_chars[k] > 0.8 * self.chars[k]
-            if links:
-                inside[k] = False
-                continue
-            dense[k] = (p >= 0 and dense[p]) or density[k] >= threshold or k == best
-        if not dense[region]:
-            # Short blocks between dense ones belong to the same text.
-            first = next((k for k in range(n) if dense[k]), None)
-            last = next((k for k in range(n - 1, -1, -1) if dense[k]), None)
-            for k in range(n):
-                dense[k] = dense[k] or (inside[k] and first is not None and first < k < last and self.chars[k] == own[k] > 0)
+            if k == body or dense[p] and whole[p] or self.tag[k] in ("article", "main") or part and k == best:
+                dense[k], whole[k] = True, k != body
+            elif whole[k]:
+                dense[k] = True
+            elif self.tag[k] not in BLOCK:
+                # Text in a line goes with its block, but for links that stand loose among blocks.
+                dense[k] = dense[p] and not (self.tag[k] == "a" and children[p] and loose_links[p] > max(own[p], 0))
+            elif self.tag[k] in ("li", "dt", "dd") and self.tag[p] in LISTS:
+                dense[k] = dense[p]
+            else:
+                dense[k] = density[k] >= threshold and not self._links(k)
+            if part and k == best:
+                # Menus before the first dense block of the chosen part are none of its text.
+                for c in children[k]:
+                    if density[c] >= threshold and not self._links(c):
+                        break
+                    inside[c] = not self._links(c)
+                for c in range(k + 1, n):
+                    inside[c] = inside[c] and inside[self.parent[c]]
+            elif dense[k] and not whole[k]:
+                for c in self._short(children[k], [density[c] >= threshold and not self._links(c) for c in children[k]]):
+                    whole[c] = True
         return dense
 
+    def _links(self, k: int) -> bool:
+        """Whether an element is a box of links."""
+        return self.tag[k] in ("ul", "ol", "div", "section", "table", "tr", "td", "p") and self.link_tags[k] >= 3 and self.link_chars[k] > 0.8 * self.chars[k]
+
+    def _short(self, blocks: list[int], dense: list[bool]) -> list[int]:
+        """Short blocks that belong to the dense ones beside them: those between two, headings before one, a paragraph after one."""
+        first = next((i for i, x in enumerate(dense) if x), len(dense))
+        last = next((i for i in range(len(dense) - 1, -1, -1) if dense[i]), -1)
+        if last < 0:
+            return []
+        out = [k for i, k in enumerate(blocks) if first < i < last and not dense[i] and not self._links(k) and (self.tag[k] not in BOXES or 2 * self.link_chars[k] <= self.chars[k])]
+        for i in range(first - 1, -1, -1):
+            if self.tag[blocks[i]] not in HEADINGS:
+                break
+            out.append(blocks[i])
+        for k in blocks[last + 1 :]:
+            if self.tag[k] != "p" or self.link_tags[k]:
+                break
+            out.append(k)
+        return out
+
 
 def main_text(html: str | None) -> str:
     """Main text of one page."""

@@ -50,6 +50,22 @@ def test_known_pages(markup, text):
     assert main_text(markup) == text
 
 
+ITEMS = "".join(f'<a href="/{k}">Item {k}</a> ' for k in range(8))
+
+
+@pytest.mark.parametrize(
+    ("markup", "text"),
+    [
+        (f'<body><table><tr><td class="c1">{ITEMS}</td><td class="c2"><h1>T</h1><p>{P}</p><p>Sh.</p><p>{P}</p></td><td class="c3"><a href=/l>Anmelden</a> <a href=/m>Mehr</a></td></tr></table></body>', f"T {P} Sh. {P}"),
+        (f'<body><div class="c1"><a href=/l>Anmelden</a> <a href=/m>Mehr</a></div><h1>T</h1><p>{P}</p><p>x</p><p>{P}</p><div class="c3">Konto <a href=/k>hier</a></div></body>', f"T {P} x {P}"),
+        (f'<body><div class="c1">{ITEMS}</div><div class=c5><h1>T</h1><p>{P}</p><p>{P}</p><p>{P}</p></div><div class="c3"><a href=/l>Anmelden</a></div><div class=c4>Konto</div></body>', f"T {P} {P} {P}"),
+        (f'<body><div id=w><div class="c1">{ITEMS}</div><p>{P}</p><p>{P} <a href=/x>link</a> <b>bo</b>ld</p><p>End.</p><div class="c3"><a href=/l>Anmelden</a></div></div></body>', f"{P} {P} link bold End."),
+    ],
+)
+def test_noise_without_a_listed_word_goes(markup, text):
+    assert main_text(markup) == text
+
+
 def test_deep_long_and_broken_pages():
     assert main_text("<div>" * 30000 + "deep" + "</div>" * 10) == "deep"
     long = " ".join(f"word{k}" for k in range(200000))

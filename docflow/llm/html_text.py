@@ -57,6 +57,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = re.compile(
     r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|submenu|breadcrumbs?|sidebar|side-?bar|aside|footer|foot|header|masthead|topbar|banner|ads?|adv|advert|adverts|advertisements?|advertising|adsbygoogle|sponsor|sponsored|promo|promotion|cookies?|consent|gdpr|notices?|popup|modal|overlay|alert|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|comments?|disqus|respond|replies|pagination|pager|toolbar|widget|skip-?link|copyright)(?:$|[^a-z])"
 )
+#: Whether a page or post takes comments: says nothing of the element's own text.
+COMMENT_STATE = re.compile(r"(?:^|(?<=[^a-z]))(?:(?:no|has|with|without)-comments?|comments?-(?:open|closed|enabled|disabled|on|off))(?=$|[^a-z])")
 #: Never dropped by class or id.
 KEPT = frozenset("html body main".split())
 LISTS, BOXES, HEADINGS = frozenset("ul ol dl".split()), frozenset("div section table tr td".split()), frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -70,7 +72,7 @@ MOST = 0.5
 
 
 def _unwanted(tag: str, rest: str) -> str:
-    """Why an element is left out: ``always``, ``comments``, ``name`` (if it isn't most of the page), or empty."""
+    """Why an element is left out: ``always``, ``comments`` or ``name`` (unless it is a wrapper of the article), or empty."""
     if tag in DROPPED:
         return "always"
     if tag in KEPT or not rest or rest == "/":
@@ -84,7 +86,7 @@ def _unwanted(tag: str, rest: str) -> str:
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
             return "always"
         if name in ("class", "id"):
-            if COMMENT_NAME.search(value):
+            if COMMENT_NAME.search(COMMENT_STATE.sub("", value)):
                 found = "comments"
             elif tag != "article" and not found and NAMES.search(value):
                 found = "name"
@@ -100,6 +102,8 @@ class Page:
         self.texts: list[tuple[int, str | None]] = []
         #: Elements that their names speak against.
         self.named: list[int] = []
+        #: Those among them that are named for comments.
+        self.comments: set[int] = set()
         self._read(html)
         self.left_out = [False] * len(self.tag)
         self._leave_out()
@@ -113,16 +117,34 @@ class Page:
             self.link_tags[p] += self.tag[k] == "a"
 
     def _leave_out(self) -> None:
-        """Mark elements by name, with all below, unless one holds the article or, on a page that marks none, most of the text."""
+        """Mark elements by name, with all below, unless one holds the article or, on a page that marks none, most of the text.
+
+        An article named for comments is one of the page's own if it stands in no other article or comments and is
+        the only article or most of the text. Other elements so named must hold an article or, where none is marked, the page's h1 as well.
+        """
         if not self.named:
             return
-        below, marked = self.chars[:], [t in ("article", "main") for t in self.tag]
-        for k in range(len(self.tag) - 1, 0, -1):
+        n = len(self.tag)
+        below, title, within = self.chars[:], [t == "h1" for t in self.tag], [False] * n
+        for k in range(n - 1, 0, -1):
             below[self.parent[k]] += below[k]
+            title[self.parent[k]] = title[self.parent[k]] or title[k]
+        for k in range(1, n):
+            p = self.parent[k]
+            within[k] = within[p] or self.tag[p] == "article" or (p in self.comments and not title[p])
+        marked = [t in ("article", "main") and k not in self.comments for k, t in enumerate(self.tag)]
+        posts = [k for k in self.named if k in self.comments and self.tag[k] == "article" and not within[k]]
+        alone = len(posts) == 1 and not any(marked)
+        for k in posts:
+            marked[k] = alone or below[k] > MOST * below[0]
+        for k in range(n - 1, 0, -1):
             marked[self.parent[k]] = marked[self.parent[k]] or marked[k]
         for k in self.named:
-            self.left_out[k] = not (marked[k] if marked[0] else below[k] > MOST * below[0])
-        for k in range(1, len(self.tag)):
+            if marked[0]:
+                self.left_out[k] = not marked[k]
+            else:
+                self.left_out[k] = below[k] <= MOST * below[0] or (k in self.comments and not title[k])
+        for k in range(1, n):
             self.left_out[k] = self.left_out[k] or self.left_out[self.parent[k]]
 
     def _read(self, html: str) -> None:
@@ -199,9 +221,11 @@ class Page:
                 continue
             shut = rest.endswith("/") and tag in ("svg", "math", "path")
             why = "" if dropped_at else _unwanted(tag, rest)
-            if not dropped_at and why in ("", "name"):
+            if not dropped_at and why != "always":
                 if why:
                     self.named.append(len(tag_of))
+                if why == "comments":
+                    self.comments.add(len(tag_of))
                 tag_of.append(tag)
                 self.parent.append(stack[-1])
                 for sums in (self.tags, self.chars, self.link_tags, self.link_chars):

@@ -66,6 +66,27 @@ def test_noise_without_a_listed_word_goes(markup, text):
     assert main_text(markup) == text
 
 
+SOURCES = '<ul>' + "".join(f'<li><a href="/{k}">Source {k}</a></li>' for k in range(4)) + "</ul>"
+SOURCE_TEXT = " ".join(f"Source {k}" for k in range(4))
+
+
+@pytest.mark.parametrize(
+    ("markup", "text"),
+    [
+        (f"<article><p>{P}</p><p><a href=/1>One</a> <a href=/2>two</a> <a href=/3>three</a></p><h2>Sources</h2>{SOURCES}</article>", f"{P} One two three Sources {SOURCE_TEXT}"),
+        (f"<body><main><table><tr><td><a href=/1>A</a><td><a href=/2>B</a><td><a href=/3>C</a></table><p>{P}</p></main></body>", f"A B C {P}"),
+        (f"<body>{NAV}<div class=c1><p>{P}</p><p>{P}</p>{SOURCES}</div><div class=c2>Konto</div></body>", f"{P} {P} {SOURCE_TEXT}"),
+        (f'<body><article class="post comments-open"><p>{P}</p></article></body>', P),
+        (f'<body><div id=page class="no-comments"><h1>T</h1><p>{P}</p><p>{P}</p></div></body>', f"T {P} {P}"),
+        (f'<body><div class="comment-layout"><article><p>{P}</p></article><div class=comments><article class=comment><p>{P} reader</p></article></div></div></body>', P),
+        (f'<body><article class="post reply"><p>{P}</p><article class="reply"><p>{P} reader</p><p>{P} reader</p></article></article></body>', P),
+        (f"<body><div class=c1><p>{P}</p><p>{P}</p></div><div class=comments><p>{P} a</p><p>{P} b</p><p>{P} c</p></div></body>", f"{P} {P}"),
+    ],
+)
+def test_the_article_loses_nothing_to_links_or_names(markup, text):
+    assert main_text(markup) == text
+
+
 def test_deep_long_and_broken_pages():
     assert main_text("<div>" * 30000 + "deep" + "</div>" * 10) == "deep"
     long = " ".join(f"word{k}" for k in range(200000))

@@ -38,7 +38,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: An equals sign is padding at the end of a token and a border elsewhere, so values after names and in query strings are tokens of their own.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
 MIN_VALUE = 12
 #: Alphabets in the order of their symbols, and the least length at which the tests are used.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -116,7 +117,7 @@ def tested(rows: DataFrame) -> DataFrame:
     bare = F.regexp_replace("token", "=+$", "")
     enc = (
         F.when(bare.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "base16").when(bare.rlike("^[A-Z2-7]+$"), "base32")
-        .when(bare.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), "base36").when(bare.rlike("^[A-Za-z0-9]+$"), "base62").when(~bare.contains("="), "base64")
+        .when(bare.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), "base36").when(bare.rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64")
     )
     rows = rows.withColumns({"enc": enc, "_t": F.when(enc.isin("base16", "base36"), F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))})
     p, least = F.lit(None).cast("double"), F.lit(None).cast("int")

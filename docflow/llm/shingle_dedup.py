@@ -1,0 +1,115 @@
+"""Near-duplicates by shared word shingles: MinHash bands for candidates, real similarity for links.
+
+Two texts are linked when the Jaccard similarity of their sets of ``WIDTH``-word
+shingles is ``SIMILARITY`` or more. Candidates agree on all of a band's ``ROWS``
+MinHashes in one of ``BANDS`` bands: a pair at 0.8 is missed with a chance of
+0.59**20 (3 in 100,000), one above with less. Every link is verified on the sets.
+
+Texts that are equal but for case and white space collapse first. Then each member of a
+band's bucket is compared with the bucket's first; only pairs of a bucket that are in
+different components after that are compared one by one. A large group of near copies
+that are not within the limit of its first still gives many such pairs.
+
+Defined results: words are lower-cased (A-Z) and split at U+0020 and U+0009 to
+U+000D; a text of fewer words than a shingle has one, all its words; null and blank
+texts equal each other; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from docflow.llm.arrow import lean
+from docflow.llm.components import components
+from docflow.llm.storage import stored
+from docflow.llm.text import ascii_lower, pick, words
+
+WIDTH, BANDS, ROWS = 5, 20, 4
+#: Least similarity as a fraction, 4 of 5.
+SIMILARITY = (4, 5)
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_ODD = np.random.default_rng(17).integers(1, 1 << 63, 2 * BANDS * ROWS + WIDTH + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    table = {w: xxhash.xxh64_intdigest(w) for w in set(found)}
+    w = np.fromiter((table[x] for x in found), np.uint64, len(found))
+    width = min(WIDTH, len(w))
+    n = len(w) - width + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(width):
+        h = (h ^ w[k : k + n]) * _ODD[k]
+        h ^= h >> np.uint64(31)
+    return np.unique(h)
+
+
+def band_hashes(shingles: np.ndarray) -> np.ndarray:
+    """A hash of each band's MinHashes."""
+    at = _ODD[WIDTH + 2 :]
+    least = np.empty(BANDS * ROWS, np.uint64)
+    for k in range(BANDS * ROWS):
+        x = (shingles ^ at[2 * k]) * at[2 * k + 1]
+        least[k] = (x ^ (x >> np.uint64(32))).min() if len(x) else 0
+    out = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        out = (out ^ least[r::ROWS]) * _ODD[WIDTH]
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _same_text(text: Column) -> Column:
+    return F.xxhash64(F.array_join(words(ascii_lower(text)), " "))
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that are as similar as asked."""
+    one, other = sets.select(F.col("_s").alias("a"), F.col("_set").alias("x")), sets.select(F.col("_s").alias("b"), F.col("_set").alias("y"))
+    shared, both = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    least, of = SIMILARITY
+    return pairs.join(one, "a").join(other, "b").where((least + of) * shared >= least * both).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, component_id`` for every row; a component is named by its smallest id."""
+    own = pick(docs, _id=id_col, _text=text_col).withColumn("_s", _same_text(F.col("_text")))
+
+    def bands(batches):
+        for batch in batches:
+            found = [band_hashes(shingle_set(t)).view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["_id", "_s", "_b"])
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["_s", "_set"])
+
+    longs = T.ArrayType(T.LongType())
+    rows = stored(own.select("_id", "_s", "_text").mapInArrow(lean(bands), T.StructType([own.schema["_id"], T.StructField("_s", T.LongType()), T.StructField("_b", longs)])), "bands")
+    least = stored(rows.groupBy("_s").agg(F.min("_id").alias("_least"), F.first("_b").alias("_b")), "texts")
+    keyed = least.select("_s", F.explode("_b").alias("_k"))
+    heads = keyed.groupBy("_k").agg(F.min("_s").alias("_head"), F.count("*").alias("_n")).where("_n > 1").select(F.bitwise_not("_k").alias("_j"), "_head")
+    buckets = stored(keyed.withColumn("_j", F.bitwise_not("_k")).join(heads, "_j").select("_k", "_s", "_head"), "buckets")
+    needed = least.join(buckets.select("_s").distinct(), "_s", "left_semi").select(F.col("_s").alias("_n"), "_least")
+    of_need = own.join(needed, (F.col("_s") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
+    kept = stored(of_need.select("_s", "_text").mapInArrow(lean(sets), T.StructType([T.StructField("_s", T.LongType()), T.StructField("_set", longs)])).dropDuplicates(["_s"]), "sets")
+    first = stored(similar(buckets.where("_s != _head").select(F.col("_head").alias("a"), F.col("_s").alias("b")).distinct(), kept), "first-links")
+    # What the first comparison has joined needs no other; pairs of a bucket that it has left apart are compared one by one.
+    roots = components(first, "a", "b")
+    placed = buckets.join(roots, buckets["_s"] == roots["node"], "left").select("_k", "_s", F.col("_s").eqNullSafe(F.col("_head")).alias("_is_head"), F.coalesce("root", "_s").alias("_root"))
+    apart = placed.groupBy("_k").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo != _hi").select("_k")
+    rest = stored(placed.join(apart, "_k", "left_semi").where("not _is_head"), "rest")
+    one, other = rest.select("_k", F.col("_s").alias("a"), F.col("_root").alias("r")), rest.select("_k", F.col("_s").alias("b"), F.col("_root").alias("q"))
+    more = similar(one.join(other, "_k").where("r < q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), kept)
+    joined = components(first.unionByName(more), "a", "b")
+    classes = least.join(joined, least["_s"] == joined["node"], "left").select("_s", "_least", F.coalesce("root", "_s").alias("_root"))
+    names = classes.groupBy("_root").agg(F.min("_least").alias("_component"))
+    around = names.select(F.bitwise_not("_root").alias("_k"), "_component")
+    named = classes.withColumn("_k", F.bitwise_not("_root")).join(around, "_k").select("_s", "_component")
+    return rows.select("_id", "_s").join(named, "_s").select(F.col("_id").alias(id_col), F.col("_component").alias("component_id"))

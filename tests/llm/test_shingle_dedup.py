@@ -1,0 +1,55 @@
+import random
+import re
+
+import corpus_pipeline as C
+from docflow.llm import shingle_dedup as S
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def plain(rows):
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = {d: shingles(t) for d, t in rows}
+    for a in root:
+        for b in root:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                a_, b_ = sorted((find(a), find(b)))
+                root[b_] = a_
+    return {d: find(d) for d in root}
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for p in rng.sample(range(len(out)), edits):
+        out[p] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_components_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**5)}" for _ in range(200)]
+        rows += [(len(rows) + k, edited(rng, words, k % 8)) for k in range(10)]
+    rows += [(900, rows[0][1].upper()), (901, "few words"), (902, "Few  words")]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == plain(rows)
+
+
+def test_stage_drops_lightly_edited_copies(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(20):
+        words = [f"w{rng.randrange(10**5)}" for _ in range(200)]
+        rows += [(2 * g, " ".join(words), "en", "s", 1), (2 * g + 1, edited(rng, words, 3), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in C.near_duplicates(spark, docs, "").collect()) == [2 * g for g in range(20)]

@@ -2,49 +2,61 @@
 
 1. Fingerprints: 64 majority bits over the XXH64 of a text's word shingles, in
    Arrow batches, long texts in blocks.
-2. Equal fingerprints collapse to one (with its smallest id) before anything is
+2. What is equal collapses to one node (with its smallest id) before anything is
    compared, so groups of copies cost one row.
-3. Masks: two fingerprints that differ in at most d bits agree on two of d + 2
-   bit blocks, so each goes under the value of each pair of blocks. That only
-   deals the work out; every pair within d bits meets at least once.
-4. Index: the fingerprints under one value are sorted by Gray rank, in which
-   neighbours share most bits. Runs of them form nodes that keep the bits all
-   their members share (a masked pattern). Two nodes are compared by pattern
-   first: their differences in shared bits accumulate, and when they exceed d all
-   pairs below are pruned at once; leaves add only the bits not yet compared.
-5. Values with more than ``block`` fingerprints are dealt out in pairs of blocks
-   by hash, so no task holds an unbounded group, and every pair still meets.
-6. Each group gives a spanning set of links, never all pairs; components follow.
+3. Dealing out: two fingerprints that differ in at most d bits agree on r of d + r
+   bit blocks, so each goes under the value of every r blocks. Each pair within d
+   bits meets at least once. r grows with the number of nodes, so that a value is
+   expected to have no more than ``GROUP`` of them: more rows, but no larger trees. It moves
+   work only and loses no pair.
+4. Index: rows are range-partitioned by (value, Gray rank), so a value with many
+   fingerprints lies in many tasks. Every run of one value, ``block`` rows at most, is a
+   tree of ``gray_index``, which searches it. Trees of one value in different
+   runs meet by their roots first: pairs of roots that differ in too many shared bits go, the
+   others are searched against each other.
+5. Each tree gives a spanning set of links, never all pairs; components follow.
+
+With ``shingle_width`` nodes are texts (equal but for case and white space) and a link
+also needs the given Jaccard similarity of their sets of shingles. The index then asks
+for a sketch of these sets as well (256 MinHash bits, a limit that a pair of that
+similarity misses once in 250 times), keeps the most similar links first, and its links are verified
+on the sets themselves: a row a link, never one a pair. A link that fails is
+dropped; where it alone joined two parts of a value's tree, they stay apart.
 
 Defined results: null and blank texts have fingerprint zero and link like any
-other; a null id never names a component unless nothing else is in it; repeated
-rows stay repeated; an empty table gives an empty result; extra columns are not
-read.
+other (as texts they equal each other); a null id never names a component unless
+nothing else is in it; repeated rows stay repeated; an empty table gives an empty
+result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docflow.llm.arrow import lean
 from docflow.llm.components import components
+from docflow.llm.gray_index import Forest, Search
+from docflow.llm.shingles import SKETCH_WORDS, agreement, sets_of, shingle_set, similar, sketch, word_list
 from docflow.llm.storage import stored
 from docflow.llm.text import pick
 
 SEED = 42
 #: Shingles hashed at a time; bounds the memory of a long text.
 BLOCK_SHINGLES = 1 << 16
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Nodes that a value of the dealing is expected to have at most, fingerprints of a tree, and rows searched at a time.
+GROUP, BLOCK, CHUNK = 1024, 8192, 1 << 15
+_SKETCH = [f"_k{k}" for k in range(SKETCH_WORDS)]
 
 
-def simhash(text: str | None, width: int) -> int:
-    """Unsigned fingerprint of one text; bytes.split() splits at U+0020 and U+0009 to U+000D only."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+def simhash(words: list[bytes], width: int) -> int:
+    """Unsigned fingerprint of a list of words."""
     if not words:
         return 0
     joined = b" ".join(words)
@@ -59,16 +71,23 @@ def simhash(text: str | None, width: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(first)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``_id, _fp`` (signed long) of every row."""
-    own = pick(docs, _id=id_col, _text=text_col)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, shingle_width: int | None = None) -> DataFrame:
+    """``_id, _th, _fp, _node`` (signed longs) of every row, and ``_k0, ...`` with the sketch of its shingles if asked; ``_th`` is the hash of the raw text."""
+    own = pick(docs, _id=id_col, _text=text_col).select("_id", F.xxhash64("_text").alias("_th"), "_text")
+    names = ["_fp", "_node", *(_SKETCH if shingle_width else [])]
 
     def run(batches):
         for batch in batches:
-            fp = [simhash(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["_id", "_fp"])
+            out = np.empty((len(batch), len(names)), np.uint64)
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                words = word_list(text)
+                out[k, 0] = out[k, 1] = simhash(words, width)
+                if shingle_width:
+                    out[k, 1] = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+                    out[k, 2:] = sketch(shingle_set(words, shingle_width))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(len(names)))], ["_id", "_th", *names])
 
-    return own.mapInArrow(lean(run), T.StructType([own.schema["_id"], T.StructField("_fp", T.LongType())]))
+    return own.mapInArrow(lean(run), T.StructType([own.schema["_id"], *(T.StructField(n, T.LongType()) for n in ("_th", *names))]))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -78,129 +97,173 @@ def gray_rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def block_masks(bits: int) -> list[int]:
-    """Masks over pairs of ``bits + 2`` blocks of the 64 bits, as signed longs."""
-    n = bits + 2
+def block_masks(bits: int, agree: int) -> list[int]:
+    """Masks over ``agree`` of ``bits + agree`` blocks of the 64 bits, as signed longs."""
+    n = bits + agree
     edges = [64 * k // n for k in range(n + 1)]
     blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [m - (1 << 64) if m >> 63 else m for m in (x | y for x, y in combinations(blocks, 2))]
-
-
-#: Fingerprints under a leaf node, node pairs compared at a time, and the group size up to which pairs are compared by lag.
-LEAF, NODE_PAIRS, SMALL = 32, 1 << 8, 32
-
-
-def index_links(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links among distinct fingerprints sorted by Gray rank."""
-    n = len(fps)
-    pad = -n % LEAF
-    leaves = np.concatenate((fps, np.repeat(fps[-1:], pad))).reshape(-1, LEAF)
-    same = ~(np.bitwise_and.reduce(leaves, axis=1) ^ np.bitwise_or.reduce(leaves, axis=1))
-    pattern = leaves[:, 0] & same
-    label = np.arange(n)
-    for i in range(len(leaves)):
-        # Differences in the bits that both nodes share, accumulated once for all pairs below.
-        shared = same[i] & same[i:]
-        passed = np.bitwise_count((pattern[i] ^ pattern[i:]) & shared)
-        near = np.flatnonzero(passed <= bits)
-        for k in range(0, len(near), NODE_PAIRS):
-            j = near[k : k + NODE_PAIRS]
-            rest = (leaves[i][None, :, None] ^ leaves[i + j][:, None, :]) & ~shared[j][:, None, None]
-            hit = np.nonzero(np.bitwise_count(rest) + passed[j][:, None, None] <= bits)
-            x, y = i * LEAF + hit[1], (i + j[hit[0]]) * LEAF + hit[2]
-            keep = (x < y) & (y < n)
-            _merge(label, x[keep], y[keep])
-    member = np.flatnonzero(label != np.arange(n))
-    return fps[member], fps[label[member]]
-
-
-def _merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-    """Join the components of x and y; labels are the smallest place of a component."""
-    while len(x):
-        a, b = label[x], label[y]
-        differ = a != b
-        if not differ.any():
-            return
-        x, y, a, b = x[differ], y[differ], a[differ], b[differ]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label[:] = up
-
-
-def _group_links(groups: np.ndarray, fps: np.ndarray, bits: int) -> tuple[list, list]:
-    """Links within each run of equal group numbers; fingerprints of a run are distinct and in Gray order."""
-    left, right = [], []
-    starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
-    sizes = np.diff(np.append(starts, len(groups)))
-    for s, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        a, b = index_links(fps[s : s + size], bits)
-        left.append(a)
-        right.append(b)
-    at = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
-    lag = 1
-    while len(at):
-        at = at[at + lag < len(fps)]
-        at = at[groups[at] == groups[at + lag]]
-        hit = at[np.bitwise_count(fps[at] ^ fps[at + lag]) <= bits]
-        left.append(fps[hit])
-        right.append(fps[hit + lag])
-        lag += 1
-    return left, right
-
-
-def grouped_links(keyed: DataFrame, bits: int) -> DataFrame:
-    """``a, b`` of the links in each group of ``_g`` (bounded groups, sorted by group and Gray rank in the partition)."""
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(x) for x in combinations(blocks, agree))]
+
+
+def blocks_to_agree(nodes: int, bits: int) -> int:
+    """How many blocks a value of the dealing takes, so that it is expected to have at most ``GROUP`` nodes."""
+    agree = 1
+    while nodes > GROUP * 2 ** (64 * agree / (bits + agree)) and agree < 4:
+        agree += 1
+    return agree
+
+
+def _unsigned(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _search(trees: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, bits: int, agree: int, paired: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links in every tree, or between every two trees that follow each other."""
+    forest = Forest(trees, fps)
+    roots = np.arange(len(forest.ones[-1]))
+    search = Search(forest, bits, sketches, agree)
+    return search.run(roots[::2], roots[1::2]) if paired else search.run(roots, roots)
+
+
+def tree_links(keyed: DataFrame, bits: int, block: int, agree: int) -> DataFrame:
+    """Links ``a, b`` within each tree of the sorted ``_g, _fp, _node, ...``, and the rows of values that other trees may share.
+
+    The latter have ``_t``, the number of their tree: values above ``block`` rows, and the first and the last value of a partition.
+    """
+    names = keyed.columns
 
     def run(batches):
-        kept_g, kept_f = np.empty(0, np.int64), np.empty(0, np.uint64)
+        part, serial = TaskContext.get().partitionId() << 32, 0
+        kept, first, cut = None, None, None
+
+        def out(rows: np.ndarray, last: bool):
+            """Trees of whole values, but for one that was cut before or is cut now."""
+            nonlocal serial, cut
+            if not len(rows):
+                return
+            g = rows[:, 0]
+            starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            sizes = np.diff(np.append(starts, len(g)))
+            place = np.arange(len(g)) - np.repeat(starts, sizes)
+            tree = np.cumsum((place % block == 0).astype(np.int64)) - 1
+            shared = np.repeat((sizes > block) | (g[starts] == first) | (False if cut is None else g[starts] == cut), sizes)
+            if last:
+                shared |= g == g[-1]
+            used = np.repeat(sizes > 1, sizes)
+            sketches = rows[:, 3:] if rows.shape[1] > 3 else None
+            if used.any():
+                a, b = _search(tree[used], rows[used, 1], None if sketches is None else sketches[used], bits, agree, False)
+                if len(a):
+                    node = rows[used, 2]
+                    yield batch_of([None] * (len(names) + 1) + [node[a], node[b]], len(a))
+            if shared.any():
+                yield batch_of([*rows[shared].T, (tree[shared] + part + serial).astype(np.uint64), None, None], int(shared.sum()))
+            serial += int(tree[-1]) + 1
+
+        def batch_of(columns, n):
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], [*names, "_t", "a", "b"])
+
         for batch in batches:
-            g = np.concatenate((kept_g, batch.column(0).to_numpy(zero_copy_only=False)))
-            f = np.concatenate((kept_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            cut = int(np.searchsorted(g, g[-1], "left")) if len(g) else 0
-            kept_g, kept_f = g[cut:], f[cut:]
-            yield from out(g[:cut], f[:cut])
-        yield from out(kept_g, kept_f)
+            rows = np.column_stack([_unsigned(c) for c in batch.columns])
+            rows = rows if kept is None else np.concatenate((kept, rows))
+            kept = rows
+            if not len(rows):
+                continue
+            first = rows[0, 0] if first is None else first
+            if len(rows) < CHUNK:
+                continue
+            edges = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+            # Up to the last border of a value; a value that fills the chunk is cut after whole trees, and one row at least stays.
+            end = int(edges[-1]) if len(edges) else (len(rows) - 1) // block * block
+            whole = bool(len(edges))
+            if not end:
+                continue
+            if not whole:
+                cut = rows[0, 0]
+            yield from out(rows[:end], False)
+            kept = rows[end:]
+        if kept is not None:
+            yield from out(kept, True)
+
+    return keyed.mapInArrow(lean(run), ", ".join(f"{n} bigint" for n in (*names, "_t", "a", "b")))
+
+
+def cross_links(shared: DataFrame, bits: int, agree: int) -> DataFrame:
+    """Links between the trees ``_t`` of one value ``_g`` whose roots don't rule them out."""
+    roots = shared.groupBy("_g", "_t").agg(F.bit_and("_fp").alias("_and"), F.bit_or("_fp").alias("_or"))
+    roots = roots.select("_g", "_t", F.col("_and").alias("_ones"), F.bitwise_not(F.col("_and").bitwiseXOR(F.col("_or"))).alias("_same"))
+    x, y = roots.toDF("_g", "_t0", "_o0", "_s0"), roots.toDF("_g", "_t1", "_o1", "_s1")
+    differ = F.bit_count(F.col("_o0").bitwiseXOR(F.col("_o1")).bitwiseAND(F.col("_s0")).bitwiseAND(F.col("_s1")))
+    pairs = x.join(y, "_g").where((F.col("_t0") < F.col("_t1")) & (differ <= bits)).select("_t0", "_t1", F.explode(F.array("_t0", "_t1")).alias("_t"))
+    rest = [c for c in shared.columns if c not in ("_g", "_t")]
+    rows = pairs.join(shared.select("_t", *rest), "_t").withColumn("_r", gray_rank(F.col("_fp"))).repartition("_t0", "_t1").sortWithinPartitions("_t0", "_t1", "_t", "_r", "_node")
 
-    def out(g, f):
-        if len(g):
-            left, right = _group_links(g, f, bits)
-            if left and sum(map(len, left)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)], ["a", "b"])
+    def run(batches):
+        kept = None
+        for batch in batches:
+            rows = np.column_stack([_unsigned(c) for c in batch.columns])
+            rows = rows if kept is None else np.concatenate((kept, rows))
+            edges = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+            end = int(edges[-1]) if len(edges) else 0
+            kept = rows[end:]
+            yield from out(rows[:end])
+        if kept is not None:
+            yield from out(kept)
+
+    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(rows):
+            tree = np.cumsum(np.concatenate(([0], (rows[1:, :3] != rows[:-1, :3]).any(axis=1).astype(np.int64))))
+            a, b = _search(tree, rows[:, 3], rows[:, 5:] if rows.shape[1] > 5 else None, bits, agree, True)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[x, 4]).view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    return keyed.select("_g", "_fp").mapInArrow(lean(run), "a bigint, b bigint")
+    return rows.select("_t0", "_t1", "_t", *rest).mapInArrow(lean(run), "a bigint, b bigint")
 
 
-def links(distinct: DataFrame, bits: int = 4, block: int = 8192) -> DataFrame:
-    """Spanning links ``a, b`` among the distinct fingerprints ``_fp``.
+def links(nodes: DataFrame, bits: int = 4, block: int = BLOCK, agree: int = 0) -> DataFrame:
+    """Spanning links ``a, b`` among the distinct ``_node`` with their ``_fp`` and, if any, sketch columns.
 
-    ``_g`` numbers a group by hash; a clash only puts two groups together, and
+    ``_g`` numbers a value by hash; a clash only puts two values together, and
     every link is verified on the fingerprints themselves.
     """
-    masks = F.array(*[F.struct(F.lit(k).alias("t"), F.col("_fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(block_masks(bits))])
-    keyed = distinct.select("_fp", F.explode(masks).alias("m")).select(F.xxhash64("m.t", "m.v").alias("_g"), "_fp")
-    large = keyed.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") > block)
-    small = keyed.join(large, "_g", "left_anti")
-    parts = F.ceil(F.col("_n") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("_fp", F.lit(7)), parts.cast("long")).cast("int")
-    pairs = (
-        keyed.join(large, "_g").select("_g", "_fp", own.alias("_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_o"))
-        .select(F.xxhash64("_g", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("_g"), "_fp")
-    )
-    both = small.unionByName(pairs).withColumn("_r", gray_rank(F.col("_fp")))
-    return grouped_links(both.repartition("_g").sortWithinPartitions("_g", "_r"), bits).distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4, block: int = 8192) -> DataFrame:
-    """``id_col, fingerprint, component_id`` for every row (see the module's docstring)."""
-    prints = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = stored(prints.groupBy("_fp").agg(F.min("_id").alias("_least")), "distinct")
-    roots = components(links(distinct, bits, block), "a", "b")
-    classes = distinct.join(roots, distinct["_fp"] == roots["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
+    masks = block_masks(bits, blocks_to_agree(nodes.count(), bits))
+    dealt = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("_fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(masks)])).alias("m")
+    rest = [c for c in nodes.columns if c not in ("_fp", "_node")]
+    keyed = nodes.select("_fp", "_node", *rest, dealt).select(F.xxhash64("m.t", "m.v").alias("_g"), "_fp", "_node", *rest).withColumn("_r", gray_rank(F.col("_fp")))
+    ordered = keyed.repartitionByRange("_g", "_r", "_node").sortWithinPartitions("_g", "_r", "_node").drop("_r")
+    found = stored(tree_links(ordered, bits, block, agree), "tree-links")
+    across = cross_links(found.where("_t is not null").drop("a", "b"), bits, agree)
+    return found.where("a is not null").select("a", "b").unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, shingle_width: int, similarity: tuple[int, int]) -> DataFrame:
+    """The links whose texts are as similar as asked; ``nodes`` has ``_node, _first`` (id and raw text hash of one row)."""
+    needed = found.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    rows = nodes.join(needed, "_node", "left_semi").select("_node", "_first")
+    at = (docs["_id"].eqNullSafe(F.col("_first._id"))) & (docs["_th"] == F.col("_first._th"))
+    # Rows that repeat give their set again; one is kept.
+    sets = stored(sets_of(docs.join(rows, at).select("_node", "_text"), shingle_width).dropDuplicates(["_node"]), "sets")
+    return similar(found, sets, similarity)
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4, block: int = BLOCK, shingle_width: int | None = None, similarity: tuple[int, int] = (4, 5)
+) -> DataFrame:
+    """``id_col, fingerprint, component_id`` for every row (see the module's docstring).
+
+    ``width`` words make a shingle of the fingerprint. With ``shingle_width`` links need a similarity (a fraction) of shingles of that many words as well.
+    """
+    prints = stored(fingerprints(docs, id_col, text_col, width, shingle_width), "fingerprints")
+    own = [F.first(c).alias(c) for c in prints.columns if c not in ("_id", "_th", "_node")]
+    nodes = stored(prints.groupBy("_node").agg(*own, F.min("_id").alias("_least"), F.first(F.struct("_id", "_th")).alias("_first")), "nodes")
+    found = links(nodes.drop("_least", "_first"), bits, block, agreement(similarity[0] / similarity[1]) if shingle_width else 0)
+    if shingle_width:
+        raw = pick(docs, _id=id_col, _text=text_col).withColumn("_th", F.xxhash64("_text"))
+        found = verified(stored(found, "found"), nodes, raw, shingle_width, similarity)
+    roots = components(found, "a", "b")
+    classes = nodes.join(roots, nodes["_node"] == roots["node"], "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root"))
     names = classes.groupBy("_root").agg(F.min("_least").alias("_component"))
     # Under the complement the names are dealt out anew, so AQE can split the join at a large component.
     around = names.select(F.bitwise_not("_root").alias("_k"), "_component")
-    named = classes.withColumn("_k", F.bitwise_not("_root")).join(around, "_k").select("_fp", "_component")
-    return prints.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
+    named = classes.withColumn("_k", F.bitwise_not("_root")).join(around, "_k").select("_node", "_component")
+    return prints.join(named, "_node").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))

@@ -1,10 +1,11 @@
+import random
 import re
 
 import numpy as np
 import pytest
 import xxhash
 
-from docflow.llm import simhash as S
+from docflow.llm import gray_index as G, shingles as X, simhash as S
 from docflow.llm.q_simhash import op9_simhash_near_dedup
 
 SCHEMA = "doc_id bigint, text string, _fp string"
@@ -57,47 +58,128 @@ def test_odd_rows(spark):
     assert S.near_duplicates(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("block", [8192, 8])
-def test_links_lose_nothing(spark, block):
-    rng = np.random.default_rng(3)
+def components_of(count, a, b):
+    root = np.arange(count)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in zip(np.asarray(a).tolist(), np.asarray(b).tolist(), strict=True):
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    return [find(k) for k in range(count)]
+
+
+def clustered(rng, spread=7):
     prints = set(rng.integers(0, 1 << 63, 300).tolist())
     for centre in rng.integers(0, 1 << 63, 12).tolist():
         for _ in range(40):
             x = centre
-            for b in rng.integers(0, 64, rng.integers(0, 7)).tolist():
+            for b in rng.integers(0, 64, rng.integers(0, spread)).tolist():
                 x ^= 1 << b
             prints.add(x)
             centre = x if rng.random() < 0.2 else centre
-    prints = sorted(prints)
-    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "_fp bigint")
-    root = {p: p for p in prints}
+    return sorted(prints)
+
+
+@pytest.mark.parametrize("chunk", [1 << 15, 64])
+@pytest.mark.parametrize("block", [8192, 8])
+@pytest.mark.parametrize("group", [1024, 1])
+def test_links_lose_nothing(spark, monkeypatch, block, chunk, group):
+    monkeypatch.setattr(S, "GROUP", group)
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    prints = clustered(np.random.default_rng(3))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p, p) for p in signed], "_fp bigint, _node bigint")
+    place = {p: k for k, p in enumerate(signed)}
+    found = S.links(df, 4, block).collect()
+    assert components_of(len(prints), [place[r.a] for r in found], [place[r.b] for r in found]) == plain_components(list(range(len(prints))), prints)
+    assert len(found) <= 20 * len(prints)
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a, b in S.links(df, 4, block).collect():
-        a, b = a % (1 << 64), b % (1 << 64)
-        root[find(a)] = find(b)
-    want = plain_components(list(range(len(prints))), prints)
-    groups = {}
-    for p, w in zip(prints, want, strict=True):
-        groups.setdefault(w, set()).add(p)
-    ours = {}
-    for p in prints:
-        ours.setdefault(find(p), set()).add(p)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values()))
+def in_order(prints):
+    fps = np.array(prints, np.uint64)
+    return fps[np.argsort(G.gray_ranks(fps))]
 
 
 def test_index_equals_pairs():
     rng = np.random.default_rng(5)
-    fps = np.unique(np.concatenate([rng.integers(0, 1 << 64, 900, dtype=np.uint64), np.uint64(123456789) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))]))
-    rank = fps.copy()
-    for s in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(s)
-    fps = fps[np.argsort(rank)]
-    a, b = S.index_links(fps, 4)
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
-    linked = {int(x) for x in a} | {int(x) for x in b}
-    assert linked == {int(fps[i]) for i in range(len(fps)) if near[i].sum() > 1}
+    for bits in (0, 4, 9):
+        parts = [in_order(clustered(rng)[: int(n)]) for n in (1, 2, 8, 9, 40, 700)]
+        fps, tree = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        forest = G.Forest(tree, fps)
+        roots = np.arange(len(forest.ones[-1]))
+        search = G.Search(forest, bits)
+        a, b = search.run(roots, roots)
+        near = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits) & (tree[:, None] == tree[None, :])
+        assert near[a, b].all()
+        assert components_of(len(fps), a, b) == components_of(len(fps), *np.nonzero(near))
+        # A forest has no link too many.
+        assert len(a) == len(fps) - len(set(components_of(len(fps), a, b)))
+
+
+def test_index_prunes_at_several_levels():
+    fps = in_order(np.random.default_rng(8).integers(0, 1 << 64, 8192, dtype=np.uint64))
+    forest = G.Forest(np.zeros(len(fps), np.int64), fps)
+    search = G.Search(forest, 3)
+    search.run(np.array([0]), np.array([0]))
+    assert sum(n > 0 for n in search.pruned) >= 3
+    # What is pruned is most of the work.
+    leaves = len(forest.ones[0])
+    assert search.pruned[0] + sum(n * G.FAN ** (2 * k) for k, n in enumerate(search.pruned) if k) > 0.3 * leaves * (leaves + 1) / 2
+
+
+def test_index_links_whole_nodes_without_a_look(monkeypatch):
+    monkeypatch.setattr(G.Search, "_leaves", lambda *_: pytest.fail("a leaf was opened"))
+    fps = in_order([0xABCD0000 + k for k in range(16)] * 50)
+    forest = G.Forest(np.zeros(len(fps), np.int64), fps)
+    a, b = G.Search(forest, 4).run(np.array([0]), np.array([0]))
+    assert set(components_of(len(fps), a, b)) == {0}
+
+
+def shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or {tuple(words)}
+
+
+def by_shingles(rows):
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return {d: rows[c][0] for (d, _), c in zip(rows, components_of(len(rows), [i for i, _ in pairs], [j for _, j in pairs]), strict=True)}
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for p in rng.sample(range(len(out)), edits):
+        out[p] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_verified_links(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**5)}" for _ in range(200)]
+        rows += [(len(rows) + k, edited(rng, words, k % 8)) for k in range(10)]
+    rows += [(900, rows[0][1].upper()), (901, "few words"), (902, "Few  words"), (903, ""), (904, " ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(df, width=2, bits=8, shingle_width=5).collect()}
+    want = by_shingles(rows)
+    # The fingerprints may part near copies, but nothing is linked that the shingles don't link.
+    assert all(want[d] == want[got[d]] for d in want)
+    assert sum(got[d] == want[d] for d in want) >= 0.95 * len(want)
+    assert got[900] == 0 and got[902] == 901 and got[904] == 903
+
+
+def test_sketch_agreement():
+    rng = random.Random(6)
+    missed = 0
+    for _ in range(300):
+        words = [f"w{rng.randrange(10**5)}".encode() for _ in range(300)]
+        other = edited(rng, [w.decode() for w in words], 6).encode().split()
+        x, y = X.shingle_set(words, 5), X.shingle_set(other, 5)
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+            missed += 64 * X.SKETCH_WORDS - int(np.bitwise_count(X.sketch(x) ^ X.sketch(y)).sum()) < X.agreement(0.8)
+    assert missed <= 3

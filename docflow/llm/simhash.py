@@ -55,7 +55,7 @@ GROUP, BLOCK, CHUNK = 1024, 8192, 1 << 15
 _SKETCH = [f"_k{k}" for k in range(SKETCH_WORDS)]
 
 
-def simhash(words: list[bytes], width: int) -> int:
+def simhash(words: list[bytes], width: int, seed: int = SEED) -> int:
     """Unsigned fingerprint of a list of words."""
     if not words:
         return 0
@@ -66,25 +66,26 @@ def simhash(words: list[bytes], width: int) -> int:
     digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for k in range(0, len(first), BLOCK_SHINGLES):
         spans = zip(first[k : k + BLOCK_SHINGLES].tolist(), last[k : k + BLOCK_SHINGLES].tolist(), strict=True)
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], ">u8")
+        hashes = np.array([digest(joined[s:e], seed) for s, e in spans], ">u8")
         counts += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
     return int.from_bytes(np.packbits(2 * counts > len(first)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, shingle_width: int | None = None) -> DataFrame:
-    """``_id, _th, _fp, _node`` (signed longs) of every row, and ``_k0, ...`` with the sketch of its shingles if asked; ``_th`` is the hash of the raw text."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, shingle_width: int | None = None, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """``_id, _th, _node, _fp0, ...`` (signed longs) of every row, and ``_k0, ...`` with the sketch of its shingles if asked; ``_th`` is the hash of the raw text."""
     own = pick(docs, _id=id_col, _text=text_col).select("_id", F.xxhash64("_text").alias("_th"), "_text")
-    names = ["_fp", "_node", *(_SKETCH if shingle_width else [])]
+    names = ["_node", *(f"_fp{k}" for k in range(len(seeds))), *(_SKETCH if shingle_width else [])]
 
     def run(batches):
         for batch in batches:
             out = np.empty((len(batch), len(names)), np.uint64)
             for k, text in enumerate(batch.column(2).to_pylist()):
                 words = word_list(text)
-                out[k, 0] = out[k, 1] = simhash(words, width)
+                out[k, 1 : 1 + len(seeds)] = [simhash(words, width, seed) for seed in seeds]
+                out[k, 0] = out[k, 1]
                 if shingle_width:
-                    out[k, 1] = xxhash.xxh64_intdigest(b" ".join(words), SEED)
-                    out[k, 2:] = sketch(shingle_set(words, shingle_width))
+                    out[k, 0] = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+                    out[k, 1 + len(seeds) :] = sketch(shingle_set(words, shingle_width))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(len(names)))], ["_id", "_th", *names])
 
     return own.mapInArrow(lean(run), T.StructType([own.schema["_id"], *(T.StructField(n, T.LongType()) for n in ("_th", *names))]))
@@ -221,15 +222,16 @@ def cross_links(shared: DataFrame, bits: int, agree: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, bits: int = 4, block: int = BLOCK, agree: int = 0) -> DataFrame:
-    """Spanning links ``a, b`` among the distinct ``_node`` with their ``_fp`` and, if any, sketch columns.
+    """Spanning links ``a, b`` among the distinct ``_node`` with their fingerprints ``_fp0, ...`` and, if any, sketch columns.
 
     ``_g`` numbers a value by hash; a clash only puts two values together, and
     every link is verified on the fingerprints themselves.
     """
     masks = block_masks(bits, blocks_to_agree(nodes.count(), bits))
-    dealt = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("_fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(masks)])).alias("m")
-    rest = [c for c in nodes.columns if c not in ("_fp", "_node")]
-    keyed = nodes.select("_fp", "_node", *rest, dealt).select(F.xxhash64("m.t", "m.v").alias("_g"), "_fp", "_node", *rest).withColumn("_r", gray_rank(F.col("_fp")))
+    prints = [c for c in nodes.columns if c.startswith("_fp")]
+    under = [F.struct(F.xxhash64(F.lit(p), F.lit(k), F.col(p).bitwiseAND(F.lit(m))).alias("g"), F.col(p).alias("f")) for p in prints for k, m in enumerate(masks)]
+    rest = [c for c in nodes.columns if c != "_node" and c not in prints]
+    keyed = nodes.select("_node", *rest, F.explode(F.array(*under)).alias("m")).select(F.col("m.g").alias("_g"), F.col("m.f").alias("_fp"), "_node", *rest).withColumn("_r", gray_rank(F.col("_fp")))
     ordered = keyed.repartitionByRange("_g", "_r", "_node").sortWithinPartitions("_g", "_r", "_node").drop("_r")
     found = stored(tree_links(ordered, bits, block, agree), "tree-links")
     across = cross_links(found.where("_t is not null").drop("a", "b"), bits, agree)
@@ -247,13 +249,14 @@ def verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, shingle_width:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4, block: int = BLOCK, shingle_width: int | None = None, similarity: tuple[int, int] = (4, 5)
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4, block: int = BLOCK, shingle_width: int | None = None, similarity: tuple[int, int] = (4, 5), seeds: tuple[int, ...] = (SEED,)
 ) -> DataFrame:
     """``id_col, fingerprint, component_id`` for every row (see the module's docstring).
 
-    ``width`` words make a shingle of the fingerprint. With ``shingle_width`` links need a similarity (a fraction) of shingles of that many words as well.
+    ``width`` words make a shingle of the fingerprint; of several ``seeds`` each gives a fingerprint, and a pair needs one of them
+    within ``bits``. The first is returned. With ``shingle_width`` links need a similarity (a fraction) of shingles of that many words as well.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, width, shingle_width), "fingerprints")
+    prints = stored(fingerprints(docs, id_col, text_col, width, shingle_width, seeds), "fingerprints")
     own = [F.first(c).alias(c) for c in prints.columns if c not in ("_id", "_th", "_node")]
     nodes = stored(prints.groupBy("_node").agg(*own, F.min("_id").alias("_least"), F.first(F.struct("_id", "_th")).alias("_first")), "nodes")
     found = links(nodes.drop("_least", "_first"), bits, block, agreement(similarity[0] / similarity[1]) if shingle_width else 0)
@@ -266,4 +269,4 @@ def near_duplicates(
     # Under the complement the names are dealt out anew, so AQE can split the join at a large component.
     around = names.select(F.bitwise_not("_root").alias("_k"), "_component")
     named = classes.withColumn("_k", F.bitwise_not("_root")).join(around, "_k").select("_node", "_component")
-    return prints.join(named, "_node").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
+    return prints.join(named, "_node").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp0"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))

@@ -7,10 +7,10 @@ forms, scripts, styles and reader comments, by element, role, or class and id wo
 adjusted by how much of both is links. The density sum of a node adds up its
 children's densities (loose text counts as a child). The node with the largest
 sum leads to the threshold, the smallest density on its path from the body. If it
-stands in an article or main element, that is the text as a whole. Otherwise every
-block below the body is tested against the threshold itself: only what stands below
-the node with the largest sum (if that is a part of the page, not its wrapper) goes
-with it. Short blocks between dense ones, headings before and paragraphs after them
+stands in an article, or in a main element without one, that is the text as a whole.
+Otherwise every block below the body (or the main element around the article) is tested against the
+threshold itself: only what stands below the node with the largest sum (if that is a part of the
+page, not its wrapper) or in the article goes with it; so are other articles. Short blocks between dense ones, headings before and paragraphs after them
 belong to them; boxes made of links are dropped.
 
 Text is built per block: character references decoded, white space collapsed,
@@ -260,31 +260,41 @@ class Page:
             out.append(c / t * max(math.log(max(ratio, 1.0)) / base, 0.0))
         return out
 
+    def own_chars(self) -> list[int]:
+        """Characters that stand in an element itself, in none below it."""
+        own = self.chars[:]
+        for k in range(len(own) - 1, 0, -1):
+            if not self.left_out[k]:
+                own[self.parent[k]] -= self.chars[k]
+        return [max(x, 0) for x in own]
+
     def chosen(self) -> list[bool]:
         """Whether an element's text belongs to the main text."""
         n, density = len(self.tag), self.densities()
         sums = [0.0] * n
-        own = self.chars[:]
+        own = self.own_chars()
         for k in range(n - 1, 0, -1):
             if not self.left_out[k]:
                 sums[self.parent[k]] += density[k]
-                own[self.parent[k]] -= self.chars[k]
         for k in range(n):
-            sums[k] += max(own[k], 0)
+            sums[k] += own[k]
         body = next((k for k, t in enumerate(self.tag) if t == "body"), 0)
         best = max((k for k in range(body, n) if not self.left_out[k]), key=lambda k: (sums[k], -k))
-        threshold, k, region = density[best], best, None
+        threshold, k, article, main = density[best], best, None, None
         while k > 0:
             threshold = min(threshold, density[k])
-            if self.tag[k] in ("article", "main"):
-                region = k
+            if self.tag[k] == "article":
+                article = k
+            elif self.tag[k] == "main":
+                main = k
             k = self.parent[k] if k != body else 0
         if body == 0:
             threshold = min(threshold, density[0])
         inside, dense, whole = [False] * n, [False] * n, [False] * n
         children: list[list[int]] = [[] for _ in range(n)]
         loose_links = [0] * n
-        top = body if region is None else region
+        # An article with the largest sum is text as a whole; in a main element around it the rest is tested.
+        top = main if main is not None and (article is None or main < article) else article if article is not None else body
         for k in range(n):
             p = self.parent[k]
             inside[k] = not self.left_out[k] and (k == top or (p >= 0 and inside[p]))
@@ -293,21 +303,22 @@ class Page:
                     children[p].append(k)
                 elif self.tag[k] == "a":
                     loose_links[p] += self.chars[k]
-        if region is not None:
-            # A marked article is text as a whole.
+        if top != body and (article is None or top == article):
             return inside
-        part = best != body and self.chars[best] < self.chars[body]
+        part = article is None and best != body and self.chars[best] < self.chars[body]
         for k in range(n):
             p = self.parent[k]
             if not inside[k]:
                 continue
-            if k == body or dense[p] and whole[p] or self.tag[k] in ("article", "main") or part and k == best:
-                dense[k], whole[k] = True, k != body
+            if k == top or dense[p] and whole[p] or k == article or part and k == best:
+                dense[k], whole[k] = True, k != top
+            elif self.tag[k] in ("article", "main"):
+                dense[k] = whole[k] = density[k] >= threshold
             elif whole[k]:
                 dense[k] = True
             elif self.tag[k] not in BLOCK:
                 # Text in a line goes with its block, but for links that stand loose among blocks.
-                dense[k] = dense[p] and not (self.tag[k] == "a" and children[p] and loose_links[p] > max(own[p], 0))
+                dense[k] = dense[p] and not (self.tag[k] == "a" and children[p] and loose_links[p] > own[p])
             elif self.tag[k] in ("li", "dt", "dd") and self.tag[p] in LISTS:
                 dense[k] = dense[p]
             else:

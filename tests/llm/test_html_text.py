@@ -1,10 +1,12 @@
 import html
+import math
 import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 
-from docflow.llm.html_text import extract, main_text
+from docflow.llm.html_text import Page, extract, main_text
 from docflow.llm.q_html_text import op8_html_extraction
 
 P = "Some longer paragraph of plain words that makes up the article and goes on for a while."
@@ -50,6 +52,93 @@ def test_known_pages(markup, text):
     assert main_text(markup) == text
 
 
+class Plain(HTMLParser):
+    """A tree of well-formed markup, and its densities by the formula, node by node from the top."""
+
+    def __init__(self, markup):
+        super().__init__()
+        self.root = self.at = {"tag": "html", "up": None, "kids": []}
+        self.nodes = [self.root]
+        self.feed(markup)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.at["kids"].append(tag)
+            return
+        node = {"tag": tag, "up": self.at, "kids": []}
+        self.at["kids"].append(node)
+        self.nodes.append(node)
+        self.at = node
+
+    def handle_endtag(self, tag):
+        self.at = self.at["up"]
+
+    def handle_data(self, data):
+        self.at["kids"].append(len(" ".join(data.split())))
+
+    def counts(self, node, linked=False):
+        """Characters, tags, characters in links, links."""
+        up = node
+        while up and not linked:
+            linked, up = up["tag"] == "a", up["up"]
+        c = t = lc = lt = 0
+        for kid in node["kids"]:
+            if isinstance(kid, int):
+                c, lc = c + kid, lc + kid * linked
+            elif isinstance(kid, str):
+                t += 1
+            else:
+                below = self.counts(kid, linked)
+                c, t, lc, lt = c + below[0], t + below[1] + 1, lc + below[2], lt + below[3] + (kid["tag"] == "a")
+        return c, t, lc, lt
+
+    def densities(self):
+        body = self.counts(next(x for x in self.nodes if x["tag"] == "body"))
+        out = []
+        for node in self.nodes:
+            c, t, lc, lt = self.counts(node)
+            t = max(t, 1)
+            base = math.log(c / max(c - lc, 1) * lc + body[2] / max(body[0], 1) * c + math.e)
+            out.append(c / t * max(math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / base, 0.0) if c else 0.0)
+        return out
+
+
+def random_markup(rng, depth=0):
+    tag = rng.choice(["div", "section", "span", "a", "b", "em"] if depth else ["div"])
+    inner = "".join(rng.choice([lambda: f" w{rng.randrange(99)} " * rng.randrange(12), lambda: "<br>", lambda: random_markup(rng, depth + 1)])() for _ in range(rng.randrange(1, 6))) if depth < 5 else "leaf"
+    return f"<{tag}>{inner}</{tag}>"
+
+
+def test_densities_equal_the_formula():
+    rng = random.Random(11)
+    for _ in range(200):
+        markup = "<body>" + "".join(random_markup(rng) for _ in range(3)) + "</body>"
+        page, plain = Page(markup), Plain(markup)
+        assert page.tag == [x["tag"] for x in plain.nodes]
+        assert page.densities() == pytest.approx(plain.densities())
+
+
+def test_density_decides(monkeypatch):
+    pages = [noisy(k) for k in range(40)]
+    found = [main_text(m) for m, _ in pages]
+    assert found == [t for _, t in pages]
+    for flat in (0.0, 1.0):
+        with monkeypatch.context() as m:
+            m.setattr(Page, "densities", lambda self, flat=flat: [flat] * len(self.tag))
+            assert all(main_text(x) != t for x, t in pages)
+
+
+def noisy(k):
+    """A page without a telling name: stray boxes, links, and text in a box of its own."""
+    rng = random.Random(k)
+    words = lambda n: " ".join(f"word{rng.randrange(999)}" for _ in range(n))
+    stray = lambda: f"<div><a href=/{rng.randrange(9)}>{words(2)}</a> {words(rng.randrange(1, 3))}</div>"
+    paragraphs = [words(rng.randrange(40, 80)) for _ in range(rng.randrange(3, 7))]
+    text = "".join(f"<p>{p}</p>" for p in paragraphs)
+    before, after = "".join(stray() for _ in range(rng.randrange(1, 4))), "".join(stray() for _ in range(rng.randrange(1, 4)))
+    return f"<body><div class=x1>{before}</div><div class=x2>{text}</div><div class=x3>{after}</div></body>", " ".join(paragraphs)
+
+
 ITEMS = "".join(f'<a href="/{k}">Item {k}</a> ' for k in range(8))
 
 
@@ -59,6 +148,8 @@ ITEMS = "".join(f'<a href="/{k}">Item {k}</a> ' for k in range(8))
         (f'<body><table><tr><td class="c1">{ITEMS}</td><td class="c2"><h1>T</h1><p>{P}</p><p>Sh.</p><p>{P}</p></td><td class="c3"><a href=/l>Anmelden</a> <a href=/m>Mehr</a></td></tr></table></body>', f"T {P} Sh. {P}"),
         (f'<body><div class="c1"><a href=/l>Anmelden</a> <a href=/m>Mehr</a></div><h1>T</h1><p>{P}</p><p>x</p><p>{P}</p><div class="c3">Konto <a href=/k>hier</a></div></body>', f"T {P} x {P}"),
         (f'<body><div class="c1">{ITEMS}</div><div class=c5><h1>T</h1><p>{P}</p><p>{P}</p><p>{P}</p></div><div class="c3"><a href=/l>Anmelden</a></div><div class=c4>Konto</div></body>', f"T {P} {P} {P}"),
+        (f'<body><main><div class=c1><a href=/l>Anmelden</a> Konto</div><h1>T</h1><article><p>{P}</p><p>Sh.</p></article><div class=c2><a href=/m>Mehr</a> dazu</div></main></body>', f"T {P} Sh."),
+        (f'<body><main><article><p>{P}</p><p>{P}</p><p>{P}</p></article><article><a href=/1>Another one</a> soon</article></main></body>', f"{P} {P} {P}"),
         (f'<body><div id=w><div class="c1">{ITEMS}</div><p>{P}</p><p>{P} <a href=/x>link</a> <b>bo</b>ld</p><p>End.</p><div class="c3"><a href=/l>Anmelden</a></div></div></body>', f"{P} {P} link bold End."),
     ],
 )

@@ -18,15 +18,12 @@ tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
         FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
-ln AS (SELECT doc_id, source, l FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+ln AS (SELECT doc_id, source, m, l FROM (SELECT doc_id, source, md5(t) AS m, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY doc_id),
-norm AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
+norm AS (SELECT doc_id, source, m, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
                 trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS s FROM ln),
-top AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s DESC) AS k FROM (SELECT DISTINCT doc_id, n, s FROM norm)),
-ctx AS (SELECT norm.doc_id, norm.source, norm.s, norm.n, CASE WHEN a.s = norm.s THEN coalesce(b.s, '') ELSE a.s END AS rest
-        FROM norm LEFT JOIN top a ON a.doc_id = norm.doc_id AND a.k = 1 LEFT JOIN top b ON b.doc_id = norm.doc_id AND b.k = 2),
-often AS (SELECT source, s FROM ctx GROUP BY source, s HAVING count(DISTINCT rest) > 5),
-gone AS (SELECT doc_id, sum(n) AS n FROM ctx JOIN often USING (source, s) GROUP BY doc_id),
+often AS (SELECT source, s FROM norm GROUP BY source, s HAVING count(DISTINCT m) > 5),
+gone AS (SELECT doc_id, sum(n) AS n FROM norm JOIN often ON norm.source IS NOT DISTINCT FROM often.source AND norm.s = often.s GROUP BY doc_id),
 base AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,

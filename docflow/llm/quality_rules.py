@@ -6,8 +6,8 @@ documents are counted per (host, line), lines above the limit are removed and a
 document that loses more than a share of its words is rejected as depleted.
 
 Copies of one document must not make its own lines look like boilerplate, so
-documents of the same whole text (by its hash) count once; all others count each,
-whatever lines they share.
+documents of the same whole text (by its hash) count once unless ``count_copies`` is set; all
+others count each, whatever lines they share.
 
 Scale: one pass over the texts for the counts, one for the lines, whose small
 rows are written once to the shared folder and read twice. The count is pre-aggregated twice (by line and
@@ -99,25 +99,26 @@ def host_lines(docs: DataFrame) -> DataFrame:
     return df.select("_id", "_host", "_th", "_pos", F.xxhash64(F.col("_line.s")).alias("_h"), F.col("_line.n").cast("long").alias("_n"))
 
 
-def frequent_lines(lines: DataFrame, max_line_docs: int = 5) -> DataFrame:
+def frequent_lines(lines: DataFrame, max_line_docs: int = 5, count_copies: bool = False) -> DataFrame:
     """``_host, _h`` of the lines that more than ``max_line_docs`` different documents of a host hold."""
-    return lines.select("_host", "_h", "_th").distinct().groupBy("_host", "_h").agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_line_docs)
+    document = ["_id", "_th"] if count_copies else ["_th"]
+    return lines.select("_host", "_h", *document).distinct().groupBy("_host", "_h").agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_line_docs)
 
 
-def removed_lines(docs: DataFrame, max_line_docs: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, max_line_docs: int = 5, count_copies: bool = False) -> DataFrame:
     """Occurrences of lines above the limit, each place of a document once."""
     lines = stored(host_lines(docs), "lines")
     # Under the complement of the hash the counted side is dealt out anew, so AQE can split the join at a hot line.
-    often = frequent_lines(lines, max_line_docs).select("_host", F.bitwise_not("_h").alias("_k")).alias("o")
+    often = frequent_lines(lines, max_line_docs, count_copies).select("_host", F.bitwise_not("_h").alias("_k")).alias("o")
     hits = lines.withColumn("_k", F.bitwise_not("_h")).alias("l").join(often, F.col("l._host").eqNullSafe(F.col("o._host")) & (F.col("l._k") == F.col("o._k")), "left_semi")
     return hits.groupBy("_id", "_host", "_th", "_pos").agg(F.max("_n").alias("_n"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_pct: int = 50, max_line_docs: int = 5, max_removed_pct: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_pct: int = 50, max_line_docs: int = 5, max_removed_pct: int = 50, count_copies: bool = False) -> DataFrame:
     """Counts, verdict and removed words of every document (see the module's docstring)."""
     own = pick(docs, _id=id_col, _text=text_col, _host=host_col)
     base = base_rules(own, min_words, max_repeat_pct).alias("b")
-    gone = removed_lines(own, max_line_docs).groupBy("_id", "_host", "_th").agg(F.sum("_n").alias("_gone")).alias("r")
+    gone = removed_lines(own, max_line_docs, count_copies).groupBy("_id", "_host", "_th").agg(F.sum("_n").alias("_gone")).alias("r")
     same = F.col("b._id").eqNullSafe(F.col("r._id")) & F.col("b._host").eqNullSafe(F.col("r._host")) & (F.col("b._th") == F.col("r._th"))
     removed = F.coalesce(F.col("r._gone"), F.lit(0))
     depleted = 100 * removed > max_removed_pct * F.col("b.n_words")

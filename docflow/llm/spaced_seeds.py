@@ -8,15 +8,20 @@ A document holds an item when at least ``min_coverage`` of the item's words
 stand in their places on the hit diagonals (several, where words were inserted), or
 ``min_run`` of them in a row.
 
+Masks depend on the item's length (``FAMILIES``). Wherever a fifth of an item's words
+stand, at most, some seed of its family avoids them all, so at a coverage of 0.8 or more
+on one diagonal no item of any length is missed; items under five words have to stand whole.
+
 Before the join, documents test their seeds against a bitmap of all benchmark
-seeds. Its size is fixed (``BITMAP_BITS``) however large the benchmark is, and it
+seeds. It grows with them up to ``2 ** MAX_BITS`` bits (32 MB) and
 has no false negatives; that bitmap alone is sent to the executors. Only documents
 with a hit travel on, as word hashes. The joins are on hash, document row and item
-row; AQE splits a passage that a third of all documents hold.
+row; AQE splits a passage that a third of all documents hold. Of a document only the
+places where the item matches leave the join, each counted once.
 
 Words are lower-cased, split at white space, and stripped of punctuation at
-their ends. Defined results: null and blank texts hold nothing; items with fewer
-than ``SHORT`` words match nothing; items that repeat are reported one by one;
+their ends. Defined results: null and blank texts hold nothing; items without a word
+match nothing; items that repeat are reported one by one;
 rows that repeat are reported once each; an empty table gives an empty result.
 """
 
@@ -32,10 +37,20 @@ from docflow.llm.arrow import lean, lists, slices
 from docflow.llm.storage import stored
 from docflow.llm.text import pick
 
-#: Masks over neighbouring words, by place: 1 is read, 0 ignored. The last serves items that are shorter than the first.
-MASKS = ("11101011", "1101001101", "111000010011", "11111")
-SHORT = len(MASKS[-1])
-BITMAP_BITS = 25
+#: Least number of an item's words, and the masks over neighbouring words for items from there on: 1 is read, 0 ignored.
+#: They were found by search; the tests try all ways to change a fifth of the words.
+FAMILIES = (
+    (1, ("1",)), (2, ("11",)), (3, ("111",)), (4, ("1111",)),
+    (5, ("1111", "11101", "11011", "10111")),
+    (8, ("111111", "1111011", "1101111")),
+    (10, ("111011", "11010011", "11111")),
+    (15, ("1111011", "11001000111", "11010110001")),
+    (20, ("1111011", "11001000111", "11010110001", "111111")),
+    (21, ("1111011", "11001000111", "11010110001")),
+)
+MASKS = tuple(dict.fromkeys(m for _, family in FAMILIES for m in family))
+#: Bits of the bitmap, and how many there are to a seed.
+MIN_BITS, MAX_BITS, PER_SEED = 20, 28, 64
 #: Characters of text encoded at a time; a longer text goes alone.
 CHUNK = 1 << 22
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»‘’“”„…–—"
@@ -64,19 +79,19 @@ def seeds(words: np.ndarray, owner: np.ndarray, mask: int) -> tuple[np.ndarray,
     h = np.full(n, _ODD[mask], np.uint64)
     for k, read in enumerate(shape):
         if read == "1":
-            h += words[k : k + n] * _ODD[8 + 13 * mask % 40 + k]
+            h += words[k : k + n] * _ODD[20 + 13 * mask % 32 + k]
     h ^= h >> np.uint64(29)
-    h *= _ODD[7]
+    h *= _ODD[19]
     at = np.flatnonzero(owner[:n] == owner[len(shape) - 1 :])
     return at, h[at]
 
 
-def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return h >> np.uint64(64 - BITMAP_BITS), (h >> np.uint64(8)) & np.uint64((1 << BITMAP_BITS) - 1)
+def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return h >> np.uint64(64 - bits), (h >> np.uint64(8)) & np.uint64((1 << bits) - 1)
 
 
 def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_row, _item, _iw`` (word hashes) of the items that are long enough."""
+    """``_row, _item, _iw`` (word hashes) of the items with a word."""
     own = pick(items, _item=id_col, _text=text_col).select(F.monotonically_increasing_id().alias("_row"), F.col("_item"), F.col("_text"))
 
     def run(batches):
@@ -84,11 +99,13 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words, counts = word_hashes(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(pa.array(words.view(np.int64)), counts)], ["_row", "_item", "_iw"])
 
-    return own.mapInArrow(lean(run), f"_row bigint, _item {own.schema['_item'].dataType.simpleString()}, _iw array<bigint>").where(F.size("_iw") >= SHORT)
+    return own.mapInArrow(lean(run), f"_row bigint, _item {own.schema['_item'].dataType.simpleString()}, _iw array<bigint>").where(F.size("_iw") > 0)
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """``_h, _row, _ip``: hash, item row and place. Items shorter than the first mask use the last, others all but the last."""
+    """``_h, _row, _ip``: hash, item row and place, by the masks for the item's length."""
+    least = np.array([n for n, _ in FAMILIES])
+    uses = np.array([[m in family for m in MASKS] for _, family in FAMILIES])
 
     def run(batches):
         for batch in batches:
@@ -98,24 +115,25 @@ def item_seeds(items: DataFrame) -> DataFrame:
             starts, rows = np.cumsum(counts) - counts, batch.column(0).to_numpy()
             for mask in range(len(MASKS)):
                 at, h = seeds(words, owner, mask)
-                use = (counts[owner[at]] < len(MASKS[0])) == (mask == len(MASKS) - 1)
+                use = uses[np.searchsorted(least, counts[owner[at]], "right") - 1, mask]
                 at, h = at[use], h[use]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rows[owner[at]]), pa.array((at - starts[owner[at]]).astype(np.int32)), pa.array(np.full(len(at), mask, np.int32))], ["_h", "_row", "_ip", "_mask"])
 
     return items.select("_row", "_iw").mapInArrow(lean(run), "_h bigint, _row bigint, _ip int, _mask int")
 
 
-def seed_bitmap(found: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The bitmap over all item seeds, and the masks in use. At most 2**(BITMAP_BITS - 6) rows reach the driver."""
-    size = 1 << BITMAP_BITS
-    slot = F.explode(F.array(F.shiftrightunsigned("_h", 64 - BITMAP_BITS), F.shiftrightunsigned("_h", 8).bitwiseAND(F.lit(size - 1))))
+def seed_bitmap(found: DataFrame) -> tuple[np.ndarray, int, list[int]]:
+    """The bitmap over all item seeds, its size as a power of two, and the masks in use. At most 2**(MAX_BITS - 6) rows reach the driver."""
+    masks = {r["_mask"]: r["n"] for r in found.groupBy("_mask").agg(F.count("*").alias("n")).collect()}
+    bits = min(max(MIN_BITS, (PER_SEED * sum(masks.values())).bit_length()), MAX_BITS)
+    slot = F.explode(F.array(F.shiftrightunsigned("_h", 64 - bits), F.shiftrightunsigned("_h", 8).bitwiseAND(F.lit((1 << bits) - 1))))
     parts = found.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("v")).toArrow()
-    words = np.zeros(size >> 6, np.int64)
+    words = np.zeros(1 << bits >> 6, np.int64)
     words[parts["k"].to_numpy()] = parts["v"].to_numpy()
-    return words.view(np.uint8), sorted(r[0] for r in found.select("_mask").distinct().collect())
+    return words.view(np.uint8), bits, sorted(masks) or [0]
 
 
-def document_hits(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray, masks: list[int]) -> DataFrame:
+def document_hits(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray, size: int, masks: list[int]) -> DataFrame:
     """``_doc, _id, _w, _h, _p`` of the documents with a seed in the bitmap: word hashes, seed hashes and their places."""
     own = pick(docs, _id=id_col, _text=text_col).select(F.monotonically_increasing_id().alias("_doc"), "_id", "_text")
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -131,7 +149,7 @@ def document_hits(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarra
                 for mask in masks:
                     a, h = seeds(words, owner, mask)
                     for which in (0, 1):
-                        slot = _slots(h)[which]
+                        slot = _slots(h, size)[which]
                         on = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
                         a, h = a[on], h[on]
                     at.append(a)
@@ -156,14 +174,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """``id_col, item_col, item_words, matched_words, longest_run, coverage`` for every document and item it holds."""
     own = stored(item_words(items, item_col, item_text_col), "items")
     found = stored(item_seeds(own), "seeds")
-    bitmap, masks = seed_bitmap(found)
-    hits = stored(document_hits(docs, id_col, text_col, bitmap, masks or [0]), "hits")
+    hits = stored(document_hits(docs, id_col, text_col, *seed_bitmap(found)), "hits")
     each = hits.select("_doc", F.explode(F.arrays_zip("_h", "_p")).alias("x")).select("_doc", "x._h", "x._p")
     diagonals = each.join(found.select("_h", "_row", "_ip"), "_h").select("_doc", "_row", (F.col("_p") - F.col("_ip")).alias("_off")).distinct()
-    pairs = diagonals.join(hits.select("_doc", "_id", "_w"), "_doc").join(own, "_row")
     place = F.filter(F.sequence(F.lit(0), F.size("_iw") - 1), lambda p: F.get("_w", p + F.col("_off")) == F.get("_iw", p))
-    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_m"))))
-    matched = pairs.select("_doc", "_id", "_row", "_item", F.size("_iw").alias("_n"), place.alias("_m")).groupBy("_doc", "_row").agg(F.first("_id").alias("_id"), F.first("_item").alias("_item"), F.first("_n").alias("_n"), every.alias("_at"))
+    # Words meet last, and only places go on: a repeated phrase has many diagonals, but each place of the item counts once.
+    places = diagonals.join(own, "_row").join(hits.select("_doc", "_id", "_w"), "_doc").select("_doc", "_id", "_row", "_item", F.size("_iw").alias("_n"), F.explode(place).alias("_m"))
+    once = places.groupBy("_doc", "_row", "_m").agg(F.first("_id").alias("_id"), F.first("_item").alias("_item"), F.first("_n").alias("_n"))
+    matched = once.groupBy("_doc", "_row").agg(F.first("_id").alias("_id"), F.first("_item").alias("_item"), F.first("_n").alias("_n"), F.array_sort(F.collect_list("_m")).alias("_at"))
     run = F.aggregate(
         "_at", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best")),
         lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1).alias("now"), F.greatest(a["best"], F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1)).alias("best")),

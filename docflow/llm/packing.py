@@ -3,9 +3,10 @@
 1. Texts are tokenised and cut into pieces of at most ``capacity`` tokens.
 2. The plan is made from the histogram of piece lengths alone, whose size is
    fixed by the capacity: patterns of few lengths that fill a sequence are
-   enumerated over coarse bins, their repeat counts are fitted to the histogram by
-   non-negative least squares, rounded down, and filled with exact lengths (the
-   last place of each by best fit); what is left over goes, longest first, to the
+   enumerated over coarse bins (each as long as its pieces are on average), their repeat
+   counts are fitted to the histogram by non-negative least squares, rounded down, and
+   filled with exact lengths of the bins, the last two so that they fill the sequence to the
+   last token. What is left over, and all pieces of the smallest bin, go, longest first, to the
    fullest sequence that still has room.
 3. The plan names, for each length, which sequence and place the first, second,
    ... piece of that length takes. Pieces learn their rank among pieces of their
@@ -35,9 +36,9 @@ from docflow.llm.arrow import lean, slices
 from docflow.llm.storage import stored
 from docflow.llm.text import pick
 
-CAPACITY, END, SALTS = 4096, 1, 64
+CAPACITY, END, RANKED = 4096, 1, 1 << 17
 #: Coarse bins of the fit and the documents of a pattern at most.
-FIT_BINS, PATTERN_DOCS = 32, 4
+FIT_BINS, PATTERN_DOCS = 32, 8
 #: Bytes tokenised at a time, words kept by a worker, the longest that are encoded many at a time, and how many.
 CHUNK, KEPT_WORDS, KEPT_CHARS, JOINED = 1 << 22, 1 << 19, 64, 1000
 #: Lower-case letters that the tokenizer's rules keep together and leave as they are.
@@ -48,7 +49,8 @@ class WordTokens:
     """Token ids of texts, word by word.
 
     The tokenizer drops white space and its rules never look across it, so the ids
-    of a text are those of its words. Nor do its rules look across the border between
+    of a text are those of its words, unless it holds one of the tokenizer's special tokens:
+    such texts are encoded whole. Nor do its rules look across the border between
     a letter and a closing stop or comma, so that is taken off first. Distinct words
     are encoded once a batch, and a bounded number of them is kept between batches.
     """
@@ -57,7 +59,9 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.exact, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        # What comes here word by word is lower-cased and has no special token of its own.
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         #: Tokens that end a word, and the ids of a closing stop and comma.
@@ -108,7 +112,20 @@ class WordTokens:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and how many each has."""
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        texts, whole = pc.fill_null(texts, ""), np.zeros(len(texts), bool)
+        for token in self.special:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.of_words(texts)
+        flat, counts = self.of_words(pc.if_else(pa.array(whole), "", texts))
+        parts, begin = [], np.cumsum(counts) - counts
+        for k, n in enumerate(counts.tolist()):
+            parts.append(np.array(self.exact.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) if whole[k] else flat[begin[k] : begin[k] + n])
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def of_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``texts``, word by word."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = lists.flatten().dictionary_encode()
         closed = pc.match_substring_regex(coded.dictionary, f"{LETTER}[.,]$")
         comma = pc.ends_with(coded.dictionary, ",").to_numpy(zero_copy_only=False)
@@ -152,21 +169,19 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for lo, hi in slices(batch.column(1), CHUNK):
                 flat, counts = tokens.texts(batch.column(1).slice(lo, hi - lo))
-                ends = np.cumsum(counts)
-                row, piece, start, crc, ids = [], [], [], [], []
-                for k in range(hi - lo):
-                    all_ids = np.append(flat[ends[k] - counts[k] : ends[k]], np.uint32(END)).astype("<u4")
-                    for p, s in enumerate(range(0, len(all_ids), capacity)):
-                        part = all_ids[s : s + capacity]
-                        row.append(lo + k)
-                        piece.append(p)
-                        start.append(s)
-                        crc.append((len(part), zlib.crc32(part)))
-                        if with_ids:
-                            ids.append(pa.array(part, pa.uint32()).cast(pa.int32()))
-                columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([x for x, _ in crc], pa.int64()), pa.array([x for _, x in crc], pa.int64())]
+                # The end token follows each text.
+                flat, counts = np.insert(flat, np.cumsum(counts), np.uint32(END)).astype("<u4"), counts + 1
+                cuts = -(-counts // capacity)
+                row = np.repeat(np.arange(lo, hi), cuts)
+                piece = _ranges(np.zeros(hi - lo, np.int64), cuts)
+                start = piece.astype(np.int64) * capacity
+                length = np.minimum(np.repeat(counts, cuts) - start, capacity)
+                edges = np.append(0, np.cumsum(length))
+                bytes_ = memoryview(flat).cast("B")
+                crc = np.fromiter((zlib.crc32(bytes_[4 * x : 4 * y]) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)), np.int64, len(length))
+                columns = [batch.column(0).take(pa.array(row)), *(pa.array(x) for x in (piece.astype(np.int32), start, length, crc))]
                 if with_ids:
-                    columns.append(pa.array([x.to_pylist() for x in ids], pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     kind = own.schema["_id"].dataType.simpleString()
@@ -201,85 +216,96 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
-def patterns(bins: int, docs: int) -> list[tuple[int, ...]]:
-    """Multisets of 2 to ``docs`` bin sizes that fill ``bins`` units exactly, largest first."""
+def patterns(sizes: list[float], capacity: int, docs: int, slack: float) -> list[tuple[int, ...]]:
+    """Multisets of 2 to ``docs`` places in ``sizes`` (which falls) whose sum fills ``capacity`` up to ``slack``."""
     out: list[tuple[int, ...]] = []
-
-    def add(done: tuple[int, ...], room: int) -> None:
-        if room == 0:
+    work: list[tuple[tuple[int, ...], float]] = [((), float(capacity))]
+    while work:
+        done, room = work.pop()
+        if room <= slack and len(done) > 1:
             out.append(done)
-        elif len(done) < docs:
-            for size in range(min(room, done[-1] if done else bins - 1), 0, -1):
-                add((*done, size), room - size)
-
-    add((), bins)
-    return out
-
-
-class Lengths:
-    """A histogram of lengths that answers which available length is the largest up to a limit."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.int64).copy()
-        # Next available length at or below each, with path halving.
-        self.down = np.arange(len(counts))
-        self.down[self.counts == 0] -= 1
-
-    def at_most(self, limit: int) -> int:
-        down, k = self.down, min(limit, len(self.down) - 1)
-        while k > 0 and down[k] != k:
-            down[k] = down[down[k]] if down[k] > 0 else 0
-            k = down[k]
-        return int(max(k, 0))
-
-    def take(self, length: int, n: int) -> None:
-        self.counts[length] -= n
-        if not self.counts[length]:
-            self.down[length] = length - 1
+        if len(done) < docs:
+            work += [((*done, k), room - sizes[k]) for k in range(done[-1] if done else 0, len(sizes)) if sizes[k] <= room]
+    return sorted(out)
+
+
+class Bins:
+    """The pieces of each length that are left, by bins of neighbouring lengths."""
+
+    def __init__(self, counts: np.ndarray, capacity: int, bins: int):
+        self.capacity, self.left = capacity, counts[:capacity].astype(np.int64).copy()
+        edges = np.linspace(0, capacity, min(bins, capacity) + 1).astype(int)
+        #: First and last length and mean length of the bins in use, longest first; the smallest bin is not fitted.
+        self.low, self.high, self.size, self.count = [], [], [], []
+        for low, high in list(zip(edges[:-1] + 1, np.minimum(edges[1:], capacity - 1), strict=True))[:0:-1]:
+            if n := int(self.left[low : high + 1].sum()):
+                self.low.append(int(low))
+                self.high.append(int(high))
+                self.size.append(float(self.left[low : high + 1] @ np.arange(low, high + 1)) / n)
+                self.count.append(n)
+
+    def lengths(self, k: int, room: int, taken: list[int]) -> np.ndarray:
+        """Lengths of a bin up to ``room`` that still have a piece besides those taken."""
+        left = self.left[self.low[k] : min(self.high[k], room) + 1].copy()
+        for x in taken:
+            if 0 <= x - self.low[k] < len(left):
+                left[x - self.low[k]] -= 1
+        return self.low[k] + np.flatnonzero(left > 0)
+
+    def filled(self, pattern: tuple[int, ...]) -> list[int] | None:
+        """Lengths for the places of a pattern that fill the capacity exactly, or None."""
+        taken: list[int] = []
+        due = 0.0
+        for k in pattern[:-2]:
+            due += self.size[k]
+            found = self.lengths(k, self.capacity - sum(taken), taken)
+            if not len(found):
+                return None
+            taken.append(int(found[np.argmin(np.abs(found - (due - sum(taken))))]))
+        room = self.capacity - sum(taken)
+        for x in self.lengths(pattern[-2], room, taken).tolist():
+            if room - x in range(self.low[pattern[-1]], self.high[pattern[-1]] + 1) and self.left[room - x] > (taken + [x]).count(room - x):
+                return [*taken, x, room - x]
+        return None
 
 
 def plan(counts: np.ndarray, capacity: int, bins: int = FIT_BINS, docs: int = PATTERN_DOCS) -> list[tuple[int, tuple[int, ...]]]:
     """``(repeats, lengths)`` of the sequences that hold ``counts[length]`` pieces of each length."""
-    out: list[tuple[int, tuple[int, ...]]] = []
-    if counts[capacity]:
-        out.append((int(counts[capacity]), (capacity,)))
-    have = Lengths(np.append(counts[:capacity], 0))
-    unit = capacity / bins
-    fits = patterns(bins, docs)
-    a = np.zeros((bins, len(fits)))
+    full = [(int(counts[capacity]), (capacity,))] if counts[capacity] else []
+    have = Bins(counts, capacity, bins)
+    return full + best_fit(fitted(have, docs, capacity / (2 * bins)), have.left, capacity)
+
+
+def fitted(have: Bins, docs: int, slack: float) -> dict[tuple[int, ...], int]:
+    """Repeats of the sequences that patterns fill; takes their pieces out of ``have``."""
+    out: dict[tuple[int, ...], int] = {}
+    fits = patterns(have.size, have.capacity, docs, slack)
+    if not fits:
+        return out
+    a = np.zeros((len(have.size), len(fits)))
     for k, p in enumerate(fits):
-        for size in p:
-            a[size - 1, k] += 1
-    b = np.bincount(np.minimum(np.ceil(np.arange(1, capacity) / unit).astype(int), bins) - 1, weights=have.counts[1:capacity], minlength=bins)
-    wanted = np.floor(nnls(a, b) + 1e-9).astype(np.int64)
-    open_: dict[tuple[int, ...], int] = {}
-    for k in np.argsort(-wanted, kind="stable"):
-        left, p = int(wanted[k]), fits[k]
-        while left > 0:
-            room, lengths = capacity, []
-            for n, size in enumerate(p):
-                # Each place takes a length of its bin, the last the one that fits best.
-                limit = room if n == len(p) - 1 else min(room, int(size * unit))
-                length = have.at_most(limit)
-                if length <= (0 if n == len(p) - 1 else int((size - 1) * unit)) or have.counts[length] <= lengths.count(length):
-                    break
-                lengths.append(length)
-                room -= length
-            if len(lengths) < len(p):
-                break
-            n = min(left, *(int(have.counts[x]) // lengths.count(x) for x in set(lengths)))
+        np.add.at(a[:, k], list(p), 1)
+    wanted = np.floor(nnls(a, np.array(have.count, float)) + 1e-9).astype(np.int64)
+    for k in np.argsort(-wanted, kind="stable").tolist():
+        left = int(wanted[k])
+        while left > 0 and (lengths := have.filled(fits[k])):
+            n = min(left, *(int(have.left[x]) // lengths.count(x) for x in set(lengths)))
             for x in lengths:
-                have.take(x, n)
-            open_[key] = open_.get(key := tuple(lengths), 0) + n
+                have.left[x] -= n
+            out[key] = out.get(key := tuple(lengths), 0) + n
             left -= n
-    # Best fit, longest first; sequences with equal contents move together.
+    return out
+
+
+def best_fit(open_: dict[tuple[int, ...], int], rest: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Pieces that are left, longest first, into the fullest sequence with room; sequences with equal contents move together."""
     rooms: dict[int, list[list]] = {}
     space = np.zeros(capacity + 1, np.int64)
     for lengths, n in open_.items():
         rooms.setdefault(capacity - sum(lengths), []).append([n, lengths])
         space[capacity - sum(lengths)] += n
-    for length in np.flatnonzero(have.counts)[::-1].tolist():
-        left = int(have.counts[length])
+    for length in np.flatnonzero(rest)[::-1].tolist():
+        left = int(rest[length])
         while left > 0:
             fit = np.flatnonzero(space[length:capacity])
             if not len(fit):
@@ -300,7 +326,7 @@ def plan(counts: np.ndarray, capacity: int, bins: int = FIT_BINS, docs: int = PA
             space[room] -= n
             space[room - length] += n
             left -= n
-    return out + [(n, lengths) for groups in rooms.values() for n, lengths in groups]
+    return [(n, lengths) for groups in rooms.values() for n, lengths in groups]
 
 
 def slots(made: list[tuple[int, tuple[int, ...]]], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -322,19 +348,27 @@ def slots(made: list[tuple[int, tuple[int, ...]]], capacity: int) -> tuple[np.nd
 
 def packed(cut: DataFrame, capacity: int = CAPACITY, bins: int = FIT_BINS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to stored pieces."""
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    found = cut.groupBy("length").agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(capacity + 1, np.int64)
+    counts[found["length"].to_numpy()] = found["n"].to_numpy()
+    salts = counts // RANKED + 1
+    first = np.cumsum(salts) - salts
+    of_length = F.get(F.array(*map(F.lit, salts.tolist())), F.col("length").cast("int"))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), of_length).cast("int"))
     found = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).toArrow()
-    counts = np.zeros((capacity + 1, SALTS), np.int64)
-    counts[found["length"].to_numpy(), found["_salt"].to_numpy()] = found["n"].to_numpy()
-    made = plan(counts.sum(axis=1), capacity, bins)
-    sent = cut.sparkSession.sparkContext.broadcast((np.cumsum(counts, axis=1) - counts, slots(made, capacity)))
+    cells = np.zeros(int(salts.sum()), np.int64)
+    cells[first[found["length"].to_numpy()] + found["_salt"].to_numpy()] = found["n"].to_numpy()
+    # Pieces of a length before those of each salt.
+    before = np.cumsum(cells) - cells
+    before -= np.repeat(before[first], salts)
+    sent = cut.sparkSession.sparkContext.broadcast((first, before, slots(plan(counts, capacity, bins), capacity)))
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_id", "piece")) - 1)
 
     def run(batches):
-        before, (begin, ranks, sequence, offset) = sent.value
+        first, before, (begin, ranks, sequence, offset) = sent.value
         for batch in batches:
             length, salt, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_salt", "_rank"))
-            rank = rank + before[length, salt]
+            rank = rank + before[first[length] + salt]
             at = np.empty(len(rank), np.int64)
             for x in np.unique(length).tolist():
                 own = length == x

@@ -12,7 +12,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def plain(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
 
 
@@ -45,7 +44,7 @@ def test_query_equals_plain_tokenizer(spark):
 
 
 def test_odd_texts(spark):
-    texts = [None, "", "  \n", "It's we'll 'RE don't <|endoftext|> <|startoftext|>x", "É É ß İ Σς ǅ  nbsp em\x85nel\x1fus", "word. ., ..word ###. 1234 ４５ ½", "x" * 30000, "long text here " * 9000, "漢字かな " * 3000, "\U0001f600‍\U0001f600 á̧ b"]
+    texts = [None, "", "  \n", "It's we'll 'RE don't <|endoftext|> <|startoftext|>x", "É É ß İ Σς ǅ  nbsp em\x85nel\x1fus", "word. ., ..word ###. 1234 ４５ ½", "<|STARTOFTEXT|> <|endoftext|", "a<|startoftext|>b", "x" * 30000, "long text here " * 9000, "漢字かな " * 3000, "\U0001f600‍\U0001f600 á̧ b"]
     rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (None, "no id")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, length string")
     check(rows, P.pack(df, PATH).collect())
@@ -59,6 +58,23 @@ def test_equal_lengths_and_hot_length(spark):
     check(rows, P.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH).collect(), slack=2)
 
 
+def test_many_salts(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANKED", 7)
+    rows = [(k, "the " * (k % 3)) for k in range(400)] + [(1000 + k, "the " * (k % 90)) for k in range(200)]
+    check(rows, P.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH).collect(), slack=2)
+
+
+def test_patterns_place_most_pieces():
+    rng = np.random.default_rng(7)
+    for n in (10000, 300000):
+        counts = np.bincount(np.clip(rng.lognormal(6.3, 1, n), 1, 4096).astype(int), minlength=4097)
+        have = P.Bins(counts, 4096, P.FIT_BINS)
+        made = P.fitted(have, P.PATTERN_DOCS, 64)
+        assert all(sum(lengths) == 4096 for lengths in made)
+        assert sum(len(lengths) * k for lengths, k in made.items()) > 0.5 * n
+        assert have.left.sum() == n - counts[4096] - sum(len(lengths) * k for lengths, k in made.items())
+
+
 def test_plan_is_whole_and_close_to_the_bound():
     rng = np.random.default_rng(1)
     for n in (0, 1, 40, 5000, 200000):

@@ -1,20 +1,24 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network in numpy.
 
-Word vectors: every byte trigram of a word (with its borders) has a fixed sparse
-random index vector; a word's vector is the sum of its trigrams', so unseen words
-have one too. A document's pooled vector is the mean over its words. Index vectors
-of whole words, of three-word phrases and of lines are summed as well; only the
-length of those sums is kept, which tells how often a document repeats itself (n
+Word vectors: every word has a fixed sparse random index vector. Its context vector is
+the sum of the index vectors of the words up to ``WINDOW`` places before and after
+it, over all documents; less what words have in common (the mean over all places) and at length one it is the
+word's vector. Words share ``SLOTS`` slots by hash, so the table has a fixed size however large
+the vocabulary. A document's pooled vector is the mean over its words.
+
+The index vectors of the document's own words, of its three-word phrases and of its lines are summed as well;
+only the length of those sums is kept, which tells how often a document repeats itself (n
 different phrases give a sum of squared length n, repeated ones a longer one).
-The share of neighbouring words with equal vectors and the number of words join them.
+The share of neighbouring words that are equal and the number of words join them. ``extra=False`` leaves these five out.
 
 Network: standardised inputs, one hidden layer, one output, fitted with Adam; the
 logits are divided by a temperature fitted on labelled rows that the fit has not
 seen, so scores are calibrated probabilities.
 
-Scale: one pass over the texts writes one short vector a document; the fit reads a
+Scale: a first pass sums context vectors in every task and sends one row for each slot in use on, of whole numbers, so
+sums don't depend on the order; a second pass writes one short vector a document. The fit reads a
 bounded sample of labelled rows (``max_rows``), everything else covers all rows.
-Only the sample and the weights pass through the driver.
+Only the table (``SLOTS`` rows), the sample and the weights pass through the driver.
 
 Defined results: null and blank texts have a vector of zeros and are scored like
 any other; rows that repeat are scored each; a null id is never held out and has no
@@ -30,17 +34,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from docflow.llm.arrow import lean, slices
 from docflow.llm.storage import stored
 from docflow.llm.text import pick
 
-#: Size of word vectors, non-zero places of an index vector, size of the sums for repetition, and their number.
-SIZE, PLACES, SKETCH, EXTRA = 128, 4, 512, 5
-#: Bytes of text at a time, distinct words, and words whose vectors are pooled at a time.
-CHUNK, WORDS, POOLED = 1 << 21, 1 << 13, 1 << 15
-TRIGRAMS = 1 << 16
+#: Size of word vectors, non-zero places of an index vector, slots of words, neighbours on each side, size of the sums for repetition, and their number.
+SIZE, PLACES, SLOTS, WINDOW, SKETCH, EXTRA = 128, 2, 1 << 15, 2, 512, 5
+#: Bytes of text at a time, words whose vectors are pooled at a time, and rows of a batch of sums.
+CHUNK, POOLED, ROWS = 1 << 21, 1 << 15, 1 << 10
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,9 +54,9 @@ _WEIGHT = np.concatenate((np.full(SIZE, 0.5), np.full(EXTRA, 2.0)))
 
 
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the index vectors of the hashed trigrams."""
+    """Places and signs of the slots' index vectors."""
     rng = np.random.default_rng(17)
-    return rng.integers(0, SIZE, (TRIGRAMS, PLACES)).astype(np.int64), rng.choice(np.array([-1.0, 1.0]), (TRIGRAMS, PLACES))
+    return rng.integers(0, SIZE, (SLOTS, PLACES)), rng.choice(np.array([-1, 1], np.int32), (SLOTS, PLACES))
 
 
 _PLACE, _SIGN = _index_vectors()
@@ -63,32 +67,72 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_vectors(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors (of length one) and hashes of distinct words, a bounded number of words at a time."""
-    parts = [_some_word_vectors(words.slice(k, WORDS)) for k in range(0, len(words), WORDS)]
-    if not parts:
-        return np.zeros((0, SIZE), np.float32), np.zeros(0, np.uint64)
-    return np.concatenate([v for v, _ in parts]), np.concatenate([h for _, h in parts])
-
-
-def _some_word_vectors(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    n = len(words)
-    joined = np.frombuffer(("\n" + "\n".join(words.to_pylist()) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
-    border = joined == 10
-    owner = np.cumsum(border) - 1
-    b = joined.astype(np.uint64)
-    trigram = _mixed((b[:-2] << np.uint64(16)) | (b[1:-1] << np.uint64(8)) | b[2:])
-    # A trigram belongs to the word of its middle byte; borders stand in for a blank.
-    middle = ~border[1:-1]
-    slot, word = (trigram[middle] >> np.uint64(48)).astype(np.int64), owner[1:-1][middle]
-    out = np.bincount((word[:, None] * SIZE + _PLACE[slot]).ravel(), weights=_SIGN[slot].ravel(), minlength=n * SIZE).astype(np.float32).reshape(n, SIZE)
-    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), np.float32(1e-9))
-    place = np.arange(len(word)) - np.searchsorted(word, word)
-    with np.errstate(over="ignore"):
-        terms = _mixed(b[1:-1][middle] + np.uint64(257) * place.astype(np.uint64))
-        # The closing zero is there for words without a byte, which no text uses.
-        hashes = _mixed(np.add.reduceat(np.append(terms, np.uint64(0)), np.searchsorted(word, np.arange(n))))
-    return out, hashes
+def _hashes(strings: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x) for x in strings.to_pylist()], np.uint64)
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(SLOTS)).astype(np.int64)
+
+
+def add_contexts(sums: np.ndarray, counts: np.ndarray, texts: pa.Array) -> None:
+    """Add the index vectors around every word of the texts to the sums of the word's slot."""
+    owner, codes, words = _split(pc.fill_null(texts, ""), False)
+    if not len(codes):
+        return
+    slot = _slots(_hashes(words))[codes]
+    counts += np.bincount(slot, minlength=SLOTS)
+    flat = sums.reshape(-1)
+    for away in range(1, WINDOW + 1):
+        at = np.flatnonzero(owner[:-away] == owner[away:])
+        for word, near in ((slot[at], slot[at + away]), (slot[at + away], slot[at])):
+            for k in range(PLACES):
+                np.add.at(flat, word * SIZE + _PLACE[near, k], _SIGN[near, k])
+
+
+def context_sums(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Sums of context vectors by slot over all documents, and how many words stand in each slot."""
+
+    def rows(sums: np.ndarray, counts: np.ndarray):
+        used = np.flatnonzero(counts)
+        for k in range(0, len(used), ROWS):
+            at = used[k : k + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at]), pa.array([x.tobytes() for x in sums[at]], pa.binary())], ["slot", "n", "sums"])
+
+    def summed(batches):
+        sums, counts = np.zeros((SLOTS, SIZE), np.int32), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for lo, hi in slices(batch.column(0), CHUNK):
+                add_contexts(sums, counts, batch.column(0).slice(lo, hi - lo))
+        yield from rows(sums, counts)
+
+    def merged(batches):
+        total, counts = {}, {}
+        for batch in batches:
+            for slot, n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                total[slot] = total.get(slot, 0) + np.frombuffer(value, np.int32).astype(np.int64)
+                counts[slot] = counts.get(slot, 0) + n
+        at = sorted(total)
+        for k in range(0, len(at), ROWS):
+            part = at[k : k + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([counts[x] for x in part], pa.int64()), pa.array([total[x].tobytes() for x in part], pa.binary())], ["slot", "n", "sums"])
+
+    schema = "slot int, n bigint, sums binary"
+    parts = pick(docs, _text=text_col).mapInArrow(lean(summed), schema)
+    found = parts.repartition("slot").mapInArrow(lean(merged), schema).toArrow()
+    sums, counts = np.zeros((SLOTS, SIZE), np.float64), np.zeros(SLOTS, np.int64)
+    slot = found["slot"].to_numpy()
+    counts[slot] = found["n"].to_numpy()
+    if len(slot):
+        sums[slot] = np.frombuffer(b"".join(found["sums"].to_pylist()), np.int64).reshape(-1, SIZE)
+    return sums, counts
+
+
+def word_table(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A vector of length one for every slot in use: its mean context, less the mean over all places."""
+    mean = sums / np.maximum(counts, 1)[:, None] - sums.sum(axis=0) / max(int(counts.sum()), 1)
+    mean[counts == 0] = 0
+    return (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def _repeats(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
@@ -107,25 +151,26 @@ def _split(texts: pa.Array, lines: bool) -> tuple[np.ndarray, np.ndarray, pa.Arr
     return owner[kept], codes[kept], coded.dictionary
 
 
-def features(texts: pa.Array) -> np.ndarray:
+def features(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     """Pooled vectors of a batch of texts, ``SIZE + EXTRA`` numbers each."""
     texts, n = pc.fill_null(texts, ""), len(texts)
     owner, codes, words = _split(texts, False)
-    vectors, hashes = word_vectors(words)
+    hashes = _hashes(words)
+    vectors = table[_slots(hashes)]
     out = np.zeros((n, SIZE + EXTRA), np.float32)
     count = np.bincount(owner, minlength=n)
-    for k in range(0, len(codes), POOLED):
-        at, own = codes[k : k + POOLED], owner[k : k + POOLED]
-        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        out[own[first], :SIZE] += np.add.reduceat(vectors[at], first, axis=0)
-    out[:, :SIZE] /= np.maximum(count, 1)[:, None]
+    pooled, begin = np.zeros((n, SIZE)), np.cumsum(count) - count
+    for k in np.flatnonzero(count).tolist():
+        # Text by text, in blocks from its own start, so the sum depends on nothing else in the batch.
+        for at in range(begin[k], begin[k] + count[k], POOLED):
+            pooled[k] += vectors[codes[at : min(at + POOLED, begin[k] + count[k])]].sum(axis=0, dtype=np.float64)
+    out[:, :SIZE] = pooled / np.maximum(count, 1)[:, None]
     h = hashes[codes] if len(codes) else np.zeros(0, np.uint64)
     whole = np.flatnonzero(owner[:-2] == owner[2:]) if len(owner) > 2 else np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         phrases = h[whole] * np.uint64(3) + h[whole + 1] * np.uint64(0x100000001B3) + h[whole + 2] * MIX if len(whole) else np.zeros(0, np.uint64)
     line_owner, line_codes, lines = _split(texts, True)
-    # Equal lines share their place in the batch's dictionary.
-    line_hashes = _mixed(np.arange(1, len(lines) + 1).astype(np.uint64))
+    line_hashes = _hashes(lines)
     for k, (own, items) in enumerate(((owner, h), (owner[whole], phrases), (line_owner, line_hashes[line_codes] if len(line_codes) else np.zeros(0, np.uint64)))):
         out[:, SIZE + k] = np.log1p(_repeats(own, items, n))
     out[:, SIZE + 3] = np.log1p(count)
@@ -134,14 +179,15 @@ def features(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def document_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_vectors(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, x`` of every row."""
     own = pick(docs, _id=id_col, _text=text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         for batch in batches:
             for lo, hi in slices(batch.column(1), CHUNK):
-                x = features(batch.column(1).slice(lo, hi - lo))
+                x = features(batch.column(1).slice(lo, hi - lo), sent.value)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), SIZE + EXTRA).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), flat], ["_id", "x"])
 
@@ -216,13 +262,15 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, rate:
     return net
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5, max_rows: int = 20000) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5, max_rows: int = 20000, extra: bool = True) -> DataFrame:
     """``id_col, held_out, score, predicted`` of every row.
 
     Rows whose crc32 of the id as text is 0 modulo ``folds`` are held out; the fit
     reads about ``max_rows`` of the other labelled rows at most, chosen by hash.
     """
-    vectors = stored(document_vectors(docs, id_col, text_col), "vectors")
+    vectors = stored(document_vectors(docs, word_table(*context_sums(docs, text_col)), id_col, text_col), "vectors")
+    if not extra:
+        vectors = vectors.withColumn("x", F.transform("x", lambda v, k: F.when(k < SIZE, v).otherwise(F.lit(0.0).cast("float"))))
     held_out = F.coalesce(F.crc32(F.col("_id").cast("string")) % folds == 0, F.lit(False))
     known = pick(labels, _id=id_col, _y=label_col).where("_id is not null and _y is not null").groupBy("_id").agg(F.max("_y").cast("double").alias("_y"))
     usable = known.where(~held_out)
@@ -233,7 +281,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     x = np.array(sample["x"].combine_chunks().flatten(), np.float64).reshape(-1, SIZE + EXTRA) if len(sample) else np.zeros((0, SIZE + EXTRA))
     y = sample["_y"].to_numpy()
     # Rows arrive in any order; the fit must not depend on it.
-    order = np.lexsort((x[:, 0], np.array(sample["_id"].to_pylist()))) if len(sample) else np.zeros(0, int)
+    order = np.lexsort((*x.T, np.array(sample["_id"].to_pylist()))) if len(sample) else np.zeros(0, int)
     sent = docs.sparkSession.sparkContext.broadcast(fit(x[order], y[order]))
 
     def run(batches):

@@ -5,12 +5,20 @@ long tokens of letters and digits get an inferred encoding (hexadecimal, base32,
 base36, base62, base64); under it three tests ask whether the token looks
 random: chi-squared uniformity over the alphabet (with the exact mean and variance
 for the token's length), runs above and below the middle of the alphabet, and lag-1
-serial correlation. Fisher's method combines them into one p-value. A token is a
-finding if randomness is *not* rejected. Ordinary identifiers must not slip through
-in great numbers, so the rejections follow Benjamini and Hochberg within each
-class of lengths (a class has its own share of ordinary tokens and its own
-power), and tokens too short for the tests to tell anything apart
-(``MIN_LENGTH``, by alphabet) are never findings.
+serial correlation. Fisher's method combines them into one p-value, which is uniform for
+random tokens and small for ordinary ones. A token is a finding if its p-value is above a
+limit, and there are two for each class of lengths (a class has its own share of ordinary
+tokens and its own power), of which the stricter holds:
+
+* Dismissals follow Benjamini and Hochberg: of the tokens taken for ordinary at most a share
+  ``q`` should be random.
+* Findings are held to the same share the other way round: the number of random tokens is estimated from
+  those with a p-value above ``LAMBDA`` (plus two standard deviations and one), and where findings exceed what so many
+  random tokens would give by more than a share ``q``, the rest are ordinary tokens and the limit rises.
+
+What is looked at is set by ``TOKEN`` and ``MIN_LENGTH``: tokens of 20 characters or more with a letter and a
+digit, and those long enough for the tests to tell anything apart. Shorter tokens are never
+findings of the tests; the README gives the power by length.
 
 Places come from the gaps that the pattern leaves (``split``) and the matches
 (``regexp_extract_all``), summed in order, which is linear in the matches.
@@ -27,6 +35,8 @@ listed again.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docflow.llm.storage import stored
@@ -47,6 +57,8 @@ ALPHABETS = {"base16": DIGITS + "abcdef", "base32": UPPER + "234567", "base36":
 MIN_LENGTH = {"base16": 24, "base32": 24, "base36": 22, "base62": 20, "base64": 24}
 #: Bins of -ln(p), and how many to a unit. P-values below the last bin's count as its own.
 BINS, PER_UNIT = 512, 16
+#: Bins above LAMBDA = exp(-SURE / PER_UNIT), about 0.47, count as random tokens only.
+SURE = 12
 
 
 def _found(text: Column, pattern: str, kind: int, first: Column) -> Column:
@@ -130,11 +142,16 @@ def tested(rows: DataFrame) -> DataFrame:
 
 
 def limits(rows: DataFrame, q: float) -> DataFrame:
-    """``cls, limit``: the smallest p-value bin that Benjamini and Hochberg's procedure rejects in each length class."""
+    """``cls, limit``: the p-value bin of each length class from which on tokens are ordinary, by both controls."""
     counts = rows.where("bin is not null").groupBy("cls", "bin").agg(F.count("*").alias("n"))
-    all_of, below = Window.partitionBy("cls"), Window.partitionBy("cls").orderBy(F.desc("bin"))
-    ranked = counts.select("cls", "bin", F.sum("n").over(below).alias("rank"), F.sum("n").over(all_of).alias("m"))
-    return ranked.where(F.exp(-F.col("bin") / PER_UNIT) <= q * F.col("rank") / F.col("m")).groupBy("cls").agg(F.min("bin").alias("limit"))
+    all_of, below, above = Window.partitionBy("cls"), Window.partitionBy("cls").orderBy(F.desc("bin")), Window.partitionBy("cls").orderBy("bin")
+    sure = F.sum(F.when(F.col("bin") < SURE, F.col("n")).otherwise(0)).over(all_of)
+    ranked = counts.select("cls", "bin", F.sum("n").over(below).alias("rank"), F.sum("n").over(all_of).alias("m"), F.sum("n").over(above).alias("found"), sure.alias("sure"))
+    dismissed = F.exp(-F.col("bin") / PER_UNIT) <= q * F.col("rank") / F.col("m")
+    random = (F.col("sure") + 2 * F.sqrt("sure") + 1) / F.lit(1 - math.exp(-SURE / PER_UNIT)) * (1 - F.exp(-(F.col("bin") + 1) / PER_UNIT))
+    kept = F.col("found") - random <= q * F.col("found")
+    of_class = ranked.groupBy("cls").agg(F.min(F.when(dismissed, F.col("bin"))).alias("_d"), F.max(F.when(kept, F.col("bin") + 1)).alias("_f"))
+    return of_class.select("cls", F.least(F.coalesce("_d", F.lit(BINS)), F.coalesce("_f", F.lit(SURE))).alias("limit"))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = 0.05) -> DataFrame:

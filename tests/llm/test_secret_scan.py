@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -82,3 +83,65 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     out = S.secret_spans(df).join(df, S.F.col("_id") == df.doc_id).select(S.redact(S.F.col("text"), S.F.col("spans")).alias("t")).first().t
     assert out == "a [SECRET]\" z [SECRET] é."
+
+
+def plain_p(token):
+    """Encoding and combined p-value of a token, symbol by symbol."""
+    bare = token.rstrip("=")
+    kinds = [("[0-9a-f]+|[0-9A-F]+", "base16"), ("[A-Z2-7]+", "base32"), ("[a-z0-9]+|[A-Z0-9]+", "base36"), ("[A-Za-z0-9]+", "base62"), (".*", "base64")]
+    enc = next(name for pattern, name in kinds if re.fullmatch(pattern, bare))
+    t = bare.lower() if enc in ("base16", "base36") else bare.replace("-", "+").replace("_", "/")
+    if len(t) < S.MIN_LENGTH[enc]:
+        return None
+    place = [S.ALPHABETS[enc].index(c) for c in t]
+    k, n = len(S.ALPHABETS[enc]), len(t)
+    tail = lambda z: 1 / (1 + math.exp(1.5976 * (z := min(max(z, -6), 6)) + 0.070565 * z**3))
+    chi = (sum(place.count(s) ** 2 for s in range(k)) * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    half = [p >= k // 2 for p in place]
+    mean = 2 * sum(half) * (n - sum(half)) / n + 1
+    runs = (1 + sum(a != b for a, b in zip(half, half[1:], strict=False)) - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 0.25))
+    x = [p - (k - 1) / 2 for p in place]
+    serial = sum(a * b for a, b in zip(x, x[1:], strict=False)) / max(sum(a * a for a in x), 1e-9) * math.sqrt(n)
+    h = -sum(math.log(p) for p in (tail(chi), *(min(1, 2 * tail(abs(z))) for z in (runs, serial))))
+    return int(math.log2(n)), min(int(-math.log(max(math.exp(-h) * (1 + h + h * h / 2), 1e-14)) * S.PER_UNIT), S.BINS - 1)
+
+
+def plain_limits(found, q=0.05):
+    out = {}
+    for cls in {c for c, _ in found}:
+        bins = [b for c, b in found if c == cls]
+        dismissed = [b for b in set(bins) if math.exp(-b / S.PER_UNIT) <= q * sum(x >= b for x in bins) / len(bins)]
+        sure = sum(b < S.SURE for b in bins)
+        most = (sure + 2 * math.sqrt(sure) + 1) / (1 - math.exp(-S.SURE / S.PER_UNIT))
+        kept = [b + 1 for b in set(bins) if (f := sum(x <= b for x in bins)) - most * (1 - math.exp(-(b + 1) / S.PER_UNIT)) <= q * f]
+        out[cls] = min(min(dismissed, default=S.BINS), max(kept, default=S.SURE))
+    return out
+
+
+def test_random_spans_equal_plain_version(spark):
+    rng = random.Random(12)
+    shapes = [string.hexdigits[:16].upper(), string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase, string.digits + string.ascii_letters, string.digits + string.ascii_letters + "-_"]
+    tokens = ["1A" + "".join(rng.choice(rng.choice(shapes)) for _ in range(1)) + "".join(rng.choice(s) for _ in range(rng.randrange(18, 70))) for s in shapes for _ in range(40)]
+    tokens += [f"chapter{k}about{rng.choice(['rivers', 'mountains', 'gardens'])}{k * k}andotherthings" for k in range(80)]
+    tokens = [t for t in tokens if not base(t)[2] and re.fullmatch(S.TOKEN, t)]
+    place = {k: plain_p(t) for k, t in enumerate(tokens)}
+    limit = plain_limits([p for p in place.values() if p])
+    got = {r.doc_id: r.n_random for r in S.secret_scan(spark.createDataFrame([(k, f"see {t} here") for k, t in enumerate(tokens)], "doc_id bigint, text string")).collect()}
+    assert {k for k, n in got.items() if n} == {k for k, p in place.items() if p and p[1] < limit[p[0]]}
+
+
+def test_both_controls_hold(spark):
+    """Random tokens have uniform p-values; ordinary ones here small, but not so small that they fall out by themselves."""
+    rng = random.Random(3)
+    rows = []
+    for cls, (randoms, ordinary) in enumerate([(4000, 0), (4000, 4000), (300, 30000), (0, 5000), (1, 0)]):
+        ps = [(rng.random(), 1) for _ in range(randoms)] + [(rng.random() * 0.25, 0) for _ in range(ordinary)]
+        rows += [(cls, min(int(-math.log(max(p, 1e-14)) * S.PER_UNIT), S.BINS - 1), r) for p, r in ps]
+    df = spark.createDataFrame(rows, "cls int, bin int, random int")
+    limit = {r.cls: r.limit for r in S.limits(df, 0.05).collect()}
+    assert limit == {c: n for c, n in plain_limits([(c, b) for c, b, _ in rows]).items()}
+    for cls in range(5):
+        found = [r for c, b, r in rows if c == cls and b < limit[c]]
+        # A share q, and what the estimate of the random tokens may be above their number.
+        assert found.count(0) <= 0.05 * len(found) + 5 * math.sqrt(len(found)) + 3
+    assert sum(r for c, b, r in rows if c == 0 and b < limit[c]) >= 3800 and limit[4] > 0

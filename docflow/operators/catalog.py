@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Patterns and lists that decide what is accepted.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+USERNAME = r"^[a-zA-Z0-9_]{3,30}\z"
 PASSWORD = r"^(?=.*[a-z])(?=.*[A-Z])(?=.*\d)(?=.*[@$!%*?&])[A-Za-z\d@$!%*?&]{8,}$"
 MIME_TYPES = ("application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "text/plain")
 ROLES = ("user", "assistant")
@@ -41,7 +42,7 @@ def valid_email(email: Column) -> Column:
 
 
 def valid_username(name: Column) -> Column:
-    return F.length(name).between(3, 50)
+    return name.rlike(USERNAME)
 
 
 def valid_password(password: Column) -> Column:

@@ -6,6 +6,7 @@ in Arrow batches, where those over the single-chunk limit are split further.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ from docflow.operators.rows import passing, unnest
 from docflow.plugins import hash_embedding
 from docflow.schema import NodeSplitConfig, SplitConfig
 
+log = logging.getLogger(__name__)
+
 _SECTION = "array<struct<heading:string,content:string>>"
 
 
@@ -71,33 +74,48 @@ def sections(text: Column, legal: bool) -> Column:
     return X.bound(text, lambda t: F.when(t.contains("§"), typed(legal_sections(t), "legal")).otherwise(by_heading(t)) if legal else by_heading(t))
 
 
-def apply_split(df: DataFrame, column: str, split: Callable[[str], list[str]], flag: str | None = None) -> DataFrame:
-    """``df`` with a row for each part of ``column``, and its place ``part``; rows without the ``flag`` stay whole."""
+def apply_split(df: DataFrame, column: str, split: Callable[[str], list[str]], flag: str | None = None, instead: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """``df`` with a row for each part of ``column``, and its place ``part``; rows without the ``flag`` stay whole.
+
+    Where ``split`` fails on a text, ``instead`` splits it, if given, and ``instead`` is true in its rows.
+    """
     names = df.columns
     at, marked = names.index(column), names.index(flag) if flag else None
 
+    def attempt(text: str) -> tuple[list[str], bool]:
+        if instead is None:
+            return split(text), False
+        try:
+            return split(text), False
+        except Exception:  # noqa: BLE001 - whatever an embedder raises
+            log.exception("splitting failed, the text is split the other way")
+            return instead(text), True
+
     def run(batches):
         for batch in batches:
             texts = batch.column(at).to_pylist()
             wanted = batch.column(marked).to_pylist() if flag else [True] * len(texts)
-            parts = [[] if x is None else split(x) if w else [x] for x, w in zip(texts, wanted, strict=True)]
+            done = [([], False) if x is None else attempt(x) if w else ([x], False) for x, w in zip(texts, wanted, strict=True)]
+            parts, failed = [p for p, _ in done], [f for _, f in done]
             rows = pa.array([k for k, p in enumerate(parts) for _ in p], pa.int64())
             columns = [batch.column(k).take(rows) for k in range(batch.num_columns)]
             columns[at] = pa.array([x for p in parts for x in p], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([i for p in parts for i in range(len(p))], pa.int32())], [*names, "part"])
+            places = pa.array([i for p in parts for i in range(len(p))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*columns, places, pa.array(failed, pa.bool_()).take(rows)], [*names, "part", "instead"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{fields}, part int")
+    return df.mapInArrow(run, f"{fields}, part int, instead boolean")
 
 
 def recursive(df: DataFrame, column: str, cfg: SplitConfig | NodeSplitConfig, flag: str | None = None) -> DataFrame:
     size, overlap, separators = cfg.chunk_size, cfg.overlap, cfg.separators
-    return apply_split(df, column, lambda x: splitting.recursive_split(x, size, overlap, separators), flag)
+    return apply_split(df, column, lambda x: splitting.recursive_split(x, size, overlap, separators), flag).drop("instead")
 
 
 def semantic(df: DataFrame, column: str, cfg: SplitConfig, embed=hash_embedding, flag: str | None = None) -> DataFrame:
-    percentile = cfg.semantic_percentile
-    return apply_split(df, column, lambda x: splitting.semantic_split(x, embed, percentile), flag)
+    """Parts by sentence distance; a text that ``embed`` fails on is split by separators and has ``instead`` set."""
+    percentile, size, overlap, separators = cfg.semantic_percentile, cfg.chunk_size, cfg.overlap, cfg.separators
+    return apply_split(df, column, lambda x: splitting.semantic_split(x, embed, percentile), flag, lambda x: splitting.recursive_split(x, size, overlap, separators))
 
 
 def with_identity(df: DataFrame, document: str, page: str) -> DataFrame:
@@ -117,8 +135,9 @@ def split_texts(df: DataFrame, document: str, page: str, text: str, mode: str =
     rows = rows.withColumn("_long", X.token_count(F.col("content")) > cfg.max_tokens_single)
     kind = "semantic" if mode == "semantic" and embed else "recursive"
     parts = semantic(rows, "content", cfg, embed, "_long") if kind == "semantic" else recursive(rows, "content", cfg, "_long")
-    made = with_identity(parts.withColumn("chunk_type", F.when(F.col("_long"), kind).otherwise(F.col("chunk_type"))), document, page)
-    return made.where(~F.col("_long") | (F.col("token_count") >= cfg.min_part_tokens)).drop("_long")
+    kind_of_part = F.when(F.col("instead"), "recursive").otherwise(kind) if kind == "semantic" else F.lit(kind)
+    made = with_identity(parts.withColumn("chunk_type", F.when(F.col("_long"), kind_of_part).otherwise(F.col("chunk_type"))), document, page)
+    return made.where(~F.col("_long") | (F.col("token_count") >= cfg.min_part_tokens)).drop("_long", "instead")
 
 
 def node_split(df: DataFrame, document: str, text: str, cfg: NodeSplitConfig = NodeSplitConfig()) -> DataFrame:  # noqa: B008

@@ -90,6 +90,28 @@ def stored_answer(answer: Column) -> Column:
     return F.coalesce(F.nullif(answer, F.lit("")), F.lit("No answer"))
 
 
+#: Asks for the JSON that ``parse_answer`` reads.
+PROMPT = """Answer the question from the context below and reply with one JSON object, nothing else.
+It has exactly two fields of text:
+"contextAnswer": the answer, in few words, with the page it stands on. Copy amounts of money letter by letter, with their
+currency and separators; where several are given, take the most specific one.
+"additionalInfo": terms of payment or taxes if the context states them, else empty.
+
+Context:
+{context}
+
+Question: {question}
+"""
+
+
+def prompt(context: Column, question: Column, template: str = PROMPT) -> Column:
+    """A generator's prompt: ``{context}`` and ``{question}`` of the template filled in; nulls count as empty."""
+    before, rest = template.split("{context}")
+    between, after = rest.split("{question}")
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(F.lit(before), empty(context), F.lit(between), empty(question), F.lit(after))
+
+
 def answered(contexts: DataFrame, context_col: str, question: str, generate: Callable[[str, str], str]) -> DataFrame:
     """``contexts`` with the generator's raw reply in ``raw``."""
 

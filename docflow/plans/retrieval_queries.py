@@ -172,16 +172,17 @@ def mime_filter(spark, sf_dir):
 
 @query(
     "user_rules",
-    r"""SELECT id, regexp_full_match(email, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}') AND length(email) <= 50 AS email_ok, length(username) BETWEEN 3 AND 50 AS username_ok,
+    r"""SELECT id, regexp_full_match(email, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}') AND length(email) <= 50 AS email_ok, regexp_full_match(username, '[a-zA-Z0-9_]{3,30}') AS username_ok,
     length(p) BETWEEN 8 AND 20 AND regexp_matches(p, '[a-z]') AND regexp_matches(p, '[A-Z]') AND regexp_matches(p, '[0-9]') AND regexp_matches(p, '[@$!%*?&]') AND regexp_full_match(p, '[A-Za-z0-9@$!%*?&]+') AS password_ok
-    FROM (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN replace(c_name, '#', '.') || '@example.com' WHEN 1 THEN c_name || '@example.com' ELSE repeat('a', 45) || '@ex.com' END AS email, substr(c_name, 1, (c_custkey % 6)::INT) AS username,
+    FROM (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN replace(c_name, '#', '.') || '@example.com' WHEN 1 THEN c_name || '@example.com' ELSE repeat('a', 45) || '@ex.com' END AS email, CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '_') WHEN 2 THEN repeat('ab_', (c_custkey % 13)::INT) WHEN 3 THEN 'u' || (c_custkey % 20) ELSE c_mktsegment END AS username,
     CASE c_custkey % 4 WHEN 0 THEN 'Abc1$' || c_custkey WHEN 1 THEN c_mktsegment || 'a1!' || c_custkey WHEN 2 THEN 'Abcdefg1#' ELSE 'Ab1!' || repeat('x', (c_custkey % 25)::INT) END AS p FROM customer)""",
 )
 def user_rules(spark, sf_dir):
     k = D("c_custkey")
     email = F.when(k % 3 == 0, F.concat(F.replace("c_name", F.lit("#"), F.lit(".")), F.lit("@example.com"))).when(k % 3 == 1, F.concat("c_name", F.lit("@example.com"))).otherwise("a" * 45 + "@ex.com")
     password = F.when(k % 4 == 0, _text("Abc1$", k)).when(k % 4 == 1, _text(D("c_mktsegment"), "a1!", k)).when(k % 4 == 2, "Abcdefg1#").otherwise(F.concat(F.lit("Ab1!"), F.repeat(F.lit("x"), (k % 25).cast("int"))))
-    rows = table(spark, sf_dir, "customer").select(k.alias("id"), email.alias("email"), F.substring("c_name", F.lit(1), (k % 6).cast("int")).alias("username"), password.alias("password"))
+    username = F.when(k % 5 == 0, D("c_name")).when(k % 5 == 1, F.replace("c_name", F.lit("#"), F.lit("_"))).when(k % 5 == 2, F.repeat(F.lit("ab_"), (k % 13).cast("int"))).when(k % 5 == 3, _text("u", k % 20)).otherwise(D("c_mktsegment"))
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), email.alias("email"), username.alias("username"), password.alias("password"))
     return rows.select("id", C.valid_email(D("email")).alias("email_ok"), C.valid_username(D("username")).alias("username_ok"), C.valid_password(D("password")).alias("password_ok"))
 
 

@@ -211,29 +211,47 @@ SINGLE = f"""c AS (SELECT source, doc_id + 1 AS page, {BOILERPLATE.format('text'
 @query(
     "single_chunk",
     f"""WITH {SINGLE}, f AS (SELECT * FROM s WHERE tokens <= 512 AND length({LSTRIP.format('content')}) >= 5),
-    u AS (SELECT source, sha1(encode({NORM.format('content')})) AS k, arg_min(tokens, page) AS tokens, arg_min({ID.format(f"source || '|' || page || '||generic|' || {NORM.format('substr(content, 1, 160)')}")}, page) AS id FROM f GROUP BY 1, 2)
-    SELECT source, count(*) AS chunks, sum(tokens)::BIGINT AS tokens, min(id) AS first_id FROM u GROUP BY source""",
+    u AS (SELECT source, sha1(encode({NORM.format('content')})) AS k, arg_min(tokens, page) AS tokens, arg_min({ID.format(f"source || '|' || page || '||generic|' || {NORM.format('substr(content, 1, 160)')}")}, page) AS id FROM f GROUP BY 1, 2),
+    p AS (SELECT source, count(*) AS pages, count_if(tokens > 512)::BIGINT AS to_split FROM s GROUP BY source),
+    r AS (SELECT source, count(*) AS chunks, sum(tokens)::BIGINT AS tokens, min(id) AS first_id FROM u GROUP BY source)
+    SELECT source, pages, to_split, coalesce(chunks, 0) AS chunks, coalesce(r.tokens, 0) AS tokens, first_id FROM p LEFT JOIN r USING (source)""",
 )
 def single_chunk(spark, sf_dir):
-    """The flagship: pages cleaned, short ones chunked with ids, filtered, deduplicated per document, counted."""
+    """The flagship: all pages cleaned; those of one chunk chunked with ids, filtered and deduplicated per document, those for the splitter counted.
+
+    A page is in ``to_split`` or among the candidates of ``chunks``, none is left out; ``page_chunks`` splits the long ones.
+    """
     pages = document_pages(documents(spark, sf_dir))
-    usable = lambda t: (X.strip(t) != "") & (X.token_count(t) <= SplitConfig().max_tokens_single) & ingest.long_enough(t, IngestConfig().min_chars)
-    short = passing(pages, ["document_id", "page"], X.boilerplate_clean(D("text")), "content", usable).withColumns({"heading": F.lit(None).cast("string"), "chunk_type": F.lit("generic")})
-    made = chunks.with_identity(short, "document_id", "page")
-    unique = ingest.first_of_equal(made, "document_id", "content", ["page"])
-    return unique.groupBy(D("document_id").alias("source")).agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.min("chunk_id").alias("first_id"))
+    cleaned = passing(pages, ["document_id", "page"], X.boilerplate_clean(D("text")), "content", lambda t: X.strip(t) != "")
+    rows = cleaned.withColumns({"heading": F.lit(None).cast("string"), "chunk_type": F.lit("generic"), "_long": X.token_count(D("content")) > SplitConfig().max_tokens_single})
+    kept = ~D("_long") & ingest.long_enough(D("content"), IngestConfig().min_chars)
+    key = F.when(kept, F.sha1(F.encode(X.normalize(D("content")), "UTF-8")))
+    # One pass: pages without a key only count, and equal contents shrink before anything moves.
+    made = chunks.with_identity(rows, "document_id", "page").groupBy("document_id", key.alias("_key"))
+    by_content = made.agg(F.count("*").alias("n"), F.count_if("_long").alias("long"), F.min_by(F.struct("token_count", "chunk_id"), "page").alias("first"))
+    first = lambda field: F.when(D("_key").isNotNull(), D(f"first.{field}"))
+    return by_content.groupBy(D("document_id").alias("source")).agg(
+        F.sum("n").alias("pages"), F.sum("long").alias("to_split"), F.count("_key").alias("chunks"), F.coalesce(F.sum(first("token_count")), F.lit(0)).cast("long").alias("tokens"), F.min(first("chunk_id")).alias("first_id"),
+    )
+
+
+LINES = "SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"
+
 
+def _lines(spark, sf_dir) -> DataFrame:
+    """Every line of every text, which are short and long."""
+    found = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return found.select("doc_id", (D("line") + 1).cast("long").alias("line"), "t")
 
-@query("min_len_filter", f"SELECT doc_id, t FROM (SELECT doc_id, substr(text, 1, doc_id % 12) || '  ' AS t FROM documents) WHERE length({LSTRIP.format('t')}) >= 5")
+
+@query("min_len_filter", f"SELECT doc_id, line, t FROM (SELECT doc_id, line, t || '  ' AS t FROM ({LINES})) WHERE length({LSTRIP.format('t')}) >= 25")
 def min_len_filter(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.substring("text", F.lit(1), (D("doc_id") % 12).cast("int")), F.lit("  ")).alias("t"))
-    return rows.where(ingest.long_enough(D("t"), 5))
+    return _lines(spark, sf_dir).withColumn("t", F.concat("t", F.lit("  "))).where(ingest.long_enough(D("t"), 25))
 
 
-@query("min_token_filter", f"SELECT doc_id, t FROM (SELECT doc_id, substr(text, 1, doc_id % 12) AS t FROM documents) WHERE {TOKENS.format('t')} >= 3")
+@query("min_token_filter", f"SELECT doc_id, line, t FROM ({LINES}) WHERE {TOKENS.format('t')} >= 12")
 def min_token_filter(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.substring("text", F.lit(1), (D("doc_id") % 12).cast("int")).alias("t"))
-    return rows.where(X.token_count(D("t")) >= 3)
+    return _lines(spark, sf_dir).where(X.token_count(D("t")) >= 12)
 
 
 TWICE = "SELECT source, doc_id, text FROM documents UNION ALL SELECT source, doc_id + 1000000000, replace(text, ' ', '  ') FROM documents"
@@ -251,13 +269,14 @@ def exact_dedupe(spark, sf_dir):
 
 @query(
     "ingest_counters",
-    f"""WITH i AS ({TWICE}), c AS (SELECT source, substr(text, 1, doc_id % 9 * 3) AS t FROM i), p AS (SELECT source, t, length({LSTRIP.format('t')}) >= 5 AS ok FROM c WHERE {LSTRIP.format('t')} <> ''),
+    f"""WITH i AS ({TWICE}), c AS (SELECT source, unnest(string_split(text, chr(10))) AS t FROM i), p AS (SELECT source, t, length({LSTRIP.format('t')}) >= 5 AS ok FROM c WHERE {LSTRIP.format('t')} <> ''),
     s AS (SELECT source, count(*) AS inputs_seen, count_if({LSTRIP.format('t')} <> '')::BIGINT AS inputs_non_empty FROM c GROUP BY source),
     m AS (SELECT source, count(*) AS a, count_if(NOT ok)::BIGINT AS b, count_if(ok)::BIGINT - count(DISTINCT CASE WHEN ok THEN {NORM.format('t')} END) AS d, count(DISTINCT CASE WHEN ok THEN {NORM.format('t')} END) AS e FROM p GROUP BY source)
     SELECT source, inputs_seen, inputs_non_empty, coalesce(a, 0) AS chunks_before_filter, coalesce(b, 0) AS filtered_out, coalesce(d, 0) AS deduped_out, coalesce(e, 0) AS stored, CASE WHEN coalesce(e, 0) > 0 THEN 'success' ELSE 'error' END AS status FROM s LEFT JOIN m USING (source)""",
 )
 def ingest_counters(spark, sf_dir):
-    inputs = _twice(spark, sf_dir).select("source", F.substring("text", F.lit(1), (D("doc_id") % 9 * 3).cast("int")).alias("t"))
+    """Every line of every text is an input, so some are blank, short or repeated."""
+    inputs = _twice(spark, sf_dir).select("source", F.explode(F.split("text", "\n")).alias("t"))
     made = inputs.where(X.strip(D("t")) != "").withColumnRenamed("t", "content")
     return ingest.counters(inputs, made, "source", "t", "content")
 
@@ -334,7 +353,7 @@ def node_recursive_split(spark, sf_dir):
 
 @query("semantic_split")
 def semantic_split(spark, sf_dir):
-    return chunks.semantic(documents(spark, sf_dir).select("doc_id", D("text").alias("content")), "content", SplitConfig())
+    return chunks.semantic(documents(spark, sf_dir).select("doc_id", D("text").alias("content")), "content", SplitConfig()).drop("instead")
 
 
 def _spanned(spark, sf_dir) -> DataFrame:
@@ -369,19 +388,13 @@ def chunk_cap(spark, sf_dir):
     return chunks.capped(documents(spark, sf_dir).select("source", "doc_id"), "source", ["doc_id"], 7)
 
 
-@query(
-    "ingest_report",
-    f"""WITH {SINGLE}, p AS (SELECT source, count(*) AS n FROM documents WHERE {PAGE_CLEAN.format('text')} <> '' GROUP BY source),
-    u AS (SELECT source, count(DISTINCT {NORM.format('content')})::BIGINT AS k FROM s WHERE tokens <= 512 AND length({LSTRIP.format('content')}) >= 5 GROUP BY source)
-    SELECT source, CASE WHEN coalesce(k, 0) > 0 THEN 'success' ELSE 'error' END AS status, n AS pages_processed, false AS ocr_used, coalesce(k, 0) AS chunk_count, coalesce(k, 0) AS stored, CASE WHEN coalesce(k, 0) = 0 THEN 'no_usable_chunks_after_split' END AS reason FROM p LEFT JOIN u USING (source)""",
-)
+@query("ingest_report")
 def ingest_report(spark, sf_dir):
-    """The report over pages short enough for one chunk, so that SQL can follow."""
-    docs = documents(spark, sf_dir).select("source", (D("doc_id") + 1).cast("int").alias("n"), "text")
-    records = P.page_records(docs, "source", "n", "text")
-    short = docs.withColumn("c", X.boilerplate_clean(D("text"))).where((X.strip(D("c")) != "") & (X.token_count(D("c")) <= SplitConfig().max_tokens_single))
-    unique = ingest.first_of_equal(short.where(ingest.long_enough(D("c"), 5)).select("source", "n", "c"), "source", "c", ["n"])
-    return flow.ingest_report(records, unique, "source")
+    """The report over all pages, long ones split. SQL has no splitter; the tests compare with plain Python."""
+    docs = documents(spark, sf_dir)
+    records = P.page_records(docs.select("source", (D("doc_id") + 1).cast("int").alias("n"), "text"), "source", "n", "text")
+    made = flow.page_chunks(document_pages(docs), "document_id", "page", "text")
+    return flow.ingest_report(records, made.select(D("document_id").alias("source")), "source")
 
 
 @query("page_chunks")

@@ -55,7 +55,6 @@ class PageConfig:
     keep_text: bool = True
     skip_empty: bool = True
     trim: bool = True
-    keep_spans: bool = True
 
 
 @dataclass(frozen=True)

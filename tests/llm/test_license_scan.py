@@ -83,5 +83,41 @@ def test_changed_licenses_and_clean_texts(spark):
     assert L.licenses(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
 
+def scanned(spark, texts):
+    rows = L.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    return [sorted((r.license, r.start_word, r.end_word, r.matched_words) for r in rows if r.doc_id == k) for k in range(len(texts))]
+
+
+def test_insertions_small_changes_and_overlaps(spark):
+    rng = random.Random(6)
+    fill = lambda n: " ".join("".join(rng.choice("klmnopqrst") for _ in range(7)) for _ in range(n))
+    mit = L.TEMPLATES["MIT"].split()
+    n = len(tokens(L.TEMPLATES["MIT"]))
+    fifth = " ".join(w + (" foreign" if k % 5 == 4 else "") for k, w in enumerate(mit))
+    long = f"{fill(100000)} {L.TEMPLATES['ISC']} {fill(100000)}"
+    got = scanned(spark, [fifth, "Released under an MIT License.", L.TEMPLATES["BSD-3-Clause"], L.TEMPLATES["BSD-2-Clause"], L.TEMPLATES["Apache-2.0-notice"], "Licensed under CC BY-SA 4.0.", long])
+    assert [(x[0], x[3]) for x in got[0]] == [("MIT", n)]
+    assert got[1] == [("MIT-line", 0, 5, 4)]
+    assert [[x[0] for x in g] for g in got[2:]] == [["BSD-3-Clause"], ["BSD-2-Clause"], ["Apache-2.0-notice"], ["CC-BY-SA-4.0-short"], ["ISC"]]
+    assert got[6][0][1] == 100000
+
+
+def test_places_equal_alignment_everywhere():
+    """Short texts of the template's words and others: what aligning every stretch finds, the scan finds."""
+    rng = random.Random(7)
+    template = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    words = template.split()
+    for _ in range(300):
+        text = [w for w in words if rng.random() > 0.12]
+        for _ in range(rng.randrange(4)):
+            text.insert(rng.randrange(len(text) + 1), rng.choice(["x", "y", "z"]))
+        text = ["x"] * rng.randrange(6) + text + ["y"] * rng.randrange(6)
+        scanner = L.Scanner({"t": template}, 0.8)
+        hashes, _ = L.word_hashes(L.pa.array([" ".join(text)]))
+        best = max(len(L.align(hashes[a:b].tolist(), scanner.words[0])) for a in range(len(text)) for b in range(a + 1, len(text) + 1))
+        got = scanner.scan(hashes, [0])
+        assert [x[3] for x in got] == ([best] if best >= 8 else [])
+
+
 def test_templates_are_plain_text():
     assert all(re.fullmatch(r"[\x20-\x7e]+", t) for t in L.TEMPLATES.values())

@@ -50,7 +50,7 @@ FAMILIES = (
 )
 MASKS = tuple(dict.fromkeys(m for _, family in FAMILIES for m in family))
 #: Bits of the bitmap, and how many there are to a seed.
-MIN_BITS, MAX_BITS, PER_SEED = 20, 28, 64
+MIN_BITS, MAX_BITS, PER_SEED = 20, 28, 256
 #: Characters of text encoded at a time; a longer text goes alone.
 CHUNK = 1 << 22
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»‘’“”„…–—"
@@ -86,8 +86,11 @@ def seeds(words: np.ndarray, owner: np.ndarray, mask: int) -> tuple[np.ndarray,
     return at, h[at]
 
 
-def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return h >> np.uint64(64 - bits), (h >> np.uint64(8)) & np.uint64((1 << bits) - 1)
+def _slots(h: np.ndarray, bits: int, which: int) -> np.ndarray:
+    """One of a seed's three slots."""
+    if which == 0:
+        return h >> np.uint64(64 - bits)
+    return ((h >> np.uint64(8)) if which == 1 else (h >> np.uint64(33)) ^ h) & np.uint64((1 << bits) - 1)
 
 
 def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -126,7 +129,8 @@ def seed_bitmap(found: DataFrame) -> tuple[np.ndarray, int, list[int]]:
     """The bitmap over all item seeds, its size as a power of two, and the masks in use. At most 2**(MAX_BITS - 6) rows reach the driver."""
     masks = {r["_mask"]: r["n"] for r in found.groupBy("_mask").agg(F.count("*").alias("n")).collect()}
     bits = min(max(MIN_BITS, (PER_SEED * sum(masks.values())).bit_length()), MAX_BITS)
-    slot = F.explode(F.array(F.shiftrightunsigned("_h", 64 - bits), F.shiftrightunsigned("_h", 8).bitwiseAND(F.lit((1 << bits) - 1))))
+    low = F.lit((1 << bits) - 1)
+    slot = F.explode(F.array(F.shiftrightunsigned("_h", 64 - bits), F.shiftrightunsigned("_h", 8).bitwiseAND(low), F.shiftrightunsigned("_h", 33).bitwiseXOR(F.col("_h")).bitwiseAND(low)))
     parts = found.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("v")).toArrow()
     words = np.zeros(1 << bits >> 6, np.int64)
     words[parts["k"].to_numpy()] = parts["v"].to_numpy()
@@ -148,8 +152,8 @@ def document_hits(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarra
                 at, hashes = [], []
                 for mask in masks:
                     a, h = seeds(words, owner, mask)
-                    for which in (0, 1):
-                        slot = _slots(h, size)[which]
+                    for which in (0, 1, 2):
+                        slot = _slots(h, size, which)
                         on = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
                         a, h = a[on], h[on]
                     at.append(a)

@@ -9,7 +9,7 @@ word for word, also starts in a document with a smaller id.
    id goes on (all words of the others go, if there are enough for a window).
 2. Index: anchors go into immutable runs, sorted and bucketed by hash. A new batch
    is written as a run, merge-joined with the older runs bucket by bucket (no
-   shuffle, no sort), and runs beyond ``max_runs`` are merged into one. What comes
+   shuffle; Spark sorts each bucket once more), and runs beyond ``max_runs`` are merged into one. What comes
    back are the hashes that two documents share.
 3. Verification: only documents with a shared anchor are read again; the windows
    under those anchors get a hash of all their words, and window and anchor hash

@@ -9,8 +9,9 @@ word for word, also starts in a document with a smaller id.
    id goes on (all words of the others go, if there are enough for a window).
 2. Index: anchors go into immutable runs, sorted and bucketed by hash. A new batch
    is written as a run, merge-joined with the older runs bucket by bucket (no
-   shuffle; Spark sorts each bucket once more), and runs beyond ``max_runs`` are merged into one. What comes
-   back are the hashes that two documents share.
+   shuffle, no sort), and runs beyond ``max_runs`` are merged into one. What comes
+   back are the hashes that two documents share. A manifest lists the runs: an
+   index kept by path takes further batches in later sessions.
 3. Verification: only documents with a shared anchor are read again; the windows
    under those anchors get a hash of all their words, and window and anchor hash
    together (128 bits) say which windows are equal. The smallest document
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.llm.arrow import lean, lists, slices
-from docflow.llm.storage import discard, new_path, stored
+from docflow.llm.storage import new_path, stored
 from docflow.llm.text import pick
 
 WIDTH, GRAM = 50, 20
 #: Bytes of text at a time.
 CHUNK = 1 << 22
+MANIFEST = "buckets int, width int, gram int, id_type string, runs array<string>"
 _ODD = np.random.default_rng(23).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -112,20 +115,67 @@ def summaries(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return own.mapInArrow(lean(run), f"_id {own.schema['_id'].dataType.simpleString()}, _th bigint, n_words bigint, _sha string, _anchors array<bigint>")
 
 
+@contextmanager
+def in_order(spark: SparkSession):
+    """While it lasts, plans take the order of runs from their files: a bucket is one sorted file, so a merge join sorts nothing again.
+
+    A union of runs counts as dealt out anew: its scans may be read without their buckets.
+    """
+    wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.unionOutputPartitioning": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of ``h, _id, _th``, bucketed by ``h`` in the shared folder."""
+    """Sorted immutable runs of ``h, _id, _th``, bucketed by ``h``, below ``path``.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, max_runs: int = 2):
+    A manifest lists the runs that count; it is written after a run is whole, so a job that breaks off leaves the
+    index as it was. Whoever gives the ``path`` of an index opens it, in this session or a later one, with the settings
+    it was made with. Without a path the index lies among the application's work tables. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, max_runs: int = 2, width: int = WIDTH, gram: int = GRAM):
         self.spark, self.max_runs = spark, max_runs
+        self.path = (path or new_path(spark, "fingerprints")).rstrip("/")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.width, self.gram, self.version = width, gram, 0
         self.runs: list[str] = []
+        versions = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        whole = [v for v in versions if v.startswith("manifest-") and self._fs.exists(self._at(f"{v}/_SUCCESS"))]
+        if whole:
+            found = spark.read.schema(MANIFEST).json(f"{self.path}/{max(whole)}").first()
+            self.buckets, self.width, self.gram, self.version, self.runs = found.buckets, found.width, found.gram, int(max(whole)[9:]), list(found.runs)
+            for run in self.runs:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {run} (h BIGINT, _id {found.id_type}, _th BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def _write(self, rows: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
-        path = new_path(self.spark, name)
-        rows.repartition(self.buckets, "h").sortWithinPartitions("h").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+        rows.repartition(self.buckets, "h").sortWithinPartitions("h").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
+    def _commit(self, runs: list[str]) -> None:
+        """Make ``runs`` the index; files of runs that no longer count go."""
+        id_type = self.spark.table(runs[0]).schema["_id"].dataType.simpleString()
+        values = {"buckets": F.lit(self.buckets), "width": F.lit(self.width), "gram": F.lit(self.gram), "id_type": F.lit(id_type), "runs": F.array(*[F.lit(r) for r in runs])}
+        self.spark.range(1).select(*[v.alias(k) for k, v in values.items()]).coalesce(1).write.json(f"{self.path}/manifest-{self.version + 1:08d}")
+        gone, self.runs = [r for r in self.runs if r not in runs], runs
+        self.version += 1
+        for run in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            self._fs.delete(self._at(run), True)
+        self._fs.delete(self._at(f"manifest-{self.version - 1:08d}"), True)
+
     def add(self, rows: DataFrame) -> DataFrame:
         """Add a batch as a run; returns the hashes ``h`` that its documents share with each other or with older ones."""
         new = self._write(rows.select("h", "_id", "_th"))
@@ -136,8 +186,9 @@ class FingerprintIndex:
         shared = found[0]
         for other in found[1:]:
             shared = shared.unionByName(other)
-        shared = stored(shared.distinct(), "shared")
-        self.runs.append(new)
+        with in_order(self.spark):
+            shared = stored(shared.distinct(), "shared")
+        self._commit([*self.runs, new])
         if len(self.runs) > self.max_runs:
             self.compact()
         return shared
@@ -150,12 +201,17 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merge all runs into one; equal entries of a hash become one."""
-        merged = self._write(self.rows().distinct())
+        with in_order(self.spark):
+            merged = self._write(self.rows().distinct())
+        self._commit([merged])
+
+    def close(self, delete: bool = False) -> None:
+        """Take the runs out of the session's catalog; their files stay unless ``delete``."""
         for run in self.runs:
-            old = self.spark.table(run)
-            discard(old)
-            self.spark.sql(f"DROP TABLE {run}")
-        self.runs = [merged]
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        if delete:
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path), True)
+        self.runs = []
 
     def occurrences(self, shared: DataFrame) -> DataFrame:
         """Entries of the given hashes; one copy of each run is read, in its order."""
@@ -225,12 +281,18 @@ def kept_words(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("_id", "_th", "_text", "_at").mapInArrow(lean(run), f"_id {rows.schema['_id'].dataType.simpleString()}, _th bigint, n_removed bigint, _kept string")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = 4, max_runs: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = 4, max_runs: int = 2, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """``id_col, n_words, n_removed, kept_sha256`` of every row; ids are numbers (see the module's docstring).
 
-    The table is added to the index in ``batches`` by ranges of the id, as batches would arrive.
+    The table is added to the index in ``batches`` by ranges of the id, as batches would arrive. Without an ``index``
+    one is made for this call; with one, whose ``width`` and ``gram`` hold, ``docs`` are a new batch of it, and rows
+    are returned for them only. ``history`` (same two columns) has the documents added before: those that share an
+    anchor are read for verification, and one that isn't there removes nothing.
     """
     spark = docs.sparkSession
+    mine = index is None
+    index = index or FingerprintIndex(spark, max_runs=max_runs, width=width, gram=gram)
+    width, gram = index.width, index.gram
     own = pick(docs, _id=id_col, _text=text_col)
     found = stored(summaries(own, width, gram), "summaries")
     firsts = found.where("_id is not null").groupBy("_sha").agg(F.min("_id").alias("_first"))
@@ -239,7 +301,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     turned = firsts.select(F.reverse("_sha").alias("_ahs"), "_first")
     classed = stored(found.select("_id", "_th", "n_words", "_sha", F.reverse("_sha").alias("_ahs")).join(turned, "_ahs", "left").drop("_ahs"), "classes")
 
-    index = FingerprintIndex(spark, max_runs=max_runs)
     # Copies have the anchors of their first document, which alone is indexed.
     first = found.join(classed.where("_id = _first").select("_id", "_th").distinct(), ["_id", "_th"], "left_semi").select("_id", "_th", F.explode(F.array_distinct("_anchors")).alias("h"))
     cuts = found.select(F.percentile_approx("_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
@@ -256,8 +317,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = stored(shared.distinct(), "shared")
 
     asked = index.occurrences(shared).groupBy("_id", "_th").agg(F.collect_set("h").alias("_hs"))
-    texts = own.where("_id is not null").select("_id", F.xxhash64("_text").alias("_th"), "_text")
-    live = stored(texts.join(asked, ["_id", "_th"]), "live")
+    known = own if history is None else own.unionByName(pick(history, _id=id_col, _text=text_col))
+    texts = known.where("_id is not null").select("_id", F.xxhash64("_text").alias("_th"), "_text")
+    with in_order(spark):
+        live = stored(texts.join(asked, ["_id", "_th"]), "live")
+    if mine:
+        index.close(delete=True)
     windows = stored(live_windows(live, width, gram), "windows")
     # A window that recurs in one text is one row, so a repetitive text is no hot key.
     each = windows.select("h", "_id", "_th", F.explode(F.arrays_zip("w", "start", "more")).alias("x")).select("h", "_id", "_th", "x.*")

@@ -68,5 +68,34 @@ def test_runs_are_joined_without_shuffle_and_compacted(spark):
     assert sorted(r.h for r in index.add(rows(3, [1, 4, 9])).collect()) == [1, 4]
     assert len(index.runs) == 1 and index.rows().count() == 8
     join = spark.table(index.runs[0]).select("h").join(spark.table(index.runs[0]).withColumnRenamed("_id", "x").hint("merge"), "h", "left_semi")
-    assert "Exchange" not in join._jdf.queryExecution().executedPlan().toString()
+    with I.in_order(spark):
+        plan = join._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
     assert sorted(r.h for r in index.add(rows(4, [9, 10, 10])).collect()) == [9]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprints_") and t.name not in index.runs]
+
+
+def test_index_takes_batches_in_later_sessions(spark, tmp_path):
+    rng = random.Random(5)
+    passages = [" ".join(rng.choice("abcdefgh") + rng.choice("ijklmnop") for _ in range(70)) for _ in range(6)]
+    rows = [(d, " ".join([f"own{d}a own{d}b", rng.choice(passages), f"own{d}c", rng.choice(passages)])) for d in range(60)]
+    rows[50] = (50, rows[3][1])
+    rows[51] = (51, rows[50][1])
+    path, got = f"file://{tmp_path}/index", []
+    for low, high in [(0, 25), (25, 26), (26, 60)]:
+        session = spark.newSession()
+        frame = lambda some, s=session: s.createDataFrame(some, "doc_id bigint, text string")
+        index = I.FingerprintIndex(session, path, max_runs=3)
+        got += rows_of(I.remove_repeats(frame(rows[low:high]), batches=2, index=index, history=frame(rows[:low])))
+        index.close()
+    assert sorted(got, key=repr) == plain(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprints_") and spark.table(t.name).inputFiles() and path[7:] in spark.table(t.name).inputFiles()[0]]
+
+
+def test_a_run_without_manifest_does_not_count(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = I.FingerprintIndex(spark, path, buckets=2, width=60, gram=10)
+    index.add(spark.createDataFrame([(1, 1, 0)], "h bigint, _id bigint, _th bigint"))
+    index._write(spark.createDataFrame([(2, 1, 0)], "h bigint, _id bigint, _th bigint"))
+    again = I.FingerprintIndex(spark, path)
+    assert (again.buckets, again.width, again.gram) == (2, 60, 10) and [r.h for r in again.rows().collect()] == [1]

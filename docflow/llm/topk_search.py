@@ -23,7 +23,7 @@ is left out, and only that: another row with the same id or vector is a candidat
 Rows that repeat a query's id are queries of their own. Null ids are candidates
 after all others and never queries by an id rule. Fewer than k candidates give them
 all; an empty table, or one without queries, gives no rows. Extra columns play no part.
-Scaled components beyond 32 bits count as that bound and scores beyond 2**62 as that.
+Scaled components beyond 32 bits count as that bound and scores beyond 2**61 as that.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ BINS = 2048
 #: Queries and rows of one block, and scores held at a time.
 QUERY_BLOCK, ROW_BLOCK, CELLS = 4096, 1024, 1 << 19
 #: Scores are held within this.
-MOST = 1 << 62
+MOST = 1 << 61
 #: Marks the query's own row.
 OWN = -(1 << 63)
 

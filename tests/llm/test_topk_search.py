@@ -67,7 +67,7 @@ def test_fewer_than_k_and_none(spark):
 def test_large_components(spark):
     rows = [(100, [3e5, -2e5, 1.0]), (1, [2.5e5, 1e5, 0.0]), (2, [-3e5, 1e5, 2.0]), (3, [1.9e6, 1.9e6, 1.9e6])]
     assert run(spark, rows, bins=64) == plain(rows)
-    # Beyond 32 bits components count as the bound, beyond 2**62 scores do: no crash.
+    # Beyond 32 bits components count as the bound, beyond 2**61 scores do: no crash.
     assert [r[2] for r in run(spark, [(100, [3e38, 3e38]), (1, [3e38, 3e38]), (2, [-3e38, 3e38]), (3, [1.0, 1.0])])] == [1, 3, 2]
 
 
@@ -75,5 +75,5 @@ def test_products_are_exact():
     rng = np.random.default_rng(5)
     for most in (1 << 10, 1 << 25, 1 << 30):
         q, r = (rng.integers(-most, most, (3, 5)).astype(np.int32) for _ in range(2))
-        want = [[min(max(sum(int(x) * int(y) for x, y in zip(a, b, strict=True)), -(1 << 62)), 1 << 62) for b in r] for a in q]
+        want = [[min(max(sum(int(x) * int(y) for x, y in zip(a, b, strict=True)), -(1 << 61)), 1 << 61) for b in r] for a in q]
         assert products(q, r).tolist() == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docflow.llm import q_decontamination, q_html_text, q_kdtree_clustering, q_license_scan, q_packing, q_quality_classifier, q_quality_rules, q_secret_scan, q_simhash, q_substring_dedup, q_topk_search, q_url_rules
+from docflow.llm import q_collocations, q_decontamination, q_html_text, q_kdtree_clustering, q_license_scan, q_packing, q_quality_classifier, q_quality_rules, q_secret_scan, q_simhash, q_substring_dedup, q_topk_search, q_url_rules
 
 
 def queries():
@@ -17,10 +17,11 @@ def queries():
         "op8_html_extraction": q_html_text.op8_html_extraction,
         "op9_simhash_near_dedup": q_simhash.op9_simhash_near_dedup,
         "op10_benchmark_decontamination": q_decontamination.op10_benchmark_decontamination,
+        "op11_phrase_collocations": q_collocations.op11_phrase_collocations,
         "op12_centroid_clustering": q_kdtree_clustering.op12_centroid_clustering,
         "op13_exact_topk": q_topk_search.op13_exact_topk,
     }
 
 
 def oracle_sql():
-    return {"op1_quality_rules": q_quality_rules.ORACLE, "op6_url_filter": q_url_rules.ORACLE, "op12_centroid_clustering": q_kdtree_clustering.ORACLE, "op13_exact_topk": q_topk_search.ORACLE}
+    return {"op1_quality_rules": q_quality_rules.ORACLE, "op6_url_filter": q_url_rules.ORACLE, "op11_phrase_collocations": q_collocations.ORACLE, "op12_centroid_clustering": q_kdtree_clustering.ORACLE, "op13_exact_topk": q_topk_search.ORACLE}

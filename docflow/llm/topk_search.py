@@ -88,14 +88,15 @@ def histogram(k: int, bins: int):
     """A task's counts by query and bin: those in the query's interval, down to the bin of its own k-th."""
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        own, low, width, above = (queries[c].to_numpy() for c in ("_q", "_low", "_width", "_above"))
+        own, low, span, above = (queries[c].to_numpy() for c in ("_q", "_low", "_span", "_above"))
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for at, _, scores in tiles(queries, rows):
             # Differences are taken after the scores are known to lie within the interval: they can't pass 64 bits.
-            lo, w = low[at][:, None], width[at][:, None]
+            lo, long_ = low[at][:, None], span[at][:, None]
             inside = (scores >= lo) & (scores != OWN)
-            bin_ = np.where(inside, scores - np.where(inside, lo, 0), 0) // w
-            inside &= bin_ < bins
+            away = np.where(inside, scores, lo) - lo
+            inside &= away < long_
+            bin_ = away // ((long_ - 1) // bins + 1)
             query, _ = np.nonzero(inside)
             found, n = np.unique(query * bins + bin_[inside], return_counts=True)
             query, bin_ = found // bins, found % bins
@@ -147,21 +148,20 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, factor: int = 1024, id
     n, norm = whole.agg(F.count("*"), F.sqrt(F.max(square("_v")))).first()
     queries = whole.where(is_query).select(F.col("_r").alias("_q"), F.col("vec_id").alias("query_id"), F.col("_v").alias("_qv"))
     most = F.ceil(F.least(F.lit(float(MOST)), F.sqrt(square("_qv")) * F.lit(norm or 0.0) * 1.000001 + 2.0))
-    width = lambda lowest: F.expr(f"2 * ({lowest} div {bins} + 1)")
-    state = stored(queries.withColumn("_most", most).select("_q", (-F.col("_most")).alias("_low"), width("_most").alias("_width"), F.lit(0).cast("long").alias("_above"), F.lit(False).alias("_done")), "thresholds")
+    state = stored(queries.withColumn("_most", most).select("_q", (-F.col("_most")).alias("_low"), (2 * F.col("_most") + 1).alias("_span"), F.lit(0).cast("long").alias("_above"), F.lit(False).alias("_done")), "thresholds")
     blocks = (max(1, -(-state.count() // query_block)), max(1, -(-n // row_block)))
     while state.where("not _done").limit(1).count():
         open_ = queries.join(state.where("not _done").drop("_done"), "_q")
         counts = paired(open_, whole, blocks, histogram(k, bins), "_q bigint, bin bigint, n bigint").groupBy("_q", "bin").agg(F.sum("n").alias("n"))
         higher = F.sum("n").over(Window.partitionBy("_q").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1))
         kth = counts.withColumn("higher", F.coalesce(higher, F.lit(0))).withColumn("last", F.row_number().over(Window.partitionBy("_q").orderBy("bin")) == 1)
-        at = state.where("not _done").join(kth, "_q", "left")
+        at = state.where("not _done").withColumn("_width", F.expr(f"(_span - 1) div {bins} + 1")).join(kth, "_q", "left")
         through = F.col("_above") + F.col("higher") + F.col("n")
         # The k-th lies in this bin; with fewer than k scores in all, the lowest score is the k-th.
         at = at.where(F.col("bin").isNull() | ((F.col("_above") + F.col("higher") < k) & ((through >= k) | F.col("last"))))
-        low = F.col("_low") + F.coalesce("bin", F.lit(0)) * F.col("_width")
+        start = F.coalesce("bin", F.lit(0)) * F.col("_width")
         at = at.select(
-            "_q", low.alias("_low"), F.expr(f"(_width - 1) div {bins} + 1").alias("_width"), (F.col("_above") + F.coalesce("higher", F.lit(0))).alias("_above"),
+            "_q", (F.col("_low") + start).alias("_low"), F.least("_width", F.col("_span") - start).alias("_span"), (F.col("_above") + F.coalesce("higher", F.lit(0))).alias("_above"),
             (F.col("bin").isNull() | (through <= k) | (F.col("_width") == 1)).alias("_done"),
         )
         after = stored(state.where("_done").unionByName(at), "thresholds")

@@ -28,11 +28,12 @@ def run(spark, rows, **kw):
     return sorted((tuple(r) for r in top_k(df, F.col("vec_id") % 100 == 0, **kw).collect()), key=repr)
 
 
-def test_query_equals_sql(spark):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_sql(spark, sf):
     con = duckdb.connect()
-    con.sql("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/{sf}/embeddings.parquet'")
     want = con.sql(ORACLE)
-    got = op13_exact_topk(spark, "/root/testdata/sf0.001")
+    got = op13_exact_topk(spark, f"/root/testdata/{sf}")
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
@@ -45,6 +46,13 @@ def test_ties_copies_and_small_blocks(spark, bins):
     assert run(spark, rows, bins=bins, query_block=2, row_block=37) == plain(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_scores_next_to_the_border_of_a_bin(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, [round(rng.gauss(0, 0.05), 3) for _ in range(4)]) for i in range(700)]
+    assert run(spark, rows, bins=[4, 32, 2048][seed]) == plain(rows)
+
+
 def test_nulls_odd_values_and_lengths(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (100, [nan, 1.0]), (200, None), (300, [inf, 0.0]), (400, [None, 1.0]), (500, [1.0]), (600, []), (700, []), (None, [1.0, 2.0]), (None, [0.5, 0.5]), (1, [1.0, 2.0]), (-100, [3.0, -1.0])]

@@ -9,58 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docflow.functions import text as X
-from docflow.operators.joins import to_totals
+from docflow.operators.neighbours import BLOCK, PIVOTS, search
 from docflow.schema import ANSWER, AnswerConfig
 
-#: Rows of one block of queries and of vectors.
-BLOCK = 4096
-#: Distances held at a time.
-CELLS = 1 << 20
-
-
-def _nearest(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    """The k nearest rows of each query, squared L2 in double, ties by id."""
-    width = len(queries["_v"][0])
-    q, r = (t["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width) for t in (queries, rows))
-    ids = rows["_r"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    r, ids, own = r[order], ids[order], queries["_q"].to_numpy()
-    step = max(1, CELLS // max(1, len(r) * width))
-    out = []
-    for a in range(0, len(q), step):
-        d = ((q[a : a + step, None, :] - r[None, :, :]) ** 2).sum(axis=2)
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out.append((np.repeat(own[a : a + step], near.shape[1]), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
-    return pa.table({"query_id": np.concatenate([x[0] for x in out]), "row_id": np.concatenate([x[1] for x in out]), "distance": np.concatenate([x[2] for x in out])})
-
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int | None = 10, within: tuple[str, str] | None = None, block: int = BLOCK) -> DataFrame:
-    """``query_id, row_id, distance, rank``: the k nearest of ``rows`` (``id, vector``) for each of ``queries`` (``id, vector``).
-
-    Both sides are dealt out in blocks of bounded size, and each pair of blocks is
-    one task's work; ``within`` names a column on each side that must agree, so only
-    blocks of one document meet. Each pair gives k rows a query, and the best k of
-    these remain. Null or 0 for k means 10. Rows and queries without a vector are left out.
-    """
-    k = int(k or 10)
-    keyed = lambda df, name, key: df.where("id is not null and vector is not null").select(F.col("id").alias(name), F.col("vector").alias("_v"), (F.col(key).cast("string") if key else F.lit("")).alias("_w"))
-    left, right = keyed(queries, "_q", within and within[0]), keyed(rows, "_r", within and within[1])
-    blocks = lambda df, out: df.groupBy("_w").agg(F.ceil(F.count("*") / block).cast("int").alias(out))
-    sizes = blocks(left, "_nq").join(blocks(right, "_nr"), "_w")
-    part = lambda name, n: F.pmod(F.xxhash64(name), F.col(n).cast("long")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = to_totals(left, sizes, "_w").select("_w", "_q", "_v", part("_q", "_nq").alias("_a"), every("_nr").alias("_b"))
-    right = to_totals(right, sizes, "_w").select("_w", "_r", "_v", part("_r", "_nr").alias("_b"), every("_nq").alias("_a"))
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return pa.table({"query_id": pa.array([], pa.int64()), "row_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        return _nearest(a, b, k)
-
-    keys = ["_w", "_a", "_b"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id bigint, row_id bigint, distance double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "row_id")))
-    return ranked.where(F.col("rank") <= k)
+def nearest(queries: DataFrame, rows: DataFrame, k: int | None = 10, within: tuple[str, str] | None = None, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """``query_id, row_id, distance, rank``: the k nearest rows of each query, see :func:`docflow.operators.neighbours.search`."""
+    return search(queries, rows, k, within, block, pivots).found
 
 
 def first_of_document(found: DataFrame, matches: Column, n: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from docflow.functions import text as X
-from docflow.operators import catalog as C, retrieval as R
+from docflow.operators import catalog as C, registration, retrieval as R
 from docflow.plans.text_queries import _text
 from docflow.plugins import extractive_answer
 from docflow.sources import index, sinks, workspace
@@ -164,6 +164,26 @@ def user_unique_anti(spark, sf_dir):
     return C.unused(candidates, users).select("id", "email", "username")
 
 
+REGISTER = """
+WITH RECURSIVE c AS (SELECT o_orderkey AS id, 'u' || (o_custkey * 7 % 1201) || '@example.com' AS email, 'name_' || (o_orderkey * 31 % 907) AS username FROM orders),
+u AS (SELECT 'u' || c_custkey * 5 || '@example.com' AS email, 'name_' || c_custkey * 11 AS username FROM customer),
+r AS (SELECT id, email, username, FALSE AS got, email IN (SELECT email FROM u) OR username IN (SELECT username FROM u) AS out FROM c
+  UNION ALL
+  SELECT id, email, username, got, NOT got AND (bool_or(got) OVER (PARTITION BY email) OR bool_or(got) OVER (PARTITION BY username)) AS out
+  FROM (SELECT id, email, username, id = min(id) OVER (PARTITION BY email) AND id = min(id) OVER (PARTITION BY username) AS got FROM r WHERE NOT got AND NOT out))
+SELECT id, email, username, CASE WHEN bool_or(got) THEN 'created' ELSE 'in_use' END AS status FROM r GROUP BY ALL
+"""
+
+
+@query("user_register", REGISTER)
+def user_register(spark, sf_dir):
+    """Candidates that clash with users and with each other, by email and by name."""
+    k = D("o_orderkey")
+    candidates = table(spark, sf_dir, "orders").select(k.alias("id"), _text("u", D("o_custkey") * 7 % 1201, "@example.com").alias("email"), _text("name_", k * 31 % 907).alias("username"))
+    users = table(spark, sf_dir, "customer").select(_text("u", D("c_custkey") * 5, "@example.com").alias("email"), _text("name_", D("c_custkey") * 11).alias("username"))
+    return registration.decided(candidates, users, "id")
+
+
 @query("mime_filter", "SELECT doc_id, mime FROM (SELECT doc_id, ['application/pdf', 'image/png', 'text/plain', 'text/html'][doc_id % 4 + 1] AS mime FROM documents) WHERE mime IN ('application/pdf', 'text/plain')")
 def mime_filter(spark, sf_dir):
     kinds = F.array(*map(F.lit, ("application/pdf", "image/png", "text/plain", "text/html")))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from docflow.operators.catalog import unused
+from docflow.operators.registration import CREATED, decided
+from docflow.sources.workspace import new_path
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -27,9 +28,14 @@ def dump_json(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
-def register(candidates: DataFrame, users: DataFrame, path: str) -> DataFrame:
-    """Append the candidates whose email and username are free; returns all with ``status``."""
-    free = unused(candidates, users)
-    append(free, path)
-    taken = candidates.join(free.select("email"), "email", "left_anti")
-    return free.withColumn("status", F.lit("created")).unionByName(taken.withColumn("status", F.lit("in_use")))
+def register(candidates: DataFrame, users: DataFrame, path: str, order: str = "id", keys: tuple[str, ...] = ("email", "username")) -> DataFrame:
+    """Append the candidates that get in, first come first served; returns every candidate once, with ``status``.
+
+    Decided first, then stored, then appended: what is returned is what was decided, though ``users`` may read ``path``.
+    """
+    found = decided(candidates, users, order, keys)
+    kept = new_path(candidates.sparkSession, "decided")
+    found.write.parquet(kept)
+    found = candidates.sparkSession.read.schema(found.schema).parquet(kept)
+    append(found.where(F.col("status") == CREATED).drop("status"), path)
+    return found

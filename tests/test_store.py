@@ -119,7 +119,7 @@ def test_files_and_sinks(spark, tmp_path):
     users = spark.createDataFrame([("a@x.de", "anna")], "email string, username string")
     sinks.append(users, table)
     new = spark.createDataFrame([("a@x.de", "bert"), ("c@x.de", "carl")], "email string, username string")
-    assert {r.email: r.status for r in sinks.register(new, users, table).collect()} == {"a@x.de": "in_use", "c@x.de": "created"}
+    assert {r.email: r.status for r in sinks.register(new, users, table, "email").collect()} == {"a@x.de": "in_use", "c@x.de": "created"}
     assert spark.read.parquet(table).count() == 2
     sinks.clear(users, table)
     assert spark.read.parquet(table).collect() == []

@@ -157,7 +157,10 @@ def full_text_fallback(parts: Column, text: Column) -> Column:
 
 
 def combined_pages(pages: DataFrame, document: str, page: str, text: str) -> DataFrame:
-    """``document, page (null), text``: the texts of a document's pages in order, joined by line feeds."""
+    """``document, page (null), text``: the texts of a document's pages in order, joined by line feeds.
+
+    For documents that fit a row; ``combined.split_combined`` chunks those of any size by headings and size.
+    """
     ordered = F.sort_array(F.collect_list(F.when(F.coalesce(F.col(text), F.lit("")) != "", F.struct(F.col(page).alias("p"), F.col(text).alias("t")))))
     joined = pages.groupBy(document).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias(text))
     return joined.withColumn(page, F.lit(None).cast(pages.schema[page].dataType))

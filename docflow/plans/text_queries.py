@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.functions import ids, text as X
-from docflow.operators import chunks, flow, ingest, pages as P, span_chunks
+from docflow.operators import chunks, combined, flow, ingest, pages as P, span_chunks
 from docflow.operators.rows import passing, unnest
 from docflow.schema import IngestConfig, SplitConfig
 from docflow.sources.files import document_pages, lines_of
@@ -372,8 +372,7 @@ def pages_with_spans(spark, sf_dir):
 
 @query("pages_combined")
 def pages_combined(spark, sf_dir):
-    joined = chunks.combined_pages(document_pages(documents(spark, sf_dir)), "document_id", "page", "text")
-    return chunks.split_texts(joined, "document_id", "page", "text", "recursive")
+    return combined.split_combined(document_pages(documents(spark, sf_dir)), "document_id", "page", "text")
 
 
 @query("split_text")

@@ -12,7 +12,9 @@ from docflow.functions import ids, text as X
 from docflow.operators import chunks, combined, flow, ingest, pages as P, span_chunks
 from docflow.operators.rows import passing, unnest
 from docflow.schema import IngestConfig, SplitConfig
+from docflow.sources import workspace
 from docflow.sources.files import document_pages, lines_of
+from docflow.streaming import stateful
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -281,6 +283,26 @@ def ingest_counters(spark, sf_dir):
     return ingest.counters(inputs, made, "source", "t", "content")
 
 
+@query(
+    "stream_ingest_counters",
+    f"""WITH s AS (SELECT source, count(*) AS inputs_seen, count_if({LSTRIP.format('text')} <> '')::BIGINT AS inputs_non_empty FROM documents GROUP BY source),
+    p AS (SELECT source, t, length({LSTRIP.format('t')}) >= 5 AS ok FROM (SELECT source, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE {LSTRIP.format('t')} <> ''),
+    m AS (SELECT source, count(*) AS a, count_if(NOT ok)::BIGINT AS b, count_if(ok)::BIGINT - count(DISTINCT CASE WHEN ok THEN {NORM.format('t')} END) AS d, count(DISTINCT CASE WHEN ok THEN {NORM.format('t')} END) AS e FROM p GROUP BY source)
+    SELECT source AS document_id, inputs_seen, inputs_non_empty, coalesce(a, 0) AS chunks_before_filter, coalesce(b, 0) AS filtered_out, coalesce(d, 0) AS deduped_out, coalesce(e, 0) AS stored, CASE WHEN coalesce(e, 0) > 0 THEN 'success' ELSE 'error' END AS status FROM s LEFT JOIN m USING (source)""",
+)
+def stream_ingest_counters(spark, sf_dir):
+    """All documents as pages that arrive in four micro-batches, so each source comes in all of them; every line is a chunk."""
+    stateful.settings(spark)
+    top = workspace.new_path(spark, "stream")
+    pages = document_pages(documents(spark, sf_dir)).select("document_id", "page", "text")
+    pages.repartition(4, "page").write.parquet(f"{top}/in")
+    lines = lambda df: unnest(df, ["document_id", "page"], F.split("text", "\n"), "section", "content").where(X.strip(D("content")) != "").select("document_id", "page", "section", F.lit(0).alias("part"), "content")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+    run = stateful.into_folder(stream, f"{top}/out", embed=None, split=lines).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stateful.stored_counters(spark, f"{top}/out")
+
+
 @query("one_document_guard", "SELECT lang, count(DISTINCT source) AS documents, CASE WHEN count(DISTINCT source) > 1 THEN 'error' ELSE 'ok' END AS status FROM (SELECT lang, source FROM documents UNION ALL SELECT 'only ' || source, source FROM documents) GROUP BY lang")
 def one_document_guard(spark, sf_dir):
     docs = documents(spark, sf_dir).select("lang", "source")

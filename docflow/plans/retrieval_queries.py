@@ -8,7 +8,7 @@ from docflow.functions import text as X
 from docflow.operators import catalog as C, registration, retrieval as R
 from docflow.plans.text_queries import _text
 from docflow.plugins import extractive_answer
-from docflow.sources import index, sinks, workspace
+from docflow.sources import generations, index, sinks, workspace
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -251,3 +251,23 @@ def chunk_dump(spark, sf_dir):
     path = workspace.new_path(spark, "dump")
     sinks.dump_json(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path)
     return spark.read.schema("doc_id bigint, text string, source string").json(path)
+
+
+@query(
+    "index_generations",
+    """WITH r AS (SELECT source, count(*) AS chunks, sum(n_chars)::BIGINT AS chars, min(doc_id) AS first FROM documents GROUP BY source)
+    SELECT 'before' AS read, source AS document_id, chunks, chars FROM r
+    UNION ALL SELECT 'after', source, chunks, CASE WHEN first % 2 = 0 THEN 2 * chars ELSE chars END FROM r WHERE source < (SELECT max(source) FROM r)""",
+)
+def index_generations(spark, sf_dir):
+    """All documents stored; half of the sources replaced and the last removed while a reader has the first generation open."""
+    root = workspace.new_path(spark, "generations")
+    docs = table(spark, sf_dir, "documents").select(D("source").alias("document_id"), "doc_id", "n_chars")
+    generations.save(docs, root, "org/model")
+    before = generations.snapshot(spark, root).load("org/model")
+    even = docs.groupBy("document_id").agg(F.min("doc_id").alias("first")).where("first % 2 = 0").select("document_id")
+    generations.save(docs.join(even, "document_id", "left_semi").withColumn("n_chars", 2 * D("n_chars")), root, "org/model")
+    generations.remove(spark, root, "org/model", docs.select(F.max("document_id").alias("document_id")))
+    after = generations.snapshot(spark, root).load("org/model")
+    counted = lambda rows, name: rows.groupBy(F.lit(name).alias("read"), "document_id").agg(F.count("*").alias("chunks"), F.sum("n_chars").alias("chars"))
+    return counted(before, "before").unionByName(counted(after, "after"))

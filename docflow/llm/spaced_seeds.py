@@ -4,20 +4,23 @@ A seed is a fixed mask over neighbouring words that ignores some places, so one
 substituted word leaves most seeds around it whole. Seeds of the benchmark items
 and of the documents are joined on their hash; each hit fixes a diagonal (document
 place less item place), and on that diagonal the item is compared word by word.
-A document holds an item when at least ``min_coverage`` of the item's words
-stand in their places on the hit diagonals (several, where words were inserted), or
-``min_run`` of them in a row.
+A document holds an item when ``min_run`` of the item's words stand in a row on one hit
+diagonal, or at least ``min_coverage`` of its words stand in order on hit diagonals that
+lie within ``max_shift`` of each other, as they do where a few words were inserted or left
+out. Pieces of an item that are far apart, or in another order, don't add up.
 
 Masks depend on the item's length (``FAMILIES``). Wherever a fifth of an item's words
 stand, at most, some seed of its family avoids them all, so at a coverage of 0.8 or more
-on one diagonal no item of any length is missed; items under five words have to stand whole.
+on one diagonal no item of any length is missed; items under five words have to stand whole,
+so their seed's hit is all there is to find and their words are not compared.
 
 Before the join, documents test their seeds against a bitmap of all benchmark
 seeds. It grows with them up to ``2 ** MAX_BITS`` bits (32 MB) and
 has no false negatives; that bitmap alone is sent to the executors. Only documents
 with a hit travel on, as word hashes. The joins are on hash, document row and item
 row; AQE splits a passage that a third of all documents hold. Of a document only the
-places where the item matches leave the join, each counted once.
+places where the item matches leave the join. Diagonals of one document and item meet
+``STRETCH`` at a time, with those within ``max_shift`` of the border lent.
 
 Words are lower-cased, split at white space, and stripped of punctuation at
 their ends. Defined results: null and blank texts hold nothing; items without a word
@@ -27,6 +30,8 @@ rows that repeat are reported once each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,6 +56,8 @@ FAMILIES = (
 MASKS = tuple(dict.fromkeys(m for _, family in FAMILIES for m in family))
 #: Bits of the bitmap, and how many there are to a seed.
 MIN_BITS, MAX_BITS, PER_SEED = 20, 28, 256
+#: Neighbouring diagonals that meet, as a power of two, and words of the items that only their seed finds, at most.
+STRETCH, SHORT = 10, 4
 #: Characters of text encoded at a time; a longer text goes alone.
 CHUNK = 1 << 22
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»‘’“”„…–—"
@@ -174,23 +181,65 @@ def document_hits(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarra
     return own.mapInArrow(lean(run), f"_doc bigint, _id {own.schema['_id'].dataType.simpleString()}, _w array<bigint>, _h array<bigint>, _p array<int>")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_coverage: float = 0.8, min_run: int = 13) -> DataFrame:
+def in_order(pairs: list[tuple[int, int]]) -> int:
+    """The longest chain of (item place, document place) that rises in both."""
+    ends: list[int] = []
+    for _, place in sorted(pairs, key=lambda p: (p[0], -p[1])):
+        at = bisect_left(ends, place)
+        ends[at : at + 1] = [place]
+    return len(ends)
+
+
+def best_match(diagonals: list[tuple[int, np.ndarray]], n: int, max_shift: int) -> tuple[int, int]:
+    """Most words of an item of ``n`` words in order on diagonals within ``max_shift``, and the longest run on one."""
+    diagonals = sorted(diagonals, key=lambda d: d[0])
+    best = max((len(at) for _, at in diagonals), default=0)
+    run = 0
+    for _, at in diagonals:
+        edges = np.flatnonzero(np.diff(at) != 1)
+        run = max(run, int(np.diff(np.concatenate(([-1], edges, [len(at) - 1]))).max()) if len(at) else 0)
+    last = 0
+    for first in range(len(diagonals)):
+        while last < len(diagonals) and diagonals[last][0] - diagonals[first][0] <= max_shift:
+            last += 1
+        if best == n:
+            break
+        near = diagonals[first:last]
+        if len(near) > 1 and min(n, sum(len(at) for _, at in near)) > best:
+            best = max(best, in_order([(int(m), int(m) + off) for off, at in near for m in at]))
+    return best, run
+
+
+def _compared(each: DataFrame, max_shift: int) -> DataFrame:
+    """``_doc, _row, _id, _item, _n, _k, _run``: what each stretch of diagonals (``_d``: places by diagonal) makes of an item."""
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            found = [best_match([(d["_off"], np.array(d["_at"], np.int64)) for d in row], n, max_shift) for n, row in zip(batch.column(names.index("_n")).to_pylist(), batch.column(names.index("_d")).to_pylist(), strict=True)]
+            kept = [batch.column(names.index(c)) for c in ("_doc", "_row", "_id", "_item", "_n")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([k for k, _ in found], pa.int32()), pa.array([r for _, r in found], pa.int32())], ["_doc", "_row", "_id", "_item", "_n", "_k", "_run"])
+
+    kind = lambda c: each.schema[c].dataType.simpleString()
+    return each.mapInArrow(lean(run), f"_doc bigint, _row bigint, _id {kind('_id')}, _item {kind('_item')}, _n int, _k int, _run int")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_coverage: float = 0.8, min_run: int = 13, max_shift: int = 8) -> DataFrame:
     """``id_col, item_col, item_words, matched_words, longest_run, coverage`` for every document and item it holds."""
     own = stored(item_words(items, item_col, item_text_col), "items")
     found = stored(item_seeds(own), "seeds")
     hits = stored(document_hits(docs, id_col, text_col, *seed_bitmap(found)), "hits")
     each = hits.select("_doc", F.explode(F.arrays_zip("_h", "_p")).alias("x")).select("_doc", "x._h", "x._p")
-    diagonals = each.join(found.select("_h", "_row", "_ip"), "_h").select("_doc", "_row", (F.col("_p") - F.col("_ip")).alias("_off")).distinct()
+    sized = own.select("_row", F.size("_iw").alias("_n"))
+    diagonals = each.join(found.join(sized, "_row").select("_h", "_row", "_ip", "_n"), "_h").select("_doc", "_row", "_n", F.when(F.col("_n") > SHORT, F.col("_p") - F.col("_ip")).alias("_off")).distinct()
+    names = own.select("_row", "_item")
+    short = diagonals.where(F.col("_n") <= SHORT).join(names, "_row").join(hits.select("_doc", "_id"), "_doc").select("_doc", "_row", "_id", "_item", "_n", F.col("_n").alias("_k"), F.col("_n").alias("_run"))
     place = F.filter(F.sequence(F.lit(0), F.size("_iw") - 1), lambda p: F.get("_w", p + F.col("_off")) == F.get("_iw", p))
-    # Words meet last, and only places go on: a repeated phrase has many diagonals, but each place of the item counts once.
-    places = diagonals.join(own, "_row").join(hits.select("_doc", "_id", "_w"), "_doc").select("_doc", "_id", "_row", "_item", F.size("_iw").alias("_n"), F.explode(place).alias("_m"))
-    once = places.groupBy("_doc", "_row", "_m").agg(F.first("_id").alias("_id"), F.first("_item").alias("_item"), F.first("_n").alias("_n"))
-    matched = once.groupBy("_doc", "_row").agg(F.first("_id").alias("_id"), F.first("_item").alias("_item"), F.first("_n").alias("_n"), F.array_sort(F.collect_list("_m")).alias("_at"))
-    run = F.aggregate(
-        "_at", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best")),
-        lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1).alias("now"), F.greatest(a["best"], F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1)).alias("best")),
-        lambda a: a["best"],
-    )
-    matched = matched.withColumns({"_k": F.size("_at"), "_run": run})
+    places = diagonals.where(F.col("_n") > SHORT).join(own, "_row").join(hits.select("_doc", "_id", "_w"), "_doc").select("_doc", "_row", "_id", "_item", "_n", "_off", place.alias("_at"))
+    stretch = F.explode(F.array_distinct(F.array(F.shiftright("_off", STRETCH), F.shiftright(F.col("_off") - max_shift, STRETCH))))
+    met = places.withColumn("_s", stretch).groupBy("_doc", "_row", "_s").agg(F.first("_id").alias("_id"), F.first("_item").alias("_item"), F.first("_n").alias("_n"), F.sum(F.size("_at")).alias("_sum"), F.collect_list(F.struct("_off", "_at")).alias("_d"))
+    met = met.where((F.col("_sum") >= min_coverage * F.col("_n")) | (F.col("_sum") >= min_run))
+    matched = _compared(met.select("_doc", "_row", "_id", "_item", "_n", "_d"), max_shift).unionByName(short)
+    matched = matched.groupBy("_doc", "_row").agg(*[F.first(c).alias(c) for c in ("_id", "_item", "_n")], F.max("_k").alias("_k"), F.max("_run").alias("_run"))
     share = F.col("_k") / F.col("_n")
     return matched.where((share >= min_coverage) | (F.col("_run") >= min_run)).select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), F.col("_n").cast("long").alias("item_words"), F.col("_k").cast("long").alias("matched_words"), F.col("_run").cast("long").alias("longest_run"), share.alias("coverage"))

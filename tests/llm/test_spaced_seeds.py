@@ -12,20 +12,12 @@ def tokens(text):
     return [t for t in (w.strip(S.PUNCTUATION) for w in (text or "").lower().split()) if t]
 
 
-def longest(dw, iw, offset):
-    best = now = 0
-    for i, w in enumerate(iw):
-        now = now + 1 if 0 <= i + offset < len(dw) and dw[i + offset] == w else 0
-        best = max(best, now)
-    return best
-
-
-def plain(docs, items, least=0.8, run=13):
-    found = set()
+def plain(docs, items, least=0.8, run=13, shift=8, details=False):
+    """The rule of the docstring, over all diagonals that a seed hits, with chains by their recurrence."""
+    found = {}
     for item, text in items:
         iw = tokens(text)
-        if not iw:
-            continue
+        family = [f for n, f in S.FAMILIES if n <= len(iw)][-1] if iw else ()
         for doc, dw in docs:
             places = {}
             for p, w in enumerate(dw):
@@ -33,11 +25,21 @@ def plain(docs, items, least=0.8, run=13):
             diagonals = {}
             for i, w in enumerate(iw):
                 for p in places.get(w, ()):
-                    diagonals[p - i] = diagonals.get(p - i, 0) + 1
-            runs = [longest(dw, iw, o) for o, n in diagonals.items() if n >= run]
-            if diagonals and (max(diagonals.values()) / len(iw) >= least or max(runs, default=0) >= run):
-                found.add((doc, item))
-    return found
+                    diagonals.setdefault(p - i, set()).add(i)
+            hit = {o: m for o, m in diagonals.items() if any({s + k for k, c in enumerate(f) if c == "1"} <= m for f in family for s in range(len(iw) - len(f) + 1))}
+            longest = max((sum(1 for _ in g) for m in hit.values() for on, g in itertools.groupby(range(len(iw)), m.__contains__) if on), default=0)
+            most = 0
+            for o in hit:
+                pairs = sorted((i, i + x) for x, m in hit.items() if o <= x <= o + shift for i in m)
+                if len({i for i, _ in pairs}) <= most:
+                    continue
+                size = {}
+                for i, d in pairs:
+                    size[i, d] = 1 + max((n for (j, e), n in size.items() if j < i and e < d), default=0)
+                most = max([most, *size.values()])
+            if iw and (most / len(iw) >= least or longest >= run):
+                found[doc, item] = (len(iw), most, longest)
+    return found if details else set(found)
 
 
 def test_query_equals_brute_force(spark):
@@ -96,3 +98,48 @@ def test_substitutions_insertions_and_clean_documents(spark):
     assert {r.doc_id for r in got if r.item_id == 5} == {1, 2, 3, 5, 6, 10, None}
     assert {r.doc_id for r in got if r.item_id == 4} >= {1, 3, 5, 6}
     assert S.contaminated(df.limit(0), bench).collect() == [] and S.contaminated(df, bench.limit(0)).collect() == []
+
+
+def test_pieces_far_apart_or_in_another_order_do_not_add_up(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    fill = lambda n: [word() for _ in range(n)]
+    item = fill(30)
+    docs = [
+        (1, fill(9) + item[:7] + fill(900) + item[7:14] + fill(9)),
+        (2, item[20:] + fill(50) + item[10:20] + fill(50) + item[:10]),
+        (3, item[:12] + fill(5000) + item[12:24] + fill(60000) + item[24:]),
+        (4, item[:12] + item[20:] + item[12:20]),
+        (5, item[:10] + fill(3) + item[10:20] + fill(4) + item[20:]),
+        (6, item[:11] + item[14:] + fill(5)),
+        (7, item[:10] + fill(6) + item[10:20] + fill(6) + item[20:]),
+        (8, fill(4) + item[:13] + fill(40) + item[13:25]),
+    ]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.item_words, r.matched_words, r.longest_run) for r in S.contaminated(df, bench).collect()}
+    assert got == plain(docs, [(1, " ".join(item))], details=True)
+    assert got == {(5, 1): (30, 30, 10), (6, 1): (30, 27, 16), (8, 1): (30, 13, 13)}
+
+
+def test_random_pieces_equal_plain(spark):
+    """Small alphabet: many diagonals, repeats and chance hits."""
+    rng = random.Random(12)
+    items = [(n, " ".join(rng.choice("abcd") for _ in range(n))) for n in (3, 5, 6, 8, 10, 15, 20)]
+    docs = []
+    for k in range(60):
+        words = [rng.choice("abcd") for _ in range(rng.randrange(60))]
+        piece = rng.choice(items)[1].split()
+        at, cut = rng.randrange(len(words) + 1), rng.randrange(len(piece))
+        docs.append((k, words[:at] + piece[:cut] + [rng.choice("abcd")] * rng.randrange(3) + piece[cut:] + words[at:]))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.item_words, r.matched_words, r.longest_run) for r in S.contaminated(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == plain(docs, items, details=True) and len(got) > 60
+
+
+def test_stretches_lend_their_border():
+    item = list(range(24))
+    for start in (1015, 1020, 1023, 1024):
+        found = [(start, np.array(item[:12])), (start + 8, np.array(item[12:]))]
+        assert S.best_match(found, 24, 8) == (24, 12)
+        assert S.best_match(found, 24, 7) == (12, 12)

@@ -48,7 +48,7 @@ from docflow.llm.text import pick
 WIDTH, GRAM = 50, 20
 #: Bytes of text at a time.
 CHUNK = 1 << 22
-MANIFEST = "buckets int, width int, gram int, id_type string, runs array<string>"
+MANIFEST = "buckets int, width int, gram int, id_type string, runs array<string>, levels array<int>"
 _ODD = np.random.default_rng(23).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -138,6 +138,9 @@ class FingerprintIndex:
     A manifest lists the runs that count; it is written after a run is whole, so a job that breaks off leaves the
     index as it was. Whoever gives the ``path`` of an index opens it, in this session or a later one, with the settings
     it was made with. Without a path the index lies among the application's work tables. One writer at a time.
+
+    Runs have levels: more than ``max_runs`` of one level are merged into one of the next, so of n batches an entry is
+    written about log(n) times, and no run of another level is touched.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, max_runs: int = 2, width: int = WIDTH, gram: int = GRAM):
@@ -148,33 +151,47 @@ class FingerprintIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.width, self.gram, self.version = width, gram, 0
         self.runs: list[str] = []
-        versions = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        whole = [v for v in versions if v.startswith("manifest-") and self._fs.exists(self._at(f"{v}/_SUCCESS"))]
+        self.levels: list[int] = []
+        manifests = [v for v in self._names() if v.startswith("manifest-")]
+        whole = [v for v in manifests if self._fs.exists(self._at(f"{v}/_SUCCESS"))]
+        # Above all numbers: one that broke off keeps its own.
+        self.used = max([int(v[9:]) for v in manifests], default=0)
         if whole:
             found = spark.read.schema(MANIFEST).json(f"{self.path}/{max(whole)}").first()
             self.buckets, self.width, self.gram, self.version, self.runs = found.buckets, found.width, found.gram, int(max(whole)[9:]), list(found.runs)
+            self.levels = list(found.levels or [0] * len(self.runs))
             for run in self.runs:
                 spark.sql(f"CREATE TABLE IF NOT EXISTS {run} (h BIGINT, _id {found.id_type}, _th BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
 
+    def _names(self) -> list[str]:
+        return [f.getPath().getName() for f in self._fs.listStatus(self._at(""))] if self._fs.exists(self._at("")) else []
+
     def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
 
     def _write(self, rows: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
         rows.repartition(self.buckets, "h").sortWithinPartitions("h").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
-    def _commit(self, runs: list[str]) -> None:
-        """Make ``runs`` the index; files of runs that no longer count go."""
+    def _commit(self, runs: list[str], levels: list[int]) -> None:
+        """Make ``runs`` the index; files of runs that no longer count go once the manifest is whole."""
         id_type = self.spark.table(runs[0]).schema["_id"].dataType.simpleString()
-        values = {"buckets": F.lit(self.buckets), "width": F.lit(self.width), "gram": F.lit(self.gram), "id_type": F.lit(id_type), "runs": F.array(*[F.lit(r) for r in runs])}
-        self.spark.range(1).select(*[v.alias(k) for k, v in values.items()]).coalesce(1).write.json(f"{self.path}/manifest-{self.version + 1:08d}")
-        gone, self.runs = [r for r in self.runs if r not in runs], runs
-        self.version += 1
+        values = {"buckets": F.lit(self.buckets), "width": F.lit(self.width), "gram": F.lit(self.gram), "id_type": F.lit(id_type), "runs": F.array(*[F.lit(r) for r in runs]), "levels": F.array(*[F.lit(n) for n in levels])}
+        self.used += 1
+        self.spark.range(1).select(*[v.alias(k) for k, v in values.items()]).coalesce(1).write.json(f"{self.path}/manifest-{self.used:08d}")
+        gone, self.runs, self.levels = [r for r in self.runs if r not in runs], runs, levels
+        old, self.version = self.version, self.used
         for run in gone:
             self.spark.sql(f"DROP TABLE IF EXISTS {run}")
             self._fs.delete(self._at(run), True)
-        self._fs.delete(self._at(f"manifest-{self.version - 1:08d}"), True)
+        self._fs.delete(self._at(f"manifest-{old:08d}"), True)
+
+    def clean(self) -> None:
+        """Delete runs and manifests that a job which broke off has left; nobody else may be writing."""
+        for name in self._names():
+            if name.startswith(("fingerprints_", "manifest-")) and name not in [*self.runs, f"manifest-{self.version:08d}"]:
+                self._fs.delete(self._at(name), True)
 
     def add(self, rows: DataFrame) -> DataFrame:
         """Add a batch as a run; returns the hashes ``h`` that its documents share with each other or with older ones."""
@@ -188,23 +205,28 @@ class FingerprintIndex:
             shared = shared.unionByName(other)
         with in_order(self.spark):
             shared = stored(shared.distinct(), "shared")
-        self._commit([*self.runs, new])
-        if len(self.runs) > self.max_runs:
-            self.compact()
+        self._commit([*self.runs, new], [*self.levels, 0])
+        level = 0
+        while self.levels.count(level) > self.max_runs:
+            self.compact(level)
+            level += 1
         return shared
 
-    def rows(self) -> DataFrame:
-        found = self.spark.table(self.runs[0])
-        for run in self.runs[1:]:
+    def rows(self, runs: list[str] | None = None) -> DataFrame:
+        runs = self.runs if runs is None else runs
+        found = self.spark.table(runs[0])
+        for run in runs[1:]:
             found = found.unionByName(self.spark.table(run))
         return found
 
-    def compact(self) -> None:
-        """Merge all runs into one; equal entries of a hash become one."""
+    def compact(self, level: int | None = None) -> None:
+        """Merge the runs of a level, by default all, into one of the next; equal entries of a hash become one."""
+        merged = [r for r, n in zip(self.runs, self.levels, strict=True) if level is None or n == level]
+        rest = [(r, n) for r, n in zip(self.runs, self.levels, strict=True) if r not in merged]
         with in_order(self.spark):
             # Dealt out by ``h`` first, equal entries meet there and the run is written as they lie: one shuffle.
-            merged = self._write(self.rows().repartition(self.buckets, "h").distinct())
-        self._commit([merged])
+            new = self._write(self.rows(merged).repartition(self.buckets, "h").distinct())
+        self._commit([*[r for r, _ in rest], new], [*[n for _, n in rest], (max(self.levels) if level is None else level) + 1])
 
     def close(self, delete: bool = False) -> None:
         """Take the runs out of the session's catalog; their files stay unless ``delete``."""

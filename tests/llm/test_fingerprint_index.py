@@ -99,3 +99,35 @@ def test_a_run_without_manifest_does_not_count(spark, tmp_path):
     index._write(spark.createDataFrame([(2, 1, 0)], "h bigint, _id bigint, _th bigint"))
     again = I.FingerprintIndex(spark, path)
     assert (again.buckets, again.width, again.gram) == (2, 60, 10) and [r.h for r in again.rows().collect()] == [1]
+
+
+def test_a_manifest_that_broke_off_is_in_nobodys_way(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = lambda *h: spark.createDataFrame([(x, x, x) for x in h], "h bigint, _id bigint, _th bigint")
+    index = I.FingerprintIndex(spark, path, buckets=2)
+    index.add(rows(1, 2))
+    (tmp_path / "index" / f"manifest-{index.version + 1:08d}").mkdir()
+    (tmp_path / "index" / "fingerprints_orphan").mkdir()
+    index.close()
+    again = I.FingerprintIndex(spark, path)
+    assert sorted(r.h for r in again.rows().collect()) == [1, 2]
+    again.add(rows(3))
+    again.clean()
+    again.close()
+    last = I.FingerprintIndex(spark, path)
+    assert sorted(r.h for r in last.rows().collect()) == [1, 2, 3]
+    assert sorted(x.name for x in (tmp_path / "index").iterdir()) == sorted([*last.runs, f"manifest-{last.version:08d}"])
+    last.close(delete=True)
+
+
+def test_entries_are_written_a_few_times(spark, tmp_path, monkeypatch):
+    """Eighteen batches: levels of three."""
+    index, written = I.FingerprintIndex(spark, str(tmp_path / "index"), buckets=2), []
+    write = index._write
+    monkeypatch.setattr(index, "_write", lambda rows: written.append(rows.count()) or write(rows))
+    for k in range(18):
+        index.add(spark.createDataFrame([(100 * k + x, k, x) for x in range(50)], "h bigint, _id bigint, _th bigint"))
+        assert len(index.runs) <= 6
+    assert index.rows().count() == 900 and sorted(index.levels) == [2, 2]
+    assert sum(written) == 900 * 3
+    index.close(delete=True)

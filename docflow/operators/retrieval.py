@@ -45,11 +45,8 @@ def stored_answer(answer: Column) -> Column:
 
 
 #: Asks for the JSON that ``parse_answer`` reads.
-PROMPT = """Answer the question from the context below and reply with one JSON object, nothing else.
-It has exactly two fields of text:
-"contextAnswer": the answer, in few words, with the page it stands on. Copy amounts of money letter by letter, with their
-currency and separators; where several are given, take the most specific one.
-"additionalInfo": terms of payment or taxes if the context states them, else empty.
+PROMPT = """Use only the context to answer, and name the page you found it on. Reply with JSON: the answer in the field "contextAnswer",
+anything the reader should know besides in "additionalInfo" (empty if there is nothing).
 
 Context:
 {context}

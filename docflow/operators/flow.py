@@ -12,7 +12,7 @@ from docflow.functions import text as X
 from docflow.operators import chunks, ingest, pages as P, retrieval as R
 from docflow.plugins import extractive_answer, hash_embedding
 from docflow.schema import AnswerConfig, IngestConfig, PageConfig, SplitConfig
-from docflow.sources import index, sinks
+from docflow.sources import index, ordered_writes, sinks
 
 log = logging.getLogger(__name__)
 
@@ -110,3 +110,10 @@ def converse(questions: DataFrame, path: str, answer: Callable[[DataFrame], Data
     answers = questions.select("id", "document_id").join(answer(questions).select("id", R.stored_answer(F.col("answer")).alias("answer")), "id")
     sinks.append(answers.select(*message("assistant", "answer")), path)
     return answers
+
+
+def converse_once(questions: DataFrame, path: str, key: str, answer: Callable[[DataFrame], DataFrame], **retry) -> list[str]:
+    """As :func:`converse`, in a table of ``ordered_writes``: tried again under the same key, neither message is stored twice and no question is answered twice."""
+    message = lambda role, content: (F.col("id"), F.col("document_id"), F.lit(role).alias("role"), F.col(content).alias("content"))
+    said = lambda: questions.select("id", "document_id").join(answer(questions).select("id", R.stored_answer(F.col("answer")).alias("answer")), "id").select(*message("assistant", "answer"))
+    return ordered_writes.ordered(path, key, [("user", lambda: questions.select(*message("user", "question"))), ("assistant", said)], **retry)

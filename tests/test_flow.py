@@ -89,6 +89,19 @@ def test_recognition_falls_back_and_never_raises():
     assert I.recognised(lambda dpi: page(), lambda i, c: None, cfg=I.OcrConfig(binary=False)) == ""
 
 
+def test_a_run_counts_while_it_writes(spark, tmp_path):
+    schema = "doc string, n int, own string, ocr string"
+    rows = [("d", k, f"Page {k} has some words. " * 3, None) for k in range(1, 40)] + [("d", 40, " ", "scanned words here"), ("d", 41, "", None), ("d", 42, "Page 1 has some words. " * 3, None)]
+    pages = spark.createDataFrame(rows, schema).repartition(3)
+    cfg, ticks = IngestConfig(mode="recursive"), iter([1.0, 1.25049, 4.0])
+    got = flow.ingest_run(pages, "doc", "n", "own", "ocr", str(tmp_path / "a"), "m", rules=cfg, clock=lambda: next(ticks))
+    want = flow.ingest_pages(pages, "doc", "n", "own", "ocr", str(tmp_path / "b"), "m", rules=cfg).first()
+    assert got.pop("timings") == {"extract_s": 0.25, "store_s": 2.75}
+    assert got == {k: want[k] for k in got} and got["ocr_used"] and got["chunk_count"] == 40 and got["pages_processed"] == 41
+    none = flow.ingest_run(pages.where("n = 41"), "doc", "n", "own", "ocr", str(tmp_path / "c"), "m", rules=cfg)
+    assert (none["status"], none["chunk_count"], none["reason"]) == ("error", 0, "no_usable_chunks_after_split") and set(none["timings"]) == {"extract_s", "store_s"}
+
+
 def test_upload_and_conversation(spark, tmp_path):
     docs, chat = str(tmp_path / "docs"), str(tmp_path / "chat")
     rows = spark.createDataFrame([(1, "a.pdf")], "id int, filename string")

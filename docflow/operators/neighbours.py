@@ -11,6 +11,7 @@ k smallest ids can be among the k nearest, so other copies leave before anything
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -100,7 +101,9 @@ def _in_cells(rows: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
 
 
 def _ring_width(pivots: np.ndarray) -> float:
-    """A quarter of the median distance from a pivot to the next."""
+    """A quarter of the median distance from a pivot to the next; a single cell, of a block at most, is one ring."""
+    if len(pivots) == 1:
+        return float("inf")
     d = squares(pivots, pivots)
     np.fill_diagonal(d, np.inf)
     near = np.sqrt(d.min(axis=1))
@@ -206,10 +209,13 @@ def search(queries: DataFrame, rows: DataFrame, k: int | None = 10, within: tupl
     # The k-th distance so far; a query that has fewer than k rows has opened all of them.
     ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("_q").orderBy("distance", "_r"))).where(F.col("_n") <= k)
     kth = ranked.where(F.col("_n") == k).select("_q", (F.sqrt("distance") * (1 + SLACK)).alias("_kth"))
-    second = _opened(known.join(kth, "_q"), cells, k, True)
-    both = ranked.drop("_n").unionByName(_met(second, placed, k, block))
+    both, opened = ranked.drop("_n"), [first.withColumn("_pass", F.lit(1))]
+    if len(middle) > 1:
+        # With one cell of one ring nothing is left to open.
+        second = _opened(known.join(kth, "_q"), cells, k, True)
+        both, opened = both.unionByName(_met(second, placed, k, block)), [*opened, second.withColumn("_pass", F.lit(2))]
     best = F.row_number().over(Window.partitionBy("_q").orderBy("distance", "_r"))
     out = both.select(F.col("_q").alias("query_id"), F.col("_r").alias("row_id"), "distance", best.alias("rank")).where(F.col("rank") <= k)
-    told = lambda df, n: df.select(F.col("_q").alias("query_id"), F.lit(n).alias("pass"), "_p", "_ring")
     rings = cells.select(F.col("_w").alias("document"), F.col("_p").alias("pivot"), F.explode("rings").alias("r")).select("document", "pivot", "r.ring", "r.n")
-    return Search(out, told(first, 1).unionByName(told(second, 2)), rings)
+    told = reduce(DataFrame.unionByName, opened).select(F.col("_q").alias("query_id"), F.col("_pass").alias("pass"), "_p", "_ring")
+    return Search(out, told, rings)

@@ -18,7 +18,7 @@ tokens and its own power), of which the stricter holds:
 
 What is looked at is set by ``TOKEN`` and ``MIN_LENGTH``: tokens of 20 characters or more with a letter and a
 digit, and those long enough for the tests to tell anything apart. Shorter tokens are never
-findings of the tests; the README gives the power by length.
+findings of the tests. The power by length was not measured.
 
 Places come from the gaps that the pattern leaves (``split``) and the matches
 (``regexp_extract_all``), summed in order, which is linear in the matches.

@@ -7,7 +7,8 @@
 3. Dealing out: two fingerprints that differ in at most d bits agree on r of d + r
    bit blocks, so each goes under the value of every r blocks. Each pair within d
    bits meets at least once. r grows with the number of nodes, so that a value is
-   expected to have no more than ``GROUP`` of them: more rows, but no larger trees. It moves
+   expected to have no more than ``group`` of them: more rows, but no larger trees. Up to ``whole`` nodes
+   r is zero: nothing is dealt out, and the index alone parts the fingerprints. It moves
    work only and loses no pair.
 4. Index: rows are range-partitioned by (value, Gray rank), so a value with many
    fingerprints lies in many tasks. Every run of one value, ``block`` rows at most, is a
@@ -37,7 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docflow.llm.arrow import lean
@@ -106,10 +107,10 @@ def block_masks(bits: int, agree: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (sum(x) for x in combinations(blocks, agree))]
 
 
-def blocks_to_agree(nodes: int, bits: int) -> int:
-    """How many blocks a value of the dealing takes, so that it is expected to have at most ``GROUP`` nodes."""
-    agree = 1
-    while nodes > GROUP * 2 ** (64 * agree / (bits + agree)) and agree < 4:
+def blocks_to_agree(nodes: int, bits: int, group: int = GROUP, whole: int = 0) -> int:
+    """How many blocks a value of the dealing takes, so that it is expected to have at most ``group`` nodes; none up to ``whole`` nodes."""
+    agree = 1 if nodes > whole else 0
+    while agree and nodes > group * 2 ** (64 * agree / (bits + agree)) and agree < 4:
         agree += 1
     return agree
 
@@ -118,15 +119,18 @@ def _unsigned(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-def _search(trees: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, bits: int, agree: int, paired: bool) -> tuple[np.ndarray, np.ndarray]:
+def _search(trees: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, bits: int, agree: int, paired: bool, pruned: list[Accumulator] | None) -> tuple[np.ndarray, np.ndarray]:
     """Links in every tree, or between every two trees that follow each other."""
     forest = Forest(trees, fps)
     roots = np.arange(len(forest.ones[-1]))
     search = Search(forest, bits, sketches, agree)
-    return search.run(roots[::2], roots[1::2]) if paired else search.run(roots, roots)
+    found = search.run(roots[::2], roots[1::2]) if paired else search.run(roots, roots)
+    for counter, n in zip(pruned or [], search.pruned, strict=False):
+        counter.add(n)
+    return found
 
 
-def tree_links(keyed: DataFrame, bits: int, block: int, agree: int) -> DataFrame:
+def tree_links(keyed: DataFrame, bits: int, block: int, agree: int, pruned: list[Accumulator] | None = None) -> DataFrame:
     """Links ``a, b`` within each tree of the sorted ``_g, _fp, _node, ...``, and the rows of values that other trees may share.
 
     The latter have ``_t``, the number of their tree: values above ``block`` rows, and the first and the last value of a partition.
@@ -153,7 +157,7 @@ def tree_links(keyed: DataFrame, bits: int, block: int, agree: int) -> DataFrame
             used = np.repeat(sizes > 1, sizes)
             sketches = rows[:, 3:] if rows.shape[1] > 3 else None
             if used.any():
-                a, b = _search(tree[used], rows[used, 1], None if sketches is None else sketches[used], bits, agree, False)
+                a, b = _search(tree[used], rows[used, 1], None if sketches is None else sketches[used], bits, agree, False, pruned)
                 if len(a):
                     node = rows[used, 2]
                     yield batch_of([None] * (len(names) + 1) + [node[a], node[b]], len(a))
@@ -189,7 +193,7 @@ def tree_links(keyed: DataFrame, bits: int, block: int, agree: int) -> DataFrame
     return keyed.mapInArrow(lean(run), ", ".join(f"{n} bigint" for n in (*names, "_t", "a", "b")))
 
 
-def cross_links(shared: DataFrame, bits: int, agree: int) -> DataFrame:
+def cross_links(shared: DataFrame, bits: int, agree: int, pruned: list[Accumulator] | None = None) -> DataFrame:
     """Links between the trees ``_t`` of one value ``_g`` whose roots don't rule them out."""
     roots = shared.groupBy("_g", "_t").agg(F.bit_and("_fp").alias("_and"), F.bit_or("_fp").alias("_or"))
     roots = roots.select("_g", "_t", F.col("_and").alias("_ones"), F.bitwise_not(F.col("_and").bitwiseXOR(F.col("_or"))).alias("_same"))
@@ -214,27 +218,32 @@ def cross_links(shared: DataFrame, bits: int, agree: int) -> DataFrame:
     def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(rows):
             tree = np.cumsum(np.concatenate(([0], (rows[1:, :3] != rows[:-1, :3]).any(axis=1).astype(np.int64))))
-            a, b = _search(tree, rows[:, 3], rows[:, 5:] if rows.shape[1] > 5 else None, bits, agree, True)
+            a, b = _search(tree, rows[:, 3], rows[:, 5:] if rows.shape[1] > 5 else None, bits, agree, True, pruned)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[x, 4]).view(np.int64)) for x in (a, b)], ["a", "b"])
 
     return rows.select("_t0", "_t1", "_t", *rest).mapInArrow(lean(run), "a bigint, b bigint")
 
 
-def links(nodes: DataFrame, bits: int = 4, block: int = BLOCK, agree: int = 0) -> DataFrame:
+def links(nodes: DataFrame, bits: int = 4, block: int = BLOCK, agree: int = 0, group: int = GROUP, whole: int = 0, pruned: list[Accumulator] | None = None) -> DataFrame:
     """Spanning links ``a, b`` among the distinct ``_node`` with their fingerprints ``_fp0, ...`` and, if any, sketch columns.
 
     ``_g`` numbers a value by hash; a clash only puts two values together, and
-    every link is verified on the fingerprints themselves.
+    every link is verified on the fingerprints themselves. Where nothing is dealt out, a
+    partition gets the fingerprints of about one tree.
     """
-    masks = block_masks(bits, blocks_to_agree(nodes.count(), bits))
+    n = nodes.count()
+    dealt = blocks_to_agree(n, bits, group, whole)
+    masks = block_masks(bits, dealt)
     prints = [c for c in nodes.columns if c.startswith("_fp")]
     under = [F.struct(F.xxhash64(F.lit(p), F.lit(k), F.col(p).bitwiseAND(F.lit(m))).alias("g"), F.col(p).alias("f")) for p in prints for k, m in enumerate(masks)]
     rest = [c for c in nodes.columns if c != "_node" and c not in prints]
     keyed = nodes.select("_node", *rest, F.explode(F.array(*under)).alias("m")).select(F.col("m.g").alias("_g"), F.col("m.f").alias("_fp"), "_node", *rest).withColumn("_r", gray_rank(F.col("_fp")))
-    ordered = keyed.repartitionByRange("_g", "_r", "_node").sortWithinPartitions("_g", "_r", "_node").drop("_r")
-    found = stored(tree_links(ordered, bits, block, agree), "tree-links")
-    across = cross_links(found.where("_t is not null").drop("a", "b"), bits, agree)
+    by = ("_g", "_r", "_node")
+    ranged = keyed.repartitionByRange(*by) if dealt else keyed.repartitionByRange(-(-max(n, 1) * len(prints) // block), *by)
+    ordered = ranged.sortWithinPartitions("_g", "_r", "_node").drop("_r")
+    found = stored(tree_links(ordered, bits, block, agree, pruned), "tree-links")
+    across = cross_links(found.where("_t is not null").drop("a", "b"), bits, agree, pruned)
     return found.where("a is not null").select("a", "b").unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -249,17 +258,18 @@ def verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, shingle_width:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4, block: int = BLOCK, shingle_width: int | None = None, similarity: tuple[int, int] = (4, 5), seeds: tuple[int, ...] = (SEED,)
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4, block: int = BLOCK, shingle_width: int | None = None, similarity: tuple[int, int] = (4, 5), seeds: tuple[int, ...] = (SEED,), group: int = GROUP, whole: int = 0, pruned: list[Accumulator] | None = None
 ) -> DataFrame:
     """``id_col, fingerprint, component_id`` for every row (see the module's docstring).
 
     ``width`` words make a shingle of the fingerprint; of several ``seeds`` each gives a fingerprint, and a pair needs one of them
-    within ``bits``. The first is returned. With ``shingle_width`` links need a similarity (a fraction) of shingles of that many words as well.
+    within ``bits``. The first is returned. With ``shingle_width`` links need a similarity (a fraction) of shingles of that many words as well. ``group`` and ``whole``
+    rule the dealing. ``pruned``, accumulators by level of the trees, leaf nodes first, count the node pairs that the index cut off.
     """
     prints = stored(fingerprints(docs, id_col, text_col, width, shingle_width, seeds), "fingerprints")
     own = [F.first(c).alias(c) for c in prints.columns if c not in ("_id", "_th", "_node")]
     nodes = stored(prints.groupBy("_node").agg(*own, F.min("_id").alias("_least"), F.first(F.struct("_id", "_th")).alias("_first")), "nodes")
-    found = links(nodes.drop("_least", "_first"), bits, block, agreement(similarity[0] / similarity[1]) if shingle_width else 0)
+    found = links(nodes.drop("_least", "_first"), bits, block, agreement(similarity[0] / similarity[1]) if shingle_width else 0, group, whole, pruned)
     if shingle_width:
         raw = pick(docs, _id=id_col, _text=text_col).withColumn("_th", F.xxhash64("_text"))
         found = verified(stored(found, "found"), nodes, raw, shingle_width, similarity)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docflow.llm.simhash import BLOCK, near_duplicates
+from docflow.llm.simhash import near_duplicates
 
-#: Up to so many distinct fingerprints, eight trees, nothing is dealt out.
-WHOLE = 1 << 16
+#: Fingerprints that a tree is expected to have.
+TREE = 4096
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str, pruned: list | None = None) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), group=BLOCK, whole=WHOLE, pruned=pruned)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), group=TREE, fit=True, pruned=pruned)

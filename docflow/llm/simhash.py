@@ -7,9 +7,9 @@
 3. Dealing out: two fingerprints that differ in at most d bits agree on r of d + r
    bit blocks, so each goes under the value of every r blocks. Each pair within d
    bits meets at least once. r grows with the number of nodes, so that a value is
-   expected to have no more than ``group`` of them: more rows, but no larger trees. Up to ``whole`` nodes
-   r is zero: nothing is dealt out, and the index alone parts the fingerprints. It moves
-   work only and loses no pair.
+   expected to have no more than ``group`` of them: more rows, but no larger trees. With ``fit`` only as many
+   bits of a block are its value as that takes, so values keep trees of about ``group`` nodes at every
+   size, and the index parts the fingerprints. It moves work only and loses no pair.
 4. Index: rows are range-partitioned by (value, Gray rank), so a value with many
    fingerprints lies in many tasks. Every run of one value, ``block`` rows at most, is a
    tree of ``gray_index``, which searches it. Trees of one value in different
@@ -99,22 +99,27 @@ def gray_rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def block_masks(bits: int, agree: int) -> list[int]:
-    """Masks over ``agree`` of ``bits + agree`` blocks of the 64 bits, as signed longs."""
+def block_masks(bits: int, agree: int, width: int = 64) -> list[int]:
+    """Masks over the first ``width`` bits of each of ``agree`` of ``bits + agree`` blocks of the 64 bits, as signed longs."""
     n = bits + agree
     edges = [64 * k // n for k in range(n + 1)]
-    blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [m - (1 << 64) if m >> 63 else m for m in (sum(x) for x in combinations(blocks, agree))]
+    blocks = [(1 << hi) - (1 << max(lo, hi - width)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [m - (1 << 64) if m >> 63 else m for m in dict.fromkeys(sum(x) for x in combinations(blocks, agree))]
 
 
-def blocks_to_agree(nodes: int, bits: int, group: int = GROUP, whole: int = 0) -> int:
-    """How many blocks a value of the dealing takes, so that it is expected to have at most ``group`` nodes; none up to ``whole`` nodes."""
-    agree = 1 if nodes > whole else 0
-    while agree and nodes > group * 2 ** (64 * agree / (bits + agree)) and agree < 4:
+def blocks_to_agree(nodes: int, bits: int, group: int = GROUP) -> int:
+    """How many blocks a value of the dealing takes, so that it is expected to have at most ``group`` nodes."""
+    agree = 1
+    while nodes > group * 2 ** (64 * agree / (bits + agree)) and agree < 4:
         agree += 1
     return agree
 
 
+def bits_to_agree(nodes: int, agree: int, group: int) -> int:
+    """How many bits of each block that takes: none while all nodes fit one tree."""
+    return -(-(-(-max(nodes, 1) // group) - 1).bit_length() // agree)
+
+
 def _unsigned(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).view(np.uint64)
 
@@ -225,22 +230,22 @@ def cross_links(shared: DataFrame, bits: int, agree: int, pruned: list[Accumulat
     return rows.select("_t0", "_t1", "_t", *rest).mapInArrow(lean(run), "a bigint, b bigint")
 
 
-def links(nodes: DataFrame, bits: int = 4, block: int = BLOCK, agree: int = 0, group: int = GROUP, whole: int = 0, pruned: list[Accumulator] | None = None) -> DataFrame:
+def links(nodes: DataFrame, bits: int = 4, block: int = BLOCK, agree: int = 0, group: int = GROUP, fit: bool = False, pruned: list[Accumulator] | None = None) -> DataFrame:
     """Spanning links ``a, b`` among the distinct ``_node`` with their fingerprints ``_fp0, ...`` and, if any, sketch columns.
 
     ``_g`` numbers a value by hash; a clash only puts two values together, and
-    every link is verified on the fingerprints themselves. Where nothing is dealt out, a
-    partition gets the fingerprints of about one tree.
+    every link is verified on the fingerprints themselves. With ``fit`` a
+    partition gets the rows of about one tree.
     """
     n = nodes.count()
-    dealt = blocks_to_agree(n, bits, group, whole)
-    masks = block_masks(bits, dealt)
+    dealt = blocks_to_agree(n, bits, group)
+    masks = block_masks(bits, dealt, bits_to_agree(n, dealt, group) if fit else 64)
     prints = [c for c in nodes.columns if c.startswith("_fp")]
     under = [F.struct(F.xxhash64(F.lit(p), F.lit(k), F.col(p).bitwiseAND(F.lit(m))).alias("g"), F.col(p).alias("f")) for p in prints for k, m in enumerate(masks)]
     rest = [c for c in nodes.columns if c != "_node" and c not in prints]
     keyed = nodes.select("_node", *rest, F.explode(F.array(*under)).alias("m")).select(F.col("m.g").alias("_g"), F.col("m.f").alias("_fp"), "_node", *rest).withColumn("_r", gray_rank(F.col("_fp")))
     by = ("_g", "_r", "_node")
-    ranged = keyed.repartitionByRange(*by) if dealt else keyed.repartitionByRange(-(-max(n, 1) * len(prints) // block), *by)
+    ranged = keyed.repartitionByRange(-(-max(n, 1) * len(prints) * len(masks) // group), *by) if fit else keyed.repartitionByRange(*by)
     ordered = ranged.sortWithinPartitions("_g", "_r", "_node").drop("_r")
     found = stored(tree_links(ordered, bits, block, agree, pruned), "tree-links")
     across = cross_links(found.where("_t is not null").drop("a", "b"), bits, agree, pruned)
@@ -258,18 +263,18 @@ def verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, shingle_width:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4, block: int = BLOCK, shingle_width: int | None = None, similarity: tuple[int, int] = (4, 5), seeds: tuple[int, ...] = (SEED,), group: int = GROUP, whole: int = 0, pruned: list[Accumulator] | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4, block: int = BLOCK, shingle_width: int | None = None, similarity: tuple[int, int] = (4, 5), seeds: tuple[int, ...] = (SEED,), group: int = GROUP, fit: bool = False, pruned: list[Accumulator] | None = None
 ) -> DataFrame:
     """``id_col, fingerprint, component_id`` for every row (see the module's docstring).
 
     ``width`` words make a shingle of the fingerprint; of several ``seeds`` each gives a fingerprint, and a pair needs one of them
-    within ``bits``. The first is returned. With ``shingle_width`` links need a similarity (a fraction) of shingles of that many words as well. ``group`` and ``whole``
+    within ``bits``. The first is returned. With ``shingle_width`` links need a similarity (a fraction) of shingles of that many words as well. ``group`` and ``fit``
     rule the dealing. ``pruned``, accumulators by level of the trees, leaf nodes first, count the node pairs that the index cut off.
     """
     prints = stored(fingerprints(docs, id_col, text_col, width, shingle_width, seeds), "fingerprints")
     own = [F.first(c).alias(c) for c in prints.columns if c not in ("_id", "_th", "_node")]
     nodes = stored(prints.groupBy("_node").agg(*own, F.min("_id").alias("_least"), F.first(F.struct("_id", "_th")).alias("_first")), "nodes")
-    found = links(nodes.drop("_least", "_first"), bits, block, agreement(similarity[0] / similarity[1]) if shingle_width else 0, group, whole, pruned)
+    found = links(nodes.drop("_least", "_first"), bits, block, agreement(similarity[0] / similarity[1]) if shingle_width else 0, group, fit, pruned)
     if shingle_width:
         raw = pick(docs, _id=id_col, _text=text_col).withColumn("_th", F.xxhash64("_text"))
         found = verified(stored(found, "found"), nodes, raw, shingle_width, similarity)

@@ -55,29 +55,35 @@ def test_query_goes_through_the_index(spark):
     got = sorted(tuple(r) for r in op9_simhash_near_dedup(spark, "/root/testdata/sf0.1", pruned=pruned).collect())
     dealt = S.near_duplicates(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()
     assert got == sorted(map(tuple, dealt))
-    assert sum(x.value > 0 for x in pruned) >= 3, pruned
+    assert pruned[0].value > 0 and pruned[1].value > 0, pruned
 
 
-def test_several_trees_without_dealing(spark):
+def test_dealing_by_few_bits(spark):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(400)]
     texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(120)]
     texts += [t + " more" for t in texts[:40]]
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = S.near_duplicates(df, bits=10, block=16, whole=1 << 16).collect()
+    got = S.near_duplicates(df, bits=10, block=16, group=32, fit=True).collect()
     want = plain_components([k for k, _ in rows], [plain_print(t) for t in texts], 10)
     assert len(set(want)) < len(want) and [r[2] for r in sorted(got)] == want
 
 
+def test_values_take_as_many_bits_as_trees_need():
+    assert [S.bits_to_agree(n, 1, 4096) for n in (0, 1, 4096, 4097, 8192, 8193, 1 << 24)] == [0, 0, 0, 1, 1, 2, 12]
+    assert S.bits_to_agree(1 << 27, 2, 4096) == 8
+    assert S.block_masks(4, 1, 0) == [0] and len(S.block_masks(4, 1, 3)) == 5 and all(m.bit_count() == 3 if m >= 0 else (m + (1 << 64)).bit_count() == 3 for m in S.block_masks(4, 1, 3))
+
+
 def test_odd_rows(spark):
     rows = [(5, None), (3, ""), (9, " \t\n"), (None, "one two three"), (7, "One TWO three"), (7, "One TWO three"), (8, "Á a b\u001fc d e"), (1, "x " * 70000), (2, "x " * 70001), (None, "alone here for once, quite so")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
     got = sorted((tuple(r) for r in S.near_duplicates(df).collect()), key=repr)
     assert got == expected(rows)
     assert S.near_duplicates(df.limit(0)).collect() == []
-    assert sorted((tuple(r) for r in S.near_duplicates(df, whole=1 << 16).collect()), key=repr) == got
-    assert S.near_duplicates(df.limit(0), whole=1 << 16).collect() == []
+    assert sorted((tuple(r) for r in S.near_duplicates(df, fit=True).collect()), key=repr) == got
+    assert S.near_duplicates(df.limit(0), fit=True).collect() == []
 
 
 def components_of(count, a, b):

@@ -1,4 +1,4 @@
-"""Splitters on one text, for Arrow functions: recursive, semantic, span packing."""
+"""Splitters on one text, for Arrow functions: recursive, semantic."""
 
 from __future__ import annotations
 
@@ -67,49 +67,3 @@ def semantic_split(text: str, embed: Callable[[str], np.ndarray], percentile: fl
     breaks = np.flatnonzero(distances > np.percentile(distances, percentile)) + 1
     bounds = [0, *breaks.tolist(), len(sentences)]
     return [" ".join(sentences[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-
-
-def span_runs(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """First and last place (exclusive) of the runs of neighbours with at most ``limit`` tokens; one above the limit is a run of its own."""
-    total, alone = np.cumsum(sizes), np.append(np.flatnonzero(sizes > limit), len(sizes))
-    out, at = [], 0
-    while at < len(sizes):
-        reach = int(np.searchsorted(total, total[at] - sizes[at] + limit, "right"))
-        end = max(at + 1, min(reach, int(alone[np.searchsorted(alone, at)])))
-        out.append((at, end))
-        at = end
-    return out
-
-
-def pack_spans(spans: list[dict], cfg: SplitConfig) -> tuple[list[dict], int]:
-    """Chunks of neighbouring spans up to ``chunk_size`` tokens, and the number of short tails that were dropped.
-
-    Cumulative token counts cut the spans into runs; a span over the limit is a run
-    of its own. A run of spans shorter than ``min_chars`` joins the chunk before if that stays
-    within 1.2 times the limit (its id, tokens and box stay those of its first part), else
-    it is dropped.
-    """
-    lines = [(text, span) for span in spans if span and (text := (span.get("text") or "").strip())]
-    sizes = np.array([estimate_tokens(text) for text, _ in lines], np.int64)
-    chunks: list[dict] = []
-    dropped = 0
-    for low, high in span_runs(sizes, cfg.chunk_size):
-        text = "\n".join(line for line, _ in lines[low:high])
-        if sizes[low] > cfg.chunk_size or len(text) >= cfg.min_chars:
-            chunks.append({"content": text, "first": text, "bbox": union_box([span for _, span in lines[low:high]])})
-            continue
-        longer = f"{chunks[-1]['content']}\n{text}" if chunks else ""
-        if longer and estimate_tokens(longer) <= int(1.2 * cfg.chunk_size):
-            chunks[-1]["content"] = longer
-        else:
-            dropped += 1
-    return chunks, dropped
-
-
-def union_box(spans: list[dict]) -> dict | None:
-    """Smallest box around the boxes of the spans."""
-    boxes = [s["bbox"] for s in spans if s.get("bbox")]
-    if not boxes:
-        return None
-    x, y = min(b["x"] for b in boxes), min(b["y"] for b in boxes)
-    return {"x": x, "y": y, "width": max(b["x"] + b["width"] for b in boxes) - x, "height": max(b["y"] + b["height"] for b in boxes) - y}

@@ -1,3 +1,4 @@
+import random
 import re
 import uuid
 
@@ -7,8 +8,8 @@ from pyspark.sql import functions as F
 
 from docflow.functions import ids, text as X
 from docflow.operators import chunks, pages as P, splitting
-from docflow.operators.span_chunks import pages_with_spans, span_chunks
-from docflow.schema import LINE, SPAN, NodeSplitConfig, SplitConfig
+from docflow.operators.span_chunks import packed, pages_with_spans, span_chunks
+from docflow.schema import BBOX, LINE, SPAN, NodeSplitConfig, SplitConfig
 
 
 def one(spark, value, f):
@@ -140,12 +141,39 @@ def plain_pack(spans, limit, min_chars):
     return out
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet="ab c", max_size=60), max_size=12), st.integers(3, 30), st.integers(0, 30))
-def test_span_packing_equals_model(texts, limit, min_chars):
-    spans = [{"text": t, "bbox": {"x": 1.0, "y": float(k), "width": 2.0, "height": 1.0}} for k, t in enumerate(texts)]
-    packed, _ = splitting.pack_spans(spans, SplitConfig(chunk_size=limit, min_chars=min_chars))
-    assert [c["content"] for c in packed] == plain_pack(spans, limit, min_chars)
+def random_pages(rng):
+    """Pages of spans: null and blank ones among them, long and short, with and without a box."""
+    text = lambda: "".join(rng.choice("ab c") for _ in range(rng.choice([0, 3, 10, 30, 90])))
+    box = lambda: {c: float(rng.randrange(100)) for c in ("x", "y", "width", "height")}
+    span = lambda: None if rng.random() < 0.05 else {"text": None if rng.random() < 0.03 else text(), "bbox": box() if rng.random() < 0.9 else None}
+    return [[span() for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 13, 40, 100]))] for _ in range(200)]
+
+
+@pytest.mark.parametrize(("limit", "min_chars"), [(3, 0), (5, 4), (12, 9), (20, 30), (30, 12), (800, 80)])
+def test_span_packing_equals_model(spark, limit, min_chars):
+    pages = random_pages(random.Random(limit))
+    df = spark.createDataFrame(list(enumerate(pages)), f"k int, s array<{SPAN.simpleString()}>")
+    got = {r.k: [c.content for c in r.c] for r in df.select("k", packed(F.col("s"), SplitConfig(chunk_size=limit, min_chars=min_chars)).alias("c")).collect()}
+    assert got == {k: plain_pack([{"text": s["text"] or ""} for s in spans if s], limit, min_chars) for k, spans in enumerate(pages)}
+
+
+def test_span_packing_keeps_first_part_and_box(spark):
+    box = lambda k: (float(k), 0.0, 1.0, 2.0 + k)
+    spans = [("x", box(9)), ("word " * 8, box(1)), ("word " * 8, None), ("tail", box(3)), ("word " * 30, None), ("y", box(4))]
+    df = spark.createDataFrame([("d", spans), ("d", spans), (None, []), ("e", None)], f"d string, s array<{SPAN.simpleString()}>").withColumn("p", F.lit(1))
+    rows = span_chunks(df, "d", "p", "s", SplitConfig(chunk_size=18, min_chars=20)).orderBy("part").collect()
+    line = ("word " * 8).strip()
+    assert [r.content for r in rows[::2]] == [line, f"{line}\ntail", ("word " * 30).strip()] and len(rows) == 6
+    assert {r.dropped_tails for r in rows} == {2} and [r.bbox and tuple(r.bbox) for r in rows[::2]] == [box(1), None, None]
+    assert rows[2].token_count == rows[0].token_count and rows[2].chunk_id == rows[0].chunk_id
+
+
+def test_span_packing_of_a_long_page(spark):
+    df = spark.range(1).select(F.lit("d").alias("d"), F.lit(1).alias("p"), F.transform(F.sequence(F.lit(1), F.lit(20000)), lambda k: F.struct(F.concat(F.lit("word "), k.cast("string")).alias("text"), F.lit(None).cast(BBOX.simpleString()).alias("bbox"))).alias("s"))
+    made = span_chunks(df, "d", "p", "s")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan and "Exchange" not in plan
+    assert [r.content for r in made.orderBy("part").collect()] == plain_pack([{"text": f"word {k}"} for k in range(1, 20001)], 800, 80)
 
 
 def test_span_chunks_and_mixed_pages(spark):

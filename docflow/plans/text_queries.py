@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.functions import ids, text as X
-from docflow.operators import chunks, combined, flow, ingest, pages as P, span_chunks
+from docflow.operators import chunks, combined, flow, ingest, pages as P, sentences, span_chunks
 from docflow.operators.rows import passing, unnest
+from docflow.plugins import hash_embeddings
 from docflow.schema import IngestConfig, SplitConfig
 from docflow.sources import workspace
 from docflow.sources.files import document_pages, lines_of
@@ -378,6 +379,12 @@ def semantic_split(spark, sf_dir):
     return chunks.semantic(documents(spark, sf_dir).select("doc_id", D("text").alias("content")), "content", SplitConfig()).drop("instead")
 
 
+@query("semantic_split_once")
+def semantic_split_once(spark, sf_dir):
+    texts = documents(spark, sf_dir).select("doc_id", D("text").alias("content"))
+    return sentences.semantic_once(texts, "content", SplitConfig(), hash_embeddings).drop("instead")
+
+
 def _spanned(spark, sf_dir) -> DataFrame:
     return documents(spark, sf_dir).select(D("source").alias("document_id"), (D("doc_id") + 1).cast("string").alias("page"), F.when(D("lang") != "en", P.spans(lines_of(D("text")), F.lit(1000.0))).alias("spans"), "text")
 

@@ -22,6 +22,11 @@ def hash_embedding(text: str, size: int = 64) -> np.ndarray:
     return out / norm if norm else out
 
 
+def hash_embeddings(texts: list[str]) -> np.ndarray:
+    """``hash_embedding`` of each text, a row each."""
+    return np.array([hash_embedding(x) for x in texts])
+
+
 def no_ocr(image: bytes) -> str:
     """No engine here: a scanned page has no text."""
     return ""

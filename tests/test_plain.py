@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from docflow.operators import chunks, retrieval
+from docflow.operators import chunks, retrieval, sentences
 from docflow.plugins import hash_embedding
 from docflow.schema import NodeSplitConfig, SplitConfig
 from tests.test_text import plain_pack
@@ -124,6 +124,34 @@ def test_semantic_split(spark, docs):
     assert found(spark, "semantic_split", "doc_id", "part", "content") == Counter((d["doc_id"], k, x) for d in docs for k, x in enumerate(by_distance(d["text"])))
 
 
+def test_semantic_split_once(spark, docs):
+    want = Counter((d["doc_id"], k, x) for d in docs for k, x in enumerate(by_distance(d["text"])))
+    assert found(spark, "semantic_split_once", "doc_id", "part", "content") == want
+
+
+def test_every_distinct_sentence_is_embedded_once(spark):
+    story = "One is here. Two is here! Other words altogether? Two is here! Three now."
+    broken = "A word. It fails now. Another one. " * 40
+    rows = [(1, story, True, "clash"), (2, story, True, "x"), (2, story, True, "x"), (3, f"{story} Broken off. End.", True, None), (4, " only one ", True, None), (5, "", True, None), (6, " \n", True, None), (7, None, True, None), (8, story, False, None), (None, story, None, None), (9, broken, True, None)]
+    df = spark.createDataFrame(rows, "k int, content string, flag boolean, _t string").repartition(3)
+    sent = spark.sparkContext.accumulator(0)
+
+    def embed(sentences):
+        if any("fails" in s for s in sentences):
+            raise RuntimeError("no model")
+        sent.add(len(sentences))
+        return np.array([hash_embedding(s) for s in sentences])
+
+    got = sentences.semantic_once(df, "content", CFG, embed, "flag", batch_size=1)
+    assert got.columns == [*df.columns, "part", "instead"]
+    want = Counter((k, p, x, extra, False) for k, t, flag, extra in rows if t is not None and k != 9 for p, x in enumerate(by_distance(t) if flag else [t]))
+    want += Counter((9, p, x, None, True) for p, x in enumerate(by_size(broken, CFG.chunk_size, CFG.overlap, CFG.separators)))
+    assert Counter((r.k, r.part, r.content, r["_t"], r.instead) for r in got.collect()) == want
+    distinct = {s for _, t, flag, _ in rows if flag and t for s in re.split(r"(?<=[.!?])\s+", t) if s.strip() and "fails" not in s}
+    assert got.count() == sum(want.values()) and sent.value == len(distinct)
+    assert sentences.semantic_once(df.limit(0), "content", CFG, embed).collect() == []
+
+
 def test_split_text(spark, docs):
     text = lambda d: {"en": f"§1 {d['text']} §2 end", "fr": f"# a\n{d['text']}\n# b\nend"}.get(d["lang"], d["text"])
     assert found(spark, "split_text", *COLUMNS) == Counter(x for d in docs for x in plain_chunks(d["source"], d["doc_id"] + 1, text(d), "legal"))

@@ -10,7 +10,8 @@ sum leads to the threshold, the smallest density on its path from the body. If i
 stands in an article, or in a main element without one, that is the text as a whole.
 Otherwise every block below the body (or the main element around the article) is tested against the
 threshold itself: only what stands below the node with the largest sum (if that is a part of the
-page, not its wrapper) or in the article goes with it; so are other articles. Short blocks between dense ones, headings before and paragraphs after them
+page, not its wrapper) or in the article goes with it; so are other articles. Where that node holds all text left, its headings, paragraphs
+and lists stay and only boxes among them are tested. Short blocks between dense ones, headings before and paragraphs after them
 belong to them; boxes made of links are dropped.
 
 Text is built per block: character references decoded, white space collapsed,
@@ -62,6 +63,8 @@ COMMENT_STATE = re.compile(r"(?:^|(?<=[^a-z]))(?:(?:no|has|with|without)-comment
 #: Never dropped by class or id.
 KEPT = frozenset("html body main".split())
 LISTS, BOXES, HEADINGS = frozenset("ul ol dl".split()), frozenset("div section table tr td".split()), frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: What holds running text of its own.
+PROSE = HEADINGS | frozenset("p blockquote pre ul ol dl figure".split())
 COMMENT_NAME = re.compile(r"(?:^|[^a-z])(?:comments?|reply|replies)(?:$|[^a-z])")
 MARKUP = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?P<shut>>)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
@@ -306,6 +309,8 @@ class Page:
         if top != body and (article is None or top == article):
             return inside
         part = article is None and best != body and self.chars[best] < self.chars[body]
+        # Where the largest sum is that of all text left, its headings and paragraphs stay; boxes among them are tested.
+        all_left = article is None and not part
         for k in range(n):
             p = self.parent[k]
             if not inside[k]:
@@ -314,8 +319,8 @@ class Page:
                 dense[k], whole[k] = True, k != top
             elif self.tag[k] in ("article", "main"):
                 dense[k] = whole[k] = density[k] >= threshold
-            elif whole[k]:
-                dense[k] = True
+            elif whole[k] or all_left and p == best and self.tag[k] in PROSE and not self._links(k):
+                dense[k] = whole[k] = True
             elif self.tag[k] not in BLOCK:
                 # Text in a line goes with its block, but for links that stand loose among blocks.
                 dense[k] = dense[p] and not (self.tag[k] == "a" and children[p] and loose_links[p] > own[p])

@@ -2,6 +2,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pytest
@@ -139,6 +140,20 @@ def noisy(k):
     return f"<body><div class=x1>{before}</div><div class=x2>{text}</div><div class=x3>{after}</div></body>", " ".join(paragraphs)
 
 
+def word_f1(got, want):
+    got, want = Counter(got.split()), Counter(want.split())
+    return 2 * (got & want).total() / (got.total() + want.total()) if got or want else 1.0
+
+
+def test_pages_without_a_marked_article(spark):
+    rows = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    scores = [word_f1(main_text(re.sub(r"(</?)article\b", r"\1div", h)), main_text(h)) for h in rows]
+    assert len(scores) >= 100 and sum(scores) / len(scores) >= 0.98
+    words = lambda n: " ".join(f"w{k}" for k in range(n))
+    assert main_text(f"<div><h1>Title here</h1><p>{words(20)}</p><p>{words(60)}</p><p>{words(15)}</p></div>") == f"Title here {words(20)} {words(60)} {words(15)}"
+    assert main_text(f"<body><div><h2>T</h2><p>{words(9)}</p><blockquote>{words(5)}</blockquote><p>{words(90)}</p><ul><li>a<li>b</ul></div></body>") == f"T {words(9)} {words(5)} {words(90)} a b"
+
+
 ITEMS = "".join(f'<a href="/{k}">Item {k}</a> ' for k in range(8))
 
 

@@ -6,6 +6,9 @@ Sections within the single-chunk limit are joined (the limit bounds them). Long
 depends only on where it starts, so every block maps the places at which a chunk may come in to the place where the last one goes out.
 These maps, a few numbers a block, are chained in order, and every block then cuts its own lines, the overlap among them.
 
+All of this needs no text but a line's length, words, heading, label or number. The texts are stored once, numbered in order; everything is decided
+on these few values, places of chunks included, and the texts then join their places and move to their chunk once.
+
 No task holds more than a block of lines and, at once, one section within the limit. Python gets the lines of long sections only.
 """
 
@@ -62,46 +65,67 @@ def beside(rows: DataFrame, at: str, bits: int, **values: tuple[str, int]) -> Da
     return near.where(F.col("_block") == own).drop("_block")
 
 
-def _lines(pages: DataFrame, document: str, page: str, text: str, bits: int) -> DataFrame:
-    """``_d, _m, _doc, text``: cleaned lines in order; ``_m`` orders all, ``_doc`` numbers the documents."""
+def _clean(line: Column) -> Column:
+    return X.rstrip(F.regexp_replace(line, "[ \t]+", " "))
+
+
+def _measures(text: Column) -> dict[str, Column]:
+    """What sections and sizes need of a line's text."""
+    return {"name": F.when(X.is_heading(text), X.heading_text(text)), "words": X.word_count(text), "chars": F.length(text), "lead": F.length(text) - F.length(F.ltrim(text, F.lit(X.WHITE)))}
+
+
+def _lines(pages: DataFrame, document: str, page: str, text: str) -> DataFrame:
+    """``_d, _m, line``: lines in the order of ``_m``."""
     own = pages.select(F.col(document).alias("_d"), F.col(page).alias("_page"), F.col(text).alias("_t")).where(F.coalesce("_t", F.lit("")) != "")
     # Pages lie in ranges of their order: the ids of exploded lines follow it.
     dealt = own.repartitionByRange("_d", "_page", "_t").sortWithinPartitions("_d", "_page", "_t")
     lines = dealt.select("_d", F.explode(F.split("_t", "\n")).alias("line")).withColumn("_m", F.monotonically_increasing_id())
-    lines = _stored(lines.where(X.strip(F.col("line")) != ""), "lines")
-    lines = running(lines, "_m", bits, _n=F.lit(1).cast("long"))
-    lines = lines.withColumns({"label": F.regexp_extract("line", r"(?U)^([^\n:]{2,}?:)\s*\z", 1), "number": F.regexp_extract("line", r"(?U)^\s*(\d{3,})\s*\z", 1)})
-    lines = beside(lines, "_n", bits, before=("_d", -1), any_before=("_n", -1), after=("_d", 1), any_after=("_n", 1), label_before=("label", -1), number_after=("number", 1))
+    return _stored(lines.where(X.strip(F.col("line")) != ""), "lines")
+
+
+def _facts(lines: DataFrame, bits: int) -> DataFrame:
+    """``_d, _doc, _n, _m`` and measures of cleaned lines that are kept; ``_n`` orders them, ``_doc`` numbers the documents, ``_join`` is the text of a label with its number."""
+    found = lambda pattern: F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 1))
+    own = lines.select("_d", "_m", found(r"(?U)^([^\n:]{2,}?:)\s*\z").alias("label"), found(r"(?U)^\s*(\d{3,})\s*\z").alias("number"), F.col("line").rlike(X.BOILERPLATE_LINE).alias("_idle"), _clean(F.col("line")).alias("_t"))
+    own = _stored(own.select("_d", "_m", "label", "number", "_idle", *[c.alias(n) for n, c in _measures(F.col("_t")).items()]), "facts")
+    rows = running(own, "_m", bits, _n=F.lit(1).cast("long"))
+    rows = beside(rows, "_n", bits, before=("_d", -1), any_before=("_n", -1), after=("_d", 1), any_after=("_n", 1), label_before=("label", -1), number_after=("number", 1))
     first = F.col("any_before").isNull() | ~F.col("before").eqNullSafe(F.col("_d"))
     last = F.col("any_after").isNull() | ~F.col("after").eqNullSafe(F.col("_d"))
-    joined = (F.col("label") != "") & ~last & (F.col("number_after") != "")
-    used = (F.col("number") != "") & ~first & (F.col("label_before") != "")
-    raw = F.when(joined, F.concat_ws(" ", "label", "number_after")).otherwise(F.col("line"))
-    kept = ~used & (joined | ~F.col("line").rlike(X.BOILERPLATE_LINE))
-    cleaned = lines.select("_d", "_m", first.alias("_first"), kept.alias("_kept"), X.rstrip(F.regexp_replace(raw, "[ \t]+", " ")).alias("text"))
+    joined = F.col("label").isNotNull() & ~last & F.col("number_after").isNotNull()
+    used = F.col("number").isNotNull() & ~first & F.col("label_before").isNotNull()
+    cleaned = rows.select("_d", "_m", first.alias("_first"), (~used & (joined | ~F.col("_idle"))).alias("_kept"), F.when(joined, _clean(F.concat_ws(" ", "label", "number_after"))).alias("_join"), "name", "words", "chars", "lead")
+    cleaned = cleaned.withColumns({n: F.when(F.col("_join").isNull(), F.col(n)).otherwise(c) for n, c in _measures(F.col("_join")).items()})
     counted = running(cleaned, "_m", bits, _doc=F.col("_first").cast("long"), _n=F.col("_kept").cast("long"))
-    return _stored(counted.where("_kept").select("_d", "_doc", "_n", "text"), "lines")
+    return _stored(counted.where("_kept").drop("_first", "_kept"), "facts")
 
 
-def _sectioned(lines: DataFrame, bits: int) -> DataFrame:
+def _sectioned(facts: DataFrame, bits: int) -> DataFrame:
     """Lines with ``_sec``, the section they stand in, its number and heading; headings only where the document is one section."""
-    lines = lines.withColumns({"_head": X.is_heading(F.col("text")), "_name": X.heading_text(F.col("text"))})
-    lines = beside(lines, "_n", bits, before=("_doc", -1), head_before=("_head", -1), name_before=("_name", -1))
+    lines = beside(facts.withColumn("_head", F.col("name").isNotNull()), "_n", bits, before=("_doc", -1), head_before=("_head", -1), name_before=("name", -1))
     own = F.coalesce(F.col("before") == F.col("_doc"), F.lit(False))
     starts = ~F.col("_head") & (~own | F.col("head_before"))
     lines = lines.withColumns({"_start": starts, "heading": F.when(starts, F.when(own, F.col("name_before")).otherwise("Introduction"))})
-    lines = _stored(running(lines, "_n", bits, _run=F.col("_start").cast("long")).select("_d", "_doc", "_n", "text", "_head", "_start", "_run", "heading"), "lines")
+    lines = _stored(running(lines, "_n", bits, _run=F.col("_start").cast("long")).drop("before", "head_before", "name_before", "name"), "facts")
     runs = lambda f: f(F.when(~F.col("_head"), F.col("_run")))
     docs = lines.groupBy("_doc").agg(runs(F.min).alias("_low"), runs(F.max).alias("_high"))
     lines = to_totals(lines, docs, "_doc").withColumn("_parted", F.coalesce(F.col("_high") > F.col("_low"), F.lit(False)))
     lines = lines.where(~F.col("_parted") | ~F.col("_head"))
+    trimmed = F.col("_parted") & F.col("_start")
     return lines.select(
-        "_d", "_n", F.when(F.col("_parted"), F.col("_run")).otherwise(-F.col("_doc")).alias("_sec"), F.when(F.col("_parted"), (F.col("_run") - F.col("_low")).cast("int")).otherwise(0).alias("section"),
+        "_d", "_n", "_m", F.when(F.col("_parted"), F.col("_run")).otherwise(-F.col("_doc")).alias("_sec"), F.when(F.col("_parted"), (F.col("_run") - F.col("_low")).cast("int")).otherwise(0).alias("section"),
         F.when(F.col("_parted"), F.col("heading")).alias("heading"), F.when(F.col("_parted"), "hierarchical").otherwise("generic").alias("chunk_type"),
-        F.when(F.col("_parted") & F.col("_start"), F.ltrim(F.col("text"), F.lit(X.WHITE))).otherwise(F.col("text")).alias("text"),
+        "_join", trimmed.alias("_trim"), "words", F.when(trimmed, F.col("chars") - F.col("lead")).otherwise(F.col("chars")).alias("chars"),
     )
 
 
+def _texts(lines: DataFrame, placed: DataFrame, how: str = "inner") -> DataFrame:
+    """``placed`` lines with their ``text``."""
+    text = F.coalesce("_join", _clean(F.col("line")))
+    trimmed = F.when(F.col("_trim"), F.ltrim(text, F.lit(X.WHITE))).otherwise(text)
+    return lines.select("_m", "line").join(placed, "_m", how).withColumn("text", trimmed).drop("line", "_join", "_trim", "_m")
+
+
 class Cuts:
     """A block's pieces (own ones, one before, some after): where a chunk that starts at a piece ends, and where the next one starts."""
 
@@ -186,23 +210,40 @@ def _entries(dealt: DataFrame, bits: int, size: int, overlap: int) -> DataFrame:
 
 
 def _cut(dealt: DataFrame, entries: DataFrame, bits: int, size: int, overlap: int) -> DataFrame:
-    """``_sec, _n, _sub, content``: every block's chunks."""
+    """``_sec, _n, _j, _stop``: every block's chunks, by the numbers of the first piece and the one after the last."""
 
     def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
-        block = key[0].as_py()
-        rows: dict[str, list] = {"_sec": [], "_n": [], "content": []}
+        rows: dict[str, list] = {"_sec": [], "_n": [], "_j": [], "_stop": []}
         if len(table):
-            cuts = Cuts(table, block, bits, size, overlap)
-            texts = cuts.table["piece"].to_pylist()
+            cuts = Cuts(table, key[0].as_py(), bits, size, overlap)
             at = int(found["_entry"][0].as_py()) - cuts.shift if len(found) else cuts.own.start
             while at < cuts.own.stop:
-                rows["_sec"].append(int(cuts.sec[at]))
-                rows["_n"].append(int(cuts.n[at]))
-                rows["content"].append("".join(texts[at : cuts.stop[at]]).strip())
+                for name, value in zip(rows, (cuts.sec[at], cuts.n[at], at + cuts.shift, cuts.stop[at] + cuts.shift), strict=True):
+                    rows[name].append(int(value))
                 at = int(cuts.next[at])
-        return pa.table({"_sec": pa.array(rows["_sec"], pa.int64()), "_n": pa.array(rows["_n"], pa.int64()), "_sub": pa.array([0] * len(rows["_n"]), pa.int32()), "content": pa.array(rows["content"], pa.string())})
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in rows.items()})
+
+    own = dealt.select("_block", "_j", "_sec", "_n", "_len")
+    return own.groupBy("_block").cogroup(entries.groupBy("_block")).applyInArrow(run, "_sec bigint, _n bigint, _j bigint, _stop bigint")
+
+
+def _filled(pieces: DataFrame, cuts: DataFrame, bits: int, size: int) -> DataFrame:
+    """``cuts`` (``_j, _stop`` and others) with their ``content``, from pieces ``_j, piece``."""
+    others = [f for f in cuts.schema if f.name not in ("_j", "_stop")]
+
+    def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        table, found = table.sort_by("_j"), found.sort_by("_j")
+        texts = table["piece"].to_pylist()
+        shift = table["_j"][0].as_py() if texts else 0
+        content = ["".join(texts[a - shift : b - shift]).strip() for a, b in zip(found["_j"].to_pylist(), found["_stop"].to_pylist(), strict=True)]
+        return found.select(names).append_column("content", pa.array(content, pa.string()))
 
-    return dealt.groupBy("_block").cogroup(entries.groupBy("_block")).applyInArrow(run, "_sec bigint, _n bigint, _sub int, content string")
+    names = [f.name for f in others]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    own, before = F.shiftright("_j", bits), F.shiftright(F.col("_j") - (size // 2 + 3), bits)
+    # A block's last chunks go on in the next one: that lends its first pieces.
+    dealt = pieces.select(F.explode(F.array_distinct(F.array(own, before))).alias("_block"), "_j", "piece").where("_block >= 0")
+    return dealt.groupBy("_block").cogroup(cuts.withColumn("_block", own).groupBy("_block")).applyInArrow(run, f"{fields}, content string")
 
 
 def _split_alone(pieces: DataFrame, cfg: SplitConfig) -> DataFrame:
@@ -228,32 +269,42 @@ def split_combined(pages: DataFrame, document: str, page: str, text: str, cfg: S
     size, overlap = cfg.chunk_size, cfg.overlap
     if 2 * (size // 2 + 3) > 1 << bits:
         raise ValueError("a block must hold two chunks")
-    lines = _stored(_sectioned(_lines(pages, document, page, text, bits), bits), "sectioned")
-    sums = lines.groupBy("_sec").agg(
+    lines = _lines(pages, document, page, text)
+    placed = _stored(_sectioned(_facts(lines, bits), bits), "sectioned")
+    sums = placed.groupBy("_sec").agg(
         F.first("_d").alias("_d"), F.first("section").alias("section"), F.first("chunk_type").alias("chunk_type"), F.max("heading").alias("heading"),
-        F.min("_n").alias("_low"), F.count("*").alias("_lines"), F.sum(X.word_count(F.col("text"))).alias("_words"), F.sum(F.length("text")).alias("_chars"),
+        F.min("_n").alias("_low"), F.count("*").alias("_lines"), F.sum("words").alias("_words"), F.sum("chars").alias("_chars"),
     )
     tokens = F.greatest(F.lit(1), (F.col("_words") * F.lit(1.3) + (F.col("_chars") + F.col("_lines") - 1) * F.lit(0.2)).cast("int"))
     sections = _stored(sums.withColumn("_long", tokens > cfg.max_tokens_single), "sections")
-    lines = _stored(to_totals(lines.select("_sec", "_n", "text"), sections.select("_sec", "_low", "_lines", "_long"), "_sec"), "sized")
-    # Sections within the limit: their tokens bound their lines.
+    sized = to_totals(placed.select("_sec", "_n", "_m", "_join", "_trim", "chars"), sections.select("_sec", "_low", "_lines", "_long"), "_sec")
+    sized = sized.withColumns({"_later": F.col("_n") != F.col("_low"), "_alone": F.col("_lines") == 1}).withColumn("_len", F.col("chars") + F.col("_later").cast("int"))
+    sized = _stored(sized.withColumn("_apart", F.col("_alone") | (F.col("_len") > size)).drop("chars", "_low", "_lines"), "sized")
+    piece = F.when(F.col("_later"), F.concat(F.lit("\n"), "text")).otherwise(F.col("text"))
+    facts = sections.select("_sec", "_d", "section", "heading", F.when(F.col("_long"), "recursive").otherwise(F.col("chunk_type")).alias("chunk_type"), "_long")
+
+    # Chunks of long sections: pieces that are split by themselves (only long lines can be), and cuts between the others.
+    apart = _texts(lines.where(F.length("line") >= min(size, cfg.max_tokens_single)), sized.where("_long and _apart"), "right")
+    alone = _stored(_split_alone(apart.withColumn("piece", piece), cfg), "alone")
+    small = running(sized.where("_long and not _apart").select("_sec", "_n", "_m", "_join", "_trim", "_later", "_len"), "_n", bits, _j=F.lit(1).cast("long"))
+    small = _stored(small.withColumn("_j", F.col("_j") - 1), "pieces")
+    dealt = _dealt(small.select("_j", "_sec", "_n", "_len"), bits, size)
+    cuts = _stored(_cut(dealt, _entries(dealt, bits, size, overlap), bits, size, overlap), "cuts")
+    # Places within the section: chunks before, less those before the section's first.
+    marks = cuts.select("_sec", "_n", F.lit(1).cast("long").alias("_c")).unionByName(alone.groupBy("_sec", "_n").agg(F.count("*").alias("_c")))
+    numbered = running(marks, "_n", bits, _q=F.col("_c")).select("_sec", "_n", (F.col("_q") - F.col("_c")).alias("_q"))
+    numbered = _stored(numbered, "numbered")
+    long = to_totals(numbered, facts.join(numbered.groupBy("_sec").agg(F.min("_q").alias("_q0")), "_sec"), "_sec").withColumn("part", (F.col("_q") - F.col("_q0")).cast("int")).drop("_sec", "_q", "_q0")
+
+    # Texts move to their chunks. Sections within the limit: their tokens bound their lines.
     ordered = F.sort_array(F.collect_list(F.struct("_n", "text")))
-    short = lines.where("not _long").groupBy("_sec").agg(F.min("_n").alias("_n"), F.lit(0).alias("_sub"), F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("content"))
-    alone = F.col("_lines") == 1
-    piece = F.when(F.col("_n") == F.col("_low"), F.col("text")).otherwise(F.concat(F.lit("\n"), "text"))
-    pieces = lines.where("_long").select("_sec", "_n", alone.alias("_alone"), piece.alias("piece")).withColumn("_len", F.length("piece"))
-    apart = F.col("_alone") | (F.col("_len") > size)
-    small = running(pieces.where(~apart), "_n", bits, _j=F.lit(1).cast("long")).withColumn("_j", F.col("_j") - 1)
-    dealt = _stored(_dealt(small, bits, size), "pieces")
-    cut = _cut(dealt, _entries(dealt, bits, size, overlap), bits, size, overlap)
-    chunks = _stored(short.unionByName(_split_alone(pieces.where(apart), cfg)).unionByName(cut), "chunks")
-    # Places within the section: running numbers less the section's first.
-    numbered = running(chunks, "_n", bits, ("_sub",), _q=F.lit(1).cast("long"))
-    firsts = numbered.groupBy("_sec").agg(F.min("_q").alias("_q0"))
-    facts = sections.select("_sec", "_d", "section", "heading", "chunk_type", "_long").join(firsts, "_sec")
-    kind = F.when(F.col("_long"), "recursive").otherwise(F.col("chunk_type"))
-    out = to_totals(numbered, facts, "_sec").select(
-        F.col("_d").alias(document), F.lit(None).cast(pages.schema[page].dataType).alias(page), "section", (F.col("_q") - F.col("_q0")).cast("int").alias("part"), "heading", kind.alias("chunk_type"), "content", "_long"
-    )
+    short = lambda: _texts(lines, sized.where("not _long").select("_sec", "_n", "_m", "_join", "_trim")).groupBy("_sec").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("content"))
+    pieces = _texts(lines, small.select("_j", "_m", "_join", "_trim", "_later")).select("_j", piece.alias("piece"))
+    columns = ["_d", "section", "part", "heading", "chunk_type", "content", "_long"]
+    chunks = _filled(pieces, cuts.drop("_sec").join(long, "_n"), bits, size).select(columns)
+    if not sections.where("not _long").isEmpty():
+        chunks = chunks.unionByName(short().join(facts, "_sec").withColumn("part", F.lit(0)).select(columns))
+    chunks = chunks.unionByName(alone.join(long, "_n").withColumn("part", F.col("part") + F.col("_sub")).select(columns))
+    out = chunks.select(F.col("_d").alias(document), F.lit(None).cast(pages.schema[page].dataType).alias(page), *columns[1:])
     made = with_identity(out, document, page)
     return made.where(~F.col("_long") | (F.col("token_count") >= cfg.min_part_tokens)).drop("_long")

@@ -2,7 +2,7 @@
 
 import random
 
-from docflow.operators import sentences
+from docflow.operators import combined, sentences
 from docflow.plugins import hash_embeddings
 from docflow.schema import SplitConfig
 
@@ -34,3 +34,17 @@ def test_sentence_distance_moves_texts_once(spark):
     df.cache().count()
     got = moved(spark, lambda: sentences.semantic_once(df, "content", SplitConfig(), hash_embeddings).write.format("noop").mode("overwrite").save())
     assert got < 3 * sum(len(t) for _, _, t in rows)
+
+
+def test_combined_pages_move_texts_few_times(spark):
+    rows = prose(400, 12)
+    df = spark.createDataFrame(rows, "d string, k int, content string").repartition(4)
+    df.cache().count()
+    # Sort-merge joins, as at size: a broadcast would spare the texts a shuffle.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = moved(spark, lambda: combined.split_combined(df, "d", "k", "content").write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got < 6 * sum(len(t) for _, _, t in rows)

@@ -7,9 +7,11 @@ in Arrow batches, where those over the single-chunk limit are split further.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docflow.functions import ids, text as X
@@ -20,6 +22,9 @@ from docflow.schema import NodeSplitConfig, SplitConfig
 
 log = logging.getLogger(__name__)
 
+#: Bytes of text that a Python worker splits at a time, and parts that it hands back at a time.
+SLICE_BYTES, SLICE_PARTS = 1 << 22, 1 << 12
+
 _SECTION = "array<struct<heading:string,content:string>>"
 
 
@@ -74,6 +79,14 @@ def sections(text: Column, legal: bool) -> Column:
     return X.bound(text, lambda t: F.when(t.contains("§"), typed(legal_sections(t), "legal")).otherwise(by_heading(t)) if legal else by_heading(t))
 
 
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``SLICE_BYTES`` of text in column ``at``; a longer text is alone or last."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    borders = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(borders, borders[1:], strict=False) if b > a)
+
+
 def apply_split(df: DataFrame, column: str, split: Callable[[str], list[str]], flag: str | None = None, instead: Callable[[str], list[str]] | None = None) -> DataFrame:
     """``df`` with a row for each part of ``column``, and its place ``part``; rows without the ``flag`` stay whole.
 
@@ -91,17 +104,22 @@ def apply_split(df: DataFrame, column: str, split: Callable[[str], list[str]], f
             log.exception("splitting failed, the text is split the other way")
             return instead(text), True
 
+    def split_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = batch.column(at).to_pylist()
+        wanted = batch.column(marked).to_pylist() if flag else [True] * len(texts)
+        done = [([], False) if x is None else attempt(x) if w else ([x], False) for x, w in zip(texts, wanted, strict=True)]
+        found = [(row, place, part, failed) for row, (parts, failed) in enumerate(done) for place, part in enumerate(parts)]
+        for k in range(0, len(found), SLICE_PARTS):
+            rows, places, parts, failed = zip(*found[k : k + SLICE_PARTS], strict=True)
+            own = pa.array(parts, pa.string())
+            # A whole text is never repeated for its parts.
+            columns = [own if c == at else batch.column(c).take(pa.array(rows, pa.int64())) for c in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(places, pa.int32()), pa.array(failed, pa.bool_())], [*names, "part", "instead"])
+
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            wanted = batch.column(marked).to_pylist() if flag else [True] * len(texts)
-            done = [([], False) if x is None else attempt(x) if w else ([x], False) for x, w in zip(texts, wanted, strict=True)]
-            parts, failed = [p for p, _ in done], [f for _, f in done]
-            rows = pa.array([k for k, p in enumerate(parts) for _ in p], pa.int64())
-            columns = [batch.column(k).take(rows) for k in range(batch.num_columns)]
-            columns[at] = pa.array([x for p in parts for x in p], pa.string())
-            places = pa.array([i for p in parts for i in range(len(p))], pa.int32())
-            yield pa.RecordBatch.from_arrays([*columns, places, pa.array(failed, pa.bool_()).take(rows)], [*names, "part", "instead"])
+            for some in _slices(batch, at):
+                yield from split_rows(some)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{fields}, part int, instead boolean")

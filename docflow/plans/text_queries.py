@@ -296,9 +296,11 @@ def stream_ingest_counters(spark, sf_dir):
     stateful.settings(spark)
     top = workspace.new_path(spark, "stream")
     pages = document_pages(documents(spark, sf_dir)).select("document_id", "page", "text")
-    pages.repartition(4, "page").write.parquet(f"{top}/in")
+    # A file for each core and micro-batch: one task would split all of a single file's texts.
+    files = spark.sparkContext.defaultParallelism
+    pages.repartition(4 * files, "page").write.parquet(f"{top}/in")
     lines = lambda df: unnest(df, ["document_id", "page"], F.split("text", "\n"), "section", "content").where(X.strip(D("content")) != "").select("document_id", "page", "section", F.lit(0).alias("part"), "content")
-    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", files).parquet(f"{top}/in")
     run = stateful.into_folder(stream, f"{top}/out", embed=None, split=lines).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return stateful.stored_counters(spark, f"{top}/out")

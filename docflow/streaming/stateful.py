@@ -3,6 +3,8 @@
 State by document: the first place of every content so far, and the counters. A chunk goes on if its content is new or stands before
 the one stored, so whatever the order and the batches, the stored rows resolve to what one batch would give. A document's state is dealt out in
 buckets of its contents, so one that holds much of the stream is many keys. Needs the RocksDB state store (see :func:`settings`).
+A bucket's contents lie in slots by their hash, a value each: what a batch brings to a slot asks the state once and is stored at once, since a call of the state
+costs as much as thousands of places. Checkpoints with a value for each content can't be continued.
 
 Stored rows lie in a folder for each micro-batch, which a replay overwrites: ``kind`` is chunk (a first place), counted (a bucket's counters so far) or
 finished (the last ones: nothing came for ``idle_ms`` and the state is gone; contents that come later count anew, but are stored once all the same).
@@ -30,12 +32,29 @@ COUNTERS = ["inputs_seen", "inputs_non_empty", "chunks_before_filter", "filtered
 _OUT = f"document_id string, bucket int, kind string, epoch bigint, payload string, {', '.join(f'{c} bigint' for c in COUNTERS)}"
 ORDER = ["page", "section", "part"]
 BUCKETS = 16
+#: Slots of a bucket's contents; 128 of a bucket of a million contents have 344 kB each.
+SLOTS = 128
+#: A content's hash and the numbers of its place.
+_PLACE = np.dtype([("key", "V20"), ("place", "<i8", (len(ORDER),))])
 
 
 def settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _places(body: bytes | None) -> dict[bytes, tuple[int, ...]]:
+    """The first places in a slot."""
+    found = np.frombuffer(body or b"", _PLACE)
+    return dict(zip((x.tobytes() for x in found["key"]), map(tuple, found["place"].tolist()), strict=True))
+
+
+def _body(places: dict[bytes, tuple[int, ...]]) -> bytes:
+    out = np.empty(len(places), _PLACE)
+    out["key"] = np.frombuffer(b"".join(places), "V20")
+    out["place"] = np.array(list(places.values()), np.int64)
+    return out.tobytes()
+
+
 class FirstPlaces(StatefulProcessor):
     """Of each content of a document's bucket, the first place; and the bucket's counters."""
 
@@ -44,12 +63,31 @@ class FirstPlaces(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.places = handle.getMapState("places", "key string", ", ".join(f"{c} bigint" for c in ORDER))
+        self.slots = handle.getMapState("slots", "slot int", "places binary")
         self.counts = handle.getValueState("counts", f"epoch bigint, {', '.join(f'{c} bigint' for c in COUNTERS)}")
 
     def _row(self, key, kind: str, counts: tuple) -> pd.DataFrame:
         return pd.DataFrame([{"document_id": key[0], "bucket": key[1], "kind": kind, "epoch": counts[0], "payload": None} | dict(zip(COUNTERS, counts[1:], strict=True))])
 
+    def _better(self, firsts: pd.DataFrame) -> tuple[list[int], int]:
+        """Rows whose content is new or stands before the one stored, which they replace; and how many are new."""
+        better, fresh, by_slot = [], 0, {}
+        for at, content, *place in firsts[["key", *ORDER]].itertuples(name=None):
+            key = bytes.fromhex(content)
+            by_slot.setdefault(key[0] % SLOTS, []).append((at, key, tuple(int(x) for x in place)))
+        for slot, found in by_slot.items():
+            held = self.slots.getValue((slot,))
+            places, changed = _places(bytes(held[0]) if held else None), len(better)
+            for at, key, place in found:
+                before = places.get(key)
+                if before is None or place < before:
+                    places[key] = place
+                    better.append(at)
+                    fresh += before is None
+            if len(better) > changed:
+                self.slots.updateValue((slot,), (_body(places),))
+        return better, fresh
+
     def handleInputRows(self, key, rows, timerValues):
         now = timerValues.getCurrentProcessingTimeInMs() if self.idle_ms is not None else 0
         held = self.counts.get()
@@ -59,16 +97,11 @@ class FirstPlaces(StatefulProcessor):
             kept = found[found["long_enough"]]
             pages = batch[~batch["is_chunk"]]
             n[:4] += [len(pages), int(pages["long_enough"].sum()), len(found), len(found) - len(kept)]
-            # Equal contents of a batch ask the state once. Rows without a key are not deduplicated.
+            # Equal contents of a batch count once. Rows without a key are not deduplicated.
             firsts = kept[kept["key"].notna()].sort_values(ORDER, kind="stable").drop_duplicates("key")
             new = kept[kept["key"].isna()]
-            fresh, better = len(new), []
-            for at, content, *place in firsts[["key", *ORDER]].itertuples(name=None):
-                place, before = tuple(int(x) for x in place), self.places.getValue((content,))
-                if before is None or place < tuple(before):
-                    self.places.updateValue((content,), place)
-                    better.append(at)
-                    fresh += before is None
+            better, fresh = self._better(firsts)
+            fresh += len(new)
             n[4:] += [len(kept) - fresh, fresh]
             out = pd.concat([new, firsts.loc[better]])
             if len(out):
@@ -84,7 +117,7 @@ class FirstPlaces(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         held = self.counts.get()
-        self.places.clear()
+        self.slots.clear()
         self.counts.clear()
         if held:
             yield self._row(key, "finished", tuple(int(x) for x in held))

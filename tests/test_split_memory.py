@@ -36,3 +36,8 @@ def peak(spark):
 def test_one_long_text(peak):
     text = "some words of a text " * 25_000
     assert peak([text], lambda x: splitting.recursive_split(x, CFG.chunk_size, CFG.overlap, CFG.separators)) < 60e6
+
+
+def test_many_texts_of_a_batch_by_distance(peak):
+    texts = [f"Text {i}. " + " ".join(f"Word{j * i % 977} and word{j} of it." for j in range(1500)) for i in range(150)]
+    assert peak(texts, lambda x: splitting.semantic_split(x, hash_embedding, CFG.semantic_percentile)) < 60e6

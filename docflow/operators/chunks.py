@@ -23,7 +23,9 @@ from docflow.schema import NodeSplitConfig, SplitConfig
 log = logging.getLogger(__name__)
 
 #: Bytes of text that a Python worker splits at a time, and parts that it hands back at a time.
-SLICE_BYTES, SLICE_PARTS = 1 << 22, 1 << 12
+SLICE_BYTES, SLICE_PARTS = 1 << 20, 1 << 12
+#: Bytes of text in a row that goes to Python: batches are limited in rows only, so this bounds their bytes, however long texts are.
+BLOCK_BYTES = 1 << 9
 
 _SECTION = "array<struct<heading:string,content:string>>"
 
@@ -79,18 +81,49 @@ def sections(text: Column, legal: bool) -> Column:
     return X.bound(text, lambda t: F.when(t.contains("§"), typed(legal_sections(t), "legal")).otherwise(by_heading(t)) if legal else by_heading(t))
 
 
-def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows with about ``SLICE_BYTES`` of text in column ``at``; a longer text is alone or last."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = (np.cumsum(sizes) - sizes) // SLICE_BYTES
-    borders = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
-    yield from (batch.slice(a, b - a) for a, b in zip(borders, borders[1:], strict=False) if b > a)
+def _in_blocks(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with neighbouring rows for the blocks of ``column``: ``_block_at, _block_bytes, _block_last``; other columns are null but in the first. Null has one block."""
+
+    def blocks(data: Column) -> Column:
+        last = F.floor(F.greatest(F.octet_length(data) - 1, F.lit(0)) / BLOCK_BYTES).cast("int")
+        block = lambda k: F.struct(F.substring(data, k * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES)).alias("bytes"), (k == last).alias("last"))
+        return F.transform(F.sequence(F.lit(0), last), block)
+
+    others = [c for c in df.columns if c != column]
+    rows = unnest(df, [f"`{c}`" for c in others], X.bound(F.col(f"`{column}`").cast("binary"), blocks), "_block_at", "_block")
+    return rows.select(*[F.when(F.col("_block_at") == 0, F.col(f"`{c}`")).alias(c) for c in others], "_block_at", F.col("_block.bytes").alias("_block_bytes"), F.col("_block.last").alias("_block_last"))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], names: list[str], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``_in_blocks`` with whole texts again, as column ``at`` of ``names``, about ``SLICE_BYTES`` of them each; a longer text is alone or last."""
+
+    def joined(rows: pa.RecordBatch) -> pa.RecordBatch:
+        *others, place, block, _ = rows.columns
+        starts = np.flatnonzero(place.to_numpy() == 0)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array([*starts, rows.num_rows], pa.int32()), block), b"").cast(pa.string())
+        columns = [x.take(pa.array(starts)) for x in others]
+        return pa.RecordBatch.from_arrays([*columns[:at], texts, *columns[at:]], names)
+
+    held: list[pa.RecordBatch] = []  # of a text that later batches go on with
+    for batch in batches:
+        *_, block, last = batch.columns
+        ends = np.flatnonzero(last.to_numpy(zero_copy_only=False)) + 1
+        if not len(ends):
+            held.append(batch)
+            continue
+        if held:
+            yield joined(pa.concat_batches([*held, batch.slice(0, ends[0])]))
+        first = ends[0] if held else 0
+        held = [batch.slice(ends[-1])] if ends[-1] < batch.num_rows else []
+        before = np.cumsum([0, *pc.fill_null(pc.binary_length(block), 0).to_numpy(zero_copy_only=False)])[ends[:-1]]
+        borders = [first, *ends[:-1][np.diff(before // SLICE_BYTES, prepend=0) > 0], ends[-1]]
+        yield from (joined(batch.slice(a, b - a)) for a, b in zip(borders, borders[1:], strict=False) if b > a)
 
 
 def apply_split(df: DataFrame, column: str, split: Callable[[str], list[str]], flag: str | None = None, instead: Callable[[str], list[str]] | None = None) -> DataFrame:
     """``df`` with a row for each part of ``column``, and its place ``part``; rows without the ``flag`` stay whole.
 
-    Where ``split`` fails on a text, ``instead`` splits it, if given, and ``instead`` is true in its rows.
+    Texts go to Python in blocks, so a worker holds batches of bounded size and one text. Where ``split`` fails on a text, ``instead`` splits it, if given, and ``instead`` is true in its rows.
     """
     names = df.columns
     at, marked = names.index(column), names.index(flag) if flag else None
@@ -117,12 +150,11 @@ def apply_split(df: DataFrame, column: str, split: Callable[[str], list[str]], f
             yield pa.RecordBatch.from_arrays([*columns, pa.array(places, pa.int32()), pa.array(failed, pa.bool_())], [*names, "part", "instead"])
 
     def run(batches):
-        for batch in batches:
-            for some in _slices(batch, at):
-                yield from split_rows(some)
+        for batch in _whole(batches, names, at):
+            yield from split_rows(batch)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{fields}, part int, instead boolean")
+    return _in_blocks(df, column).mapInArrow(run, f"{fields}, part int, instead boolean")
 
 
 def recursive(df: DataFrame, column: str, cfg: SplitConfig | NodeSplitConfig, flag: str | None = None) -> DataFrame:
